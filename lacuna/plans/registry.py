@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lacuna.plans import quality
+from lacuna.plans import measures, quality, relations
 
-_MODULES = [quality]
+_MODULES = [quality, measures, relations]
 
-FLAGSHIP = quality.p1_report
+FLAGSHIP = relations.h3
 
 
 def queries() -> dict:
