@@ -19,6 +19,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from lacuna.functions.columns import correlation
 from lacuna.operators.ranks import value_counts_below
 
 
@@ -50,7 +51,7 @@ def first_component(ranked: DataFrame, names: Sequence[str]) -> dict:
     row = ranked.agg(
         *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
         *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(names)],
-        *[F.corr(names[i], names[j]).alias(f"r{i}_{j}") for i, j in pairs],
+        *[correlation(names[i], names[j]).alias(f"r{i}_{j}") for i, j in pairs],
     ).first()
     k = len(names)
     usable = [row[f"s{i}"] is not None and row[f"s{i}"] > 0 for i in range(k)]
