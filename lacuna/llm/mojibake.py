@@ -235,7 +235,7 @@ class _Classes(dict):
 
 
 _CLASSES = _Classes()
-_ONE = {"z": 3.0, "r": 5.0, "v": 5.0, "k": 1.2, "x": 1.2, "w": 1.5, "i": 0.4, "I": 0.7, "d": 0.4, "D": 0.8, "l": 0.1, "L": 0.15, "f": 0.1, "F": 0.3, "g": 0.3, "G": 0.3, "s": 0.4, "t": 0.3, "m": 0.3, "q": 0.15, "h": 0.1, "j": 0.02, "u": 0.1, "o": 0.1, "y": 0.2, "Y": 0.4, "b": 0.3, "C": 0.15, "c": 0.02, "-": 0.12, "n": 0.1, "e": 0.2, "p": 0.05}
+_ONE = {"z": 3.0, "r": 5.0, "v": 5.0, "k": 1.2, "x": 1.2, "w": 1.5, "i": 0.4, "I": 0.7, "d": 0.4, "D": 0.8, "l": 0.1, "L": 0.15, "f": 0.1, "F": 0.3, "g": 0.1, "G": 0.1, "s": 0.4, "t": 0.3, "m": 0.3, "q": 0.15, "h": 0.1, "j": 0.02, "u": 0.1, "o": 0.1, "y": 0.2, "Y": 0.4, "b": 0.3, "C": 0.15, "c": 0.02, "-": 0.12, "n": 0.1, "e": 0.2, "p": 0.05}
 _LATIN, _CYRILLIC = "aAlLfFiI", "cCdDk"
 
 
@@ -294,6 +294,7 @@ _THREE = [
     (re.compile("(?<=[CD]{3})[CD]"), 0.4),
     (re.compile("(?<=[LFI])[q-](?=[lLqts])"), 1.0),
 ]
+_EAST_ASIAN = re.compile("hh|[jp]")
 _SAME_LETTER = re.compile(r"([^\W\d_\x00-\x7f])\1\1")
 _STRANGE_ASCII = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
@@ -314,6 +315,8 @@ def cost(text: str) -> float:
             total += weight
     for pattern, weight in _THREE:
         total += weight * len(pattern.findall(classes))
+    if "h" in classes and not _EAST_ASIAN.search(classes):
+        total += 0.5 * classes.count("h")  # lone ideographs in text of another script
     total -= 0.8 * len(_USUAL_PAIRS.findall(text))
     total += 1.0 * len(_SAME_LETTER.findall(text))
     return max(0.0, total)
