@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lacuna.functions.columns import correlation
 from lacuna.operators.ranks import value_counts_below
+from lacuna.session import cut
 
 
 def rank_columns(scores: DataFrame, identity: str, columns: Sequence[dict]) -> DataFrame:
@@ -71,12 +72,12 @@ def first_component(ranked: DataFrame, names: Sequence[str]) -> dict:
 def rank_items(items: DataFrame, scores: DataFrame, identity: str, columns: Sequence[dict]) -> DataFrame:
     """identity, n_scores, projection, place (1 is best) of every item."""
     names = [c["name"] for c in columns]
-    ranked = rank_columns(scores, identity, columns)
+    ranked = cut(rank_columns(scores, identity, columns))  # read by the matrix and by the projection
     model = first_component(ranked, names)
     projection = sum((F.coalesce((F.col(n) - m["mean"]) / m["spread"], F.lit(0.0)) * m["loading"] for n, m in model.items()), F.lit(0.0))
     present = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
     scored = ranked.select(identity, F.round(projection, 9).alias("projection"), present.cast("long").alias("n_scores"))
-    out = items.join(scored, identity, "left").withColumn("n_scores", F.coalesce("n_scores", F.lit(0)))
+    out = cut(items.join(scored, identity, "left").withColumn("n_scores", F.coalesce("n_scores", F.lit(0))))
     keyed = out.withColumn("_all", F.lit(0))
     counts = value_counts_below(keyed, "_all", "projection").withColumn("place", F.col("total") - F.col("below") - F.col("n") + 1)
     unscored = counts.agg(F.max("total").alias("_scored"))
