@@ -94,3 +94,42 @@ def fit_method(jobs: DataFrame) -> DataFrame:
         return _answers(frame, models, evaluations, np.clip(table, 0.0, 100.0))
 
     return jobs.groupBy("job_id").applyInPandas(run, _SCHEMA)
+
+
+def fit_targets(cells: DataFrame, jobs: DataFrame, rank: int = 1, limit: int = KERNEL_CELLS) -> DataFrame:
+    """Refits for single target models: ``jobs(job_id, target, probes array, context array or null)``.
+
+    A job sees the context models' cells (all other models if null) and of the target only the probes, and predicts every
+    other evaluation of the target.  The cells are broadcast once instead of being copied into each job, which is allowed
+    only up to ``limit`` cells.
+    """
+    n = cells.count()
+    if n > limit:
+        raise ValueError(f"{n} cells are more than the {limit} that single-target refits may broadcast; use relational_als")
+    frame = cells.select("model_id", "evaluation_id", "score").toPandas()  # bounded by the check above
+    shared = cells.sparkSession.sparkContext.broadcast((frame["model_id"].to_numpy(dtype=object), frame["evaluation_id"].to_numpy(dtype=object), frame["score"].to_numpy(dtype=float)))
+
+    def run(batches):
+        model, evaluation, score = shared.value
+        every = np.sort(np.unique(evaluation.astype(str)))
+        for frame in batches:
+            for job, target, probes, context in zip(frame["job_id"], frame["target"], frame["probes"], frame["context"]):
+                known = set(probes) if probes is not None else set()
+                own = model == target
+                keep = np.where(own, np.fromiter((e in known for e in evaluation), dtype=bool, count=len(evaluation)), True)
+                if context is not None:
+                    allowed = set(context)
+                    keep &= own | np.fromiter((m in allowed for m in model), dtype=bool, count=len(model))
+                m, e, x = model[keep].astype(str), evaluation[keep].astype(str), score[keep]
+                if not len(x):
+                    continue
+                ms, r = np.unique(np.append(m, target), return_inverse=True)
+                es, c = np.unique(e, return_inverse=True)
+                table = als.complete(r[:-1], c, x, len(ms), len(es), rank, allow_empty_rows=True)
+                line = dict(zip(es, table[r[-1]]))
+                out = [(job, target, k, line.get(k)) for k in every if k not in known]
+                yield pd.DataFrame(out, columns=["job_id", "model_id", "evaluation_id", "predicted"]).astype({"predicted": "float64"})
+
+    tasks = max(1, min(200, jobs.count()))
+    out = jobs.select("job_id", "target", "probes", "context").repartition(tasks, "job_id").mapInPandas(run, _SCHEMA)
+    return out.withColumn("predicted", F.when(~F.isnan("predicted"), F.col("predicted")))

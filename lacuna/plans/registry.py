@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lacuna.plans import measures, quality, relations
+from lacuna.plans import deployment, measures, quality, relations
 
-_MODULES = [quality, measures, relations]
+_MODULES = [quality, measures, relations, deployment]
 
 FLAGSHIP = relations.h3
 
