@@ -116,10 +116,9 @@ SELECT m.model_id, s.group_id FROM g JOIN m USING (k) JOIN s USING (root) WHERE
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
-    columns = [
-        {"name": r["column_name"], "higher_is_better": bool(r["higher_is_better"]), "lowest": r["lowest"], "highest": r["highest"]}
-        for r in table(spark, d, "score_columns").orderBy("column_name").collect()  # a fixed table: one row per column of the matrix
-    ]
+    declared = table(spark, d, "score_columns").where(F.col("column_name").isNotNull()).groupBy("column_name")
+    declared = declared.agg(F.bool_and(F.coalesce("higher_is_better", F.lit(True))).alias("up"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+    columns = [{"name": r["column_name"], "higher_is_better": r["up"], "lowest": r["lowest"], "highest": r["highest"]} for r in declared.orderBy("column_name").collect()]  # a fixed table: one row per column of the matrix
     items = table(spark, d, "model_metadata").where(F.col("model_id").isNotNull()).groupBy(same_key("model_id").alias("member")).agg(F.min("model_id").alias("model_id"))
     wide = table(spark, d, "score_matrix_wide").withColumn("member", same_key("model_id")).drop("model_id")
     out = ranking.rank_items(items.select("member"), wide, "member", columns)

@@ -26,6 +26,8 @@ from lacuna.session import cut
 
 def rank_columns(scores: DataFrame, identity: str, columns: Sequence[dict]) -> DataFrame:
     """identity and one column per score in 0..1 (null where missing); ``columns``: name, higher_is_better, lowest, highest."""
+    if not columns:
+        return scores.select(identity).distinct()
     long = scores.select(
         identity,
         F.explode(
@@ -48,6 +50,8 @@ def rank_columns(scores: DataFrame, identity: str, columns: Sequence[dict]) -> D
 
 def first_component(ranked: DataFrame, names: Sequence[str]) -> dict:
     """Mean, spread and loading of each rank column; one aggregate over all rows, an eigenvector of a small matrix."""
+    if not names:
+        return {}
     pairs = [(i, j) for i in range(len(names)) for j in range(i)]
     row = ranked.agg(
         *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
