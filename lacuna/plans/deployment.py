@@ -11,6 +11,7 @@ from lacuna.operators import stats as S
 from lacuna.plans.base import SQL_CELLS, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.measures import _fold_errors, _skills
 from lacuna.plans.relations import _models, _probes
+from lacuna.session import cut
 from lacuna.sources.tables import table
 
 QUERIES: dict = {}
@@ -166,7 +167,7 @@ def c24(s, d):
 def g24(s, d):
     """Leave-one-model-out risks and group-balanced scales: coverage, width and abstentions by scope."""
     e = _errors(s, d).drop("risk").withColumn("k", F.lit(5)).withColumn("same_suite", F.col("fold") % 2 == 0)
-    r = confidence.new_entity_risk(e)
+    r = cut(confidence.new_entity_risk(cut(e)))  # both are read several times
     j = r.join(F.broadcast(confidence.balanced_scale(r).drop("models")), "k", "left")  # a row per k
     radius = F.col("scale") * F.col("risk")
     inside = (F.col("error") <= radius).cast("double")

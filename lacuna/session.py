@@ -49,3 +49,9 @@ def cut(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared folder and go on from the files, so that a lost executor costs no recomputation."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The same rows over enough tasks for work in Python, which file splits by size may not give; left alone where they do."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(3 * cores) if frame.rdd.getNumPartitions() < 2 * cores else frame
