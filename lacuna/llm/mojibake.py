@@ -28,6 +28,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lacuna.session import spread
+
 # ---- encodings ----
 
 # Encodings that text is wrongly read with, and those it was written in.
@@ -436,4 +438,4 @@ def restore_documents(documents: DataFrame) -> DataFrame:
                     }
                 )
 
-    return documents.select("doc_id", "text").mapInPandas(work, "doc_id long, garbled boolean, restored boolean, steps string, text string")
+    return spread(documents.select("doc_id", "text")).mapInPandas(work, "doc_id long, garbled boolean, restored boolean, steps string, text string")

@@ -24,7 +24,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from lacuna.session import spread
 
 _NO_RANK = np.int64(1) << 40
 _CHUNK_CHARS = 2_000_000
@@ -207,7 +209,7 @@ def encode_documents(documents: DataFrame, vocabulary_path: str | None = None) -
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(work, "doc_id long, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, columns: list[str], vocabulary_path: str | None = None) -> DataFrame:
@@ -225,4 +227,4 @@ def count_tokens(documents: DataFrame, columns: list[str], vocabulary_path: str
                 tokens = pa.array(encoder.count(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], tokens], names=[*columns, "tokens"])
 
-    return kept.mapInArrow(work, schema)
+    return spread(kept).mapInArrow(work, schema)
