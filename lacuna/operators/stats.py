@@ -2,6 +2,11 @@
 
 Medians of others, average ranks and finite-sample quantiles come from counts of
 equal values, so no window ever holds one evaluation's rows.
+
+Functions that join such counts back by value (average ranks, leave-one-out
+medians, global places) need values that come out equal when computed twice:
+stored columns, rounded ones, or a frame that was cut.  Sums of floating-point
+numbers in shuffled order are not.
 """
 
 from __future__ import annotations

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lacuna.plans import deployment, measures, quality, relations
+from lacuna.plans import deployment, measures, more, quality, relations
 
-_MODULES = [quality, measures, relations, deployment]
+_MODULES = [quality, measures, relations, deployment, more]
 
 FLAGSHIP = relations.h3
 
