@@ -437,7 +437,7 @@ def e1(s, d):
     return S.average_ranks(cells(s, d), "evaluation_id", "score").select("model_id", "evaluation_id", "avg_rank")
 
 
-@query("e3_risk_coverage", f"WITH {SQL_PRED}, o AS (SELECT abs(predicted - actual) AS e, row_number() OVER (ORDER BY round(dispersion, 9), model_id, evaluation_id) AS k, count(*) OVER () AS n FROM p) SELECT f AS fraction, count(*) AS kept, round(median(e), 6) AS medae FROM o, (VALUES (0.2), (0.5), (0.8), (1.0)) AS t(f) WHERE k <= ceil(f * n) GROUP BY 1")
+@query("e3_risk_coverage", f"WITH {SQL_PRED}, o AS (SELECT abs(predicted - actual) AS e, row_number() OVER (ORDER BY round(dispersion, 9), model_id, evaluation_id) AS k, count(*) OVER () AS n FROM p) SELECT f AS fraction, count(*) AS kept, round(median(e), 6) AS medae FROM o, (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) AS t(f) WHERE k <= ceil(f * n) GROUP BY 1")
 def e3(s, d):
     p = predictions(s, d).withColumn("risk", F.round("dispersion", 9)).withColumn("e", F.abs(F.col("predicted") - F.col("actual")))
     placed = S.global_place(p, "risk", ["model_id", "evaluation_id"])

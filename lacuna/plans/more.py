@@ -170,7 +170,7 @@ def f18(s, d):
 _MARGINS = f"""{SQL_CELLS}, m AS (SELECT model_id, round(avg(score), 6) AS predicted FROM c GROUP BY 1), x AS (SELECT c.evaluation_id, c.model_id, score AS actual, predicted FROM c JOIN m USING (model_id))"""
 
 
-@query("f19_margin_sweep", f"WITH {_MARGINS}, q AS (SELECT a.actual - b.actual AS gap, (a.predicted > b.predicted)::INT AS ok FROM x a JOIN x b ON a.evaluation_id = b.evaluation_id AND a.actual > b.actual) SELECT v AS margin, count(*) AS pairs, CAST(sum(ok) AS BIGINT) AS correct FROM q, (VALUES (0.0), (1.0), (5.0)) t(v) WHERE gap >= v GROUP BY 1")
+@query("f19_margin_sweep", f"WITH {_MARGINS}, q AS (SELECT a.actual AS ya, b.actual AS yb, (a.predicted > b.predicted)::INT AS ok FROM x a JOIN x b ON a.evaluation_id = b.evaluation_id AND a.actual > b.actual) SELECT v AS margin, count(*) AS pairs, CAST(sum(ok) AS BIGINT) AS correct FROM q, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (5.0::DOUBLE)) t(v) WHERE ya >= yb + v GROUP BY 1")
 def f19(s, d):
     c = cells(s, d)
     x = c.join(c.groupBy("model_id").agg(F.round(F.avg("score"), 6).alias("predicted")), "model_id").select("evaluation_id", "model_id", F.col("score").alias("actual"), "predicted", F.lit(True).alias("held"))
