@@ -182,7 +182,7 @@ _SYMBOLS = "¤¦¨ª¬¯²³´¶·¸¹º¼½¾÷±¢£¥€†‡‰ˆ˜‹›ƒ
 _MATH = "√∂∞≤≥∫∑∏≈≠◊∆Ω∩≡"
 _QUOTES = "“”„‚‘«»¿¡…•"
 _USUAL_MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u0327\u0328"
-_USUAL_PAIRS = re.compile("[çÇ][ãõÃÕ]|éé|ïé|[íÍ][ãÃ]|ÀÉ|ÉÎ|ÎÕ|ÕÜ|ÑÑ")
+_USUAL_PAIRS = re.compile("[çÇ][ãõÃÕ]|éé|ïé")
 
 # Codes of character classes.
 _GROUPS = {
@@ -278,7 +278,7 @@ def _pair_costs() -> dict[str, float]:
     add("gG", "lLsoqtiIy", 1.5)
     add("l", "lL", 0.8)
     add("L", "l", 0.5)
-    add("L", "L", 0.5)
+    add("L", "L", 0.2)  # words in capitals
     add("lLfFiIGbsmg", "y", 0.8)
     add("y", "smGgbt", 0.8)
     add("aA", "u", 0.8)
@@ -292,7 +292,7 @@ _THREE = [
     (re.compile("(?<=[alfic])s(?=[alfic])"), 1.5),
     (re.compile("(?<=[alfi])q(?=[alfi])|(?<=[AL])q(?=[AL])"), 1.2),
     (re.compile("(?<=0)[lLfFiIsgG](?=0)"), 1.5),
-    (re.compile("(?<=[lL]{2})[lL]"), 0.8),
+    (re.compile("(?<=[lL]{2})l|(?<=l[lL])L"), 0.8),
     (re.compile("(?<=[CD]{3})[CD]"), 0.4),
     (re.compile("(?<=[LFI])[q-](?=[lLqts])"), 1.0),
 ]
@@ -330,6 +330,8 @@ PAIR_MARGIN, PAIR_SHARE = 0.8, 0.45  # a piece reread between legacy encodings m
 WIDE_MARGIN = 4.0  # a few letters in a row always make some ideographs, so these need a longer stretch
 UTF8_MARGIN = 0.05  # well-formed UTF-8 is evidence in itself; the text must only get cheaper
 WORTH_PAIRS = 0.9  # pieces below this cost are tried with UTF-8 alone
+_EAST = {"gbk": False, "big5": False, "cp932": True, "euc_jp": True}
+_KANA = re.compile("[\u3040-\u30ff]")
 _FREQUENT = {f"{e}>utf-8" for e in ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "gbk")}
 MAX_STATES = 60  # expanded states of one piece; with one legacy step a path the graph is smaller
 
@@ -367,6 +369,8 @@ def restore_piece(text: str) -> tuple[str, float, float, tuple[str, ...]]:
                 continue
             seen.add(key)
             toll = 0.4 if not step.endswith("utf-8") else 0.02 if step in _FREQUENT else 0.3
+            if step.rpartition(">")[2] in _EAST and bool(_KANA.search(out)) != _EAST[step.rpartition(">")[2]]:
+                toll += 0.3  # Japanese has kana, Chinese has none
             worth = cost(out) + toll * (len(path) + 1)
             if worth < best_cost:
                 best, best_cost, best_path = out, worth, (*path, step)
