@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions.columns import count_all
+from lacuna.functions.text import same_key
 from lacuna.operators import fits
 from lacuna.operators import stats as S
 from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.measures import _SQL_FOLDS, _fold_errors, _trust_rows
+from lacuna.plans.quality import sql_key
 from lacuna.plans.relations import HIBOU, PHIKON, _fit_jobs, _probes
+from lacuna.product import ScoreTable
+from lacuna.sources.files import markdown_tables
 from lacuna.sources.tables import table
 
 QUERIES: dict = {}
@@ -235,3 +239,57 @@ def g29(s, d):
 @query("e20_trust_by_suite", f"WITH {SQL_PRED}, t AS (SELECT *, (abs(predicted - actual) <= 10)::INT AS ok, round(dispersion, 9) AS risk FROM p), o AS (SELECT *, ntile(20) OVER (ORDER BY risk, model_id, evaluation_id) AS bin FROM t) SELECT suite_id, round(avg(bin), 6) AS mean_bin, round(avg(ok), 6) AS event FROM o GROUP BY 1")
 def e20(s, d):
     return _trust_rows(s, d).groupBy("suite_id").agg(F.round(F.avg("bin"), 6).alias("mean_bin"), F.round(F.avg("ok"), 6).alias("event"))
+
+
+@query("b11_clip", f"WITH {SQL_CELLS} SELECT suite_id, round(avg(greatest(0, least(100, score * 1.5 - 20))), 6) AS clipped FROM c GROUP BY 1")
+def b11(s, d):
+    x = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") * 1.5 - 20))
+    return cells(s, d).groupBy("suite_id").agg(F.round(F.avg(x), 6).alias("clipped"))
+
+
+@query("b14_strict_aliases", f"WITH a AS (SELECT DISTINCT {sql_key('model_id')} AS k FROM model_metadata), x AS (SELECT {sql_key('model_alias')} AS k, suite_id FROM {HIBOU} WHERE model_alias IS NOT NULL) SELECT suite_id, k IN (SELECT k FROM a) AS known, count(*) AS n FROM x GROUP BY 1, 2")
+def b14(s, d):
+    """Aliases that resolve to a registered model, and those a strict reader would refuse, by suite."""
+    known = table(s, d, "model_metadata").select(same_key("model_id").alias("k")).distinct().withColumn("known", F.lit(True))
+    x = table(s, d, HIBOU).where(F.col("model_alias").isNotNull()).select("suite_id", same_key("model_alias").alias("k"))
+    return x.join(known, "k", "left").groupBy("suite_id", F.coalesce("known", F.lit(False)).alias("known")).agg(count_all().alias("n"))
+
+
+@query("b16_text_search", "SELECT model_id, family, provider FROM model_metadata WHERE contains(lower(model_id), 'slide') OR contains(lower(coalesce(provider, '')), 'health')")
+def b16(s, d):
+    hit = F.contains(F.lower("model_id"), F.lit("slide")) | F.contains(F.lower(F.coalesce("provider", F.lit(""))), F.lit("health"))
+    return table(s, d, "model_metadata").where(hit).select("model_id", "family", "provider")
+
+
+@query("e12_greedy_argmin", f"WITH {_SQL_FOLDS}, m AS (SELECT fold, evaluation_id, round(median(abs(predicted - actual)), 6) AS loss FROM p GROUP BY 1, 2) SELECT fold, evaluation_id, loss FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY loss, evaluation_id) AS n FROM m) WHERE n = 1")
+def e12(s, d):
+    m = _fold_errors(s, d).groupBy("fold", "evaluation_id").agg(F.round(F.median(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("loss"))
+    best = m.groupBy("fold").agg(F.min(F.struct("loss", "evaluation_id")).alias("b"))
+    return best.select("fold", "b.evaluation_id", "b.loss")
+
+
+@query("h6_predict")
+def h6(s, d):
+    """One cell of one model: the observed score if there is one, else the completion."""
+    opened = ScoreTable.open(table(s, d, "scores"))
+    target = opened.models().orderBy(F.desc("observed"), "model_id").first()["model_id"]
+    return opened.predict(target)
+
+
+@query("h11_export_scores", f"WITH {SQL_CELLS} SELECT c.model_id, c.evaluation_id, c.suite_id, t.task_family, round(score, 6) AS score FROM c LEFT JOIN tasks t USING (evaluation_id)")
+def h11(s, d):
+    t = table(s, d, "tasks").select("evaluation_id", "task_family")
+    return cells(s, d).join(t, "evaluation_id", "left").select("model_id", "evaluation_id", "suite_id", "task_family", F.round("score", 6).alias("score"))
+
+
+@query("a1_score_scan", "SELECT model_id, evaluation_id, value, normalized_score, suite_id, metric, reference_url, audit_status FROM scores WHERE audit_status IN ('verified', 'parsed_primary_source')")
+def a1(s, d):
+    """The eight columns of the score scan; filter and columns reach the Parquet reader."""
+    keep = F.col("audit_status").isin("verified", "parsed_primary_source")
+    return table(s, d, "scores").where(keep).select("model_id", "evaluation_id", "value", "normalized_score", "suite_id", "metric", "reference_url", "audit_status")
+
+
+@query("a17_text_tables")
+def a17(s, d):
+    """Rows of Markdown tables inside the documents."""
+    return markdown_tables(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
