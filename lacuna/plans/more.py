@@ -228,8 +228,8 @@ def g29(s, d):
     other = ranked.orderBy(F.md5("evaluation_id")).limit(4).agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes")).withColumn("arm", F.lit("random"))
     none = often.select(F.array().cast("array<string>").alias("probes"), F.lit("none").alias("arm"))
     arms = often.unionByName(other).unionByName(none)
-    targets = c.groupBy("model_id").agg(count_all().alias("n")).orderBy(F.desc("n"), "model_id").limit(6).select("model_id")
-    jobs = targets.crossJoin(F.broadcast(arms)).select(F.concat("arm", F.lit("/"), "model_id").alias("job_id"), F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context"))  # six targets, three arms
+    targets = c.select("model_id").distinct()
+    jobs = targets.crossJoin(F.broadcast(arms)).select(F.concat("arm", F.lit("/"), "model_id").alias("job_id"), F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context"))  # three arms
     p = fits.fit_targets(c, jobs).withColumn("arm", F.substring_index("job_id", "/", 1))
     matched = p.groupBy("model_id", "evaluation_id").agg(F.countDistinct("arm").alias("k")).where("k = 3").select("model_id", "evaluation_id")
     truth = c.select("model_id", "evaluation_id", F.col("score").alias("actual"))
