@@ -28,6 +28,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lacuna.session import cut
+
 _FOREVER = "9999-12-31 00:00:00"
 
 
@@ -91,7 +93,8 @@ def find_orphans(
         if ref_time is None:
             lost = some.join(known.select(*keys).distinct(), keys, "left_anti").withColumn("kind", F.lit("missing"))
         else:
-            spans = validity_spans(known, keys, "_start", "_end").withColumn("_known", F.lit(True))
+            # cut, so that both sides of the join are plain shuffles and a hot key of the references can be split
+            spans = cut(validity_spans(known, keys, "_start", "_end").withColumn("_known", F.lit(True)))
             at = F.col("_time").cast("timestamp")
             in_force = F.exists("_spans", lambda s: (s["start"] <= at) & (at < s["stop"]))
             kind = (
