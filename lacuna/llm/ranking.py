@@ -42,8 +42,9 @@ def rank_columns(scores: DataFrame, identity: str, columns: Sequence[dict]) -> D
             )
         ).alias("s"),
     ).select(identity, "s.col", "s.value")
-    ranks = value_counts_below(long, "col", "value").withColumn("u", (F.col("below") + F.col("n") / 2.0) / F.col("total"))
-    placed = long.where(F.col("value").isNotNull()).join(ranks.select("col", "value", "u"), ["col", "value"])
+    ranks = value_counts_below(long, "col", "value").select("col", "value", ((F.col("below") + F.col("n") / 2.0) / F.col("total")).alias("u"))
+    # cut, so that both sides of the join are plain shuffles and a value that many rows share can be split
+    placed = long.where(F.col("value").isNotNull()).join(cut(ranks), ["col", "value"])
     turned = [F.max(F.when(F.col("col") == c["name"], F.col("u") if c["higher_is_better"] else 1.0 - F.col("u"))).alias(c["name"]) for c in columns]
     return placed.groupBy(identity).agg(*turned)
 
