@@ -84,8 +84,17 @@ def _utf8_pattern(encoding: str) -> re.Pattern:
     return re.compile(f"(?:{two}{tail}|{three}{tail}{tail}|{four}{tail}{tail}{tail})+")
 
 
+_UNDECODED = "\U0010fffe"
+
+
+@lru_cache(maxsize=None)
+def _translation(wrong: str, right: str) -> dict[int, str]:
+    """What each character of ``wrong`` is in ``right``; bytes that ``right`` leaves open give a mark."""
+    chars = _char_table(right)
+    return {ord(c): chars[b - 0x80] or _UNDECODED for c, b in _byte_table(wrong).items()}
+
+
 _HIGH_RUN = re.compile("[^\x00-\x7f]+")
-_WIDE_RUN = re.compile("[^\x00-\x7f]+[\x40-\x7e]?")
 
 
 def _from_utf8(text: str, encoding: str) -> str | None:
@@ -146,19 +155,8 @@ def _reread(text: str, wrong: str, right: str) -> str | None:
                 run, odd = bytearray(), False
             parts.append(c)
         return "".join(parts)[:-1] if changed else None
-    chars = _char_table(right)
-    out = []
-    for c in text:
-        b = None if c < "\x80" else table.get(c)
-        if b is None:
-            out.append(c)
-            continue
-        new = chars[b - 0x80]
-        if new is None:
-            return None
-        out.append(new)
-    made = "".join(out)
-    return made if made != text else None
+    made = text.translate(_translation(wrong, right))
+    return made if made != text and _UNDECODED not in made else None
 
 
 def _unescape(text: str) -> str | None:
@@ -386,8 +384,19 @@ def restore_piece(text: str) -> tuple[str, float, float, tuple[str, ...]]:
 _CUT = re.compile("((?<=[.!?;:])[ ]+|\n+|(?<=[。！？]))")
 
 
-@lru_cache(maxsize=20_000)
+_MEMO_CHARS = 400  # longer pieces hardly ever repeat and are not kept
+
+
 def _judge(piece: str) -> tuple[bool, str, str]:
+    return _judge_known(piece) if len(piece) <= _MEMO_CHARS else _judge_new(piece)
+
+
+@lru_cache(maxsize=20_000)
+def _judge_known(piece: str) -> tuple[bool, str, str]:
+    return _judge_new(piece)
+
+
+def _judge_new(piece: str) -> tuple[bool, str, str]:
     if not piece or (piece.isascii() and "&" not in piece):
         return False, piece, ""
     out, after, before, path = restore_piece(piece)
