@@ -349,9 +349,15 @@ def _steps(text: str, legacy: bool) -> Iterator[tuple[str, str]]:
                 yield f"{wrong}>{right}", out
 
 
+#: Two neighbouring characters that may be bytes of one sequence, or one that a wide encoding reads from two bytes.
+_SEQUENCE = re.compile("[^\x00-\x7f]{2}|[\u2e80-\uffff]")
+
+
 def restore_piece(text: str) -> tuple[str, float, float, tuple[str, ...]]:
     """Cheapest reachable text, its cost, the cost before, and the steps taken to it."""
     start = cost(text)
+    if start < WORTH_PAIRS and not _SEQUENCE.search(text) and "&" not in text:
+        return text, start, start, ()  # no two bytes of UTF-8 can hide in it
     best, best_cost, best_path = text, start, ()
     heap: list[tuple[float, int, str, tuple[str, ...]]] = [(start, 0, text, ())]
     seen, order, expanded = {hash(text)}, 0, 0
