@@ -5,7 +5,9 @@ implausible, a best-first search runs over reinterpretations (encode with the
 encoding it was wrongly read with, decode with another) and unescaping; visited
 states are kept in a set, and a character-plausibility cost guides the search to
 the cheapest reachable text.  A piece is garbled if the cheapest text is clearly
-cheaper, or if it holds replacement characters, which nothing restores.
+cheaper, or if it holds replacement characters, which nothing restores.  Pieces
+left over are tried together under each pair of single-byte encodings: what all
+of a document's odd letters and signs, judged in its language, gain is one sum.
 
 The cost looks at classes of neighbouring characters (a capital accented letter
 behind a small letter, a symbol inside a word, two scripts in one word, control
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from lacuna.session import spread
 
@@ -425,18 +427,150 @@ def _judge_new(piece: str) -> tuple[bool, str, str]:
 _LOST = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
 
 
-def restore_text(text: str | None) -> tuple[bool, str | None, str]:
+# ---- evidence of a whole document ----
+
+# Marked letters of languages, and their words of one such letter.
+_ALPHABETS = {
+    "de": "äöüß", "fr": "àâæçèéêëîïôœùûüÿ", "es": "áéíóúüñ", "pt": "àáâãçéêíóôõúü", "pl": "ąćęłńóśźż", "cs": "áčďéěíňóřšťúůýž",
+    "da": "æøåé", "sv": "äöåé", "is": "áéíóúýþæöð", "hu": "áéíóöőúüű", "it": "àèéìòù", "tr": "âçğıîöşüû", "ro": "ăâîșțşţ", "en": "",
+}
+_ALONE = {"fr": "à", "pt": "àéáó", "es": "áóé", "it": "èàòé", "cs": "áó", "pl": "ó", "sv": "åö", "da": "åø", "hu": "ő"}
+_CODES = {"pol": "pl", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "eng": "en"}
+_ANY_ALONE = "".join(_ALONE.values())
+POOL_MARGIN, POOL_SHARE = 0.8, 0.3  # what all pieces of a document must gain under one pair, and the share of oddness that may stay
+_TOKEN = re.compile(r"[^\W\d_]*[^\x00-\x7f][^\W\d_]*")
+
+
+def _language(lang: str | None) -> str:
+    code = re.split("[-_]", (lang or "").strip().lower())[0]
+    return _CODES.get(code, code)
+
+
+def _odd_word(word: str, before: str, after: str, lang: str) -> float:
+    """How odd one run of letters with marked ones is where it stands."""
+    low = word.lower()
+    marked = [c for c in low if c > "\x7f"]
+    if len(word) == 1:
+        if "\u0370" <= word < "\u0400" or word in "µ":
+            return 0.1
+        if "\u0400" <= word < "\u0530":
+            return 0.0 if low in "авикосуя" and lang not in _ALPHABETS else 1.0
+        if "\u00c0" <= word < "\u0250":
+            if before.isdigit() and after.isdigit():
+                return 1.0
+            return 0.0 if low in _ALONE.get(lang, _ANY_ALONE if lang not in _ALPHABETS else "") else 0.9
+        return 0.0
+    own = _ALPHABETS.get(lang)
+    if low[1:] in ("m", "c", "l", "g") and not word[0].isascii() and low[0] not in (own or ""):
+        return 0.0 if word[0] in "µμ" else 1.0  # a unit with something else for its first sign
+    if any(not (c < "\x80" or "\u00c0" <= c < "\u0250") for c in low):
+        return 0.0  # other scripts, and two in a word, are judged by the cost of neighbours
+    total = 0.0
+    if any(a.islower() and b.isupper() for a, b in zip(word, word[1:]) if a > "\x7f" or b > "\x7f"):
+        total += 1.2
+    if len(word) > 2 and word[0].isupper() and word[1].isupper() and not word[1].isascii() and word[2:].islower():
+        total += 1.2  # a capital letter, a marked capital one, then small letters
+    if word.islower() and own is not None and before != "-":
+        total += 0.9 * sum(c not in own for c in marked)  # names may hold any letter, common words not
+    elif len(set(marked)) > 1 and not any(all(c in a for c in marked) for a in _ALPHABETS.values()):
+        total += 0.9  # letters that no one language has together
+    return total
+
+
+_INSIDE = set("°¿¡¸¯¨´¦¬³²¹ªº¾½¼¤§¶÷±√∞≈≤≥∂∫∏∑Ω◊†‡‰ˆ˜˙˚˝˛ˇ˘ﬂﬁ…“”„«»€£¥¢™®©")
+_SIGNS = set("†‡™®©◊¸¯¨´¦¬³²¹ªº¶¿¡ˆ˜˙˚˝˛ˇ˘¤") | {chr(o) for o in range(0x2550, 0x25A0)}
+
+
+def _odd_sign(text: str, at: int) -> float:
+    """How odd a sign is where it stands."""
+    c, before, after, beyond = text[at], text[max(0, at - 1) : at], text[at + 1 : at + 2], text[at + 2 : at + 3]
+    if c == "°":
+        return 1.0 if before.isalpha() and after.isalpha() and after.islower() else 0.0
+    if after == "C" and not beyond.isalpha() and (before == " " or before.isdigit()):
+        return 1.0  # a temperature without its sign
+    if before.isdigit() and after.isdigit():
+        return 0.0 if c in "×–—·’±" else 1.0
+    if c in "–—" and before.isalpha() and after.isalpha():
+        return 0.1 if text[max(0, at - 3) : at].isalpha() and text[at + 1 : at + 4].isalpha() and min(at, len(text) - at - 1) > 2 else 0.9  # words on both sides, not a letter
+    if c in "–—":
+        return 0.5 if before.isalpha() != after.isalpha() and (before + after).strip() != "" and (before == " ") != (after == " ") else 0.1
+    if before.isalpha() and after.isalpha() and c not in "’·­":
+        return 1.0
+    if before == "-" and after.isalpha() and c in _INSIDE:
+        return 1.0
+    if before == " " and after == " " and c in _SIGNS:
+        return 0.9
+    return 0.05
+
+
+def oddness(text: str, lang: str) -> float:
+    """How odd the marked letters and signs of a text are in that language; the sum over their places."""
+    total = 0.0
+    at, end = 0, len(text)
+    while at < end:
+        m = _TOKEN.search(text, at)
+        if not m:
+            break
+        lo, hi = m.span()
+        # a run of letters around the first sign or marked letter; signs stand for themselves
+        word = m[0]
+        if word.isalpha():
+            total += _odd_word(word, text[lo - 1] if lo else "", text[hi] if hi < end else "", lang)
+            at = hi
+            continue
+        k = next(i for i in range(lo, hi) if text[i] > "\x7f" and not text[i].isalpha())
+        head = text[lo:k]
+        if head and not head.isascii():
+            total += _odd_word(head, text[lo - 1] if lo else "", text[k], lang)
+        total += _odd_sign(text, k)
+        at = k + 1
+    return total
+
+
+_NARROW_PAIRS = [(w, r) for w, r in [*READ_AS_PAIRS, ("iso8859_2", "cp1252"), ("cp437", "iso8859_2"), ("cp850", "cp1250"), ("cp850", "cp1251"), ("cp1250", "mac_roman")] if w not in _MULTIBYTE and r not in _MULTIBYTE]
+_NARROW_PAIRS = list(dict.fromkeys([("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("cp437", "cp1252"), ("cp1250", "mac_roman"), *_NARROW_PAIRS]))  # the first of equals is taken
+
+
+def pooled_pair(pieces: list[str], lang: str) -> tuple[str, dict[int, str]] | None:
+    """The one pair of encodings under which all changed pieces together lose their oddness, and those pieces as reread."""
+    before = [oddness(p, lang) if not p.isascii() else 0.0 for p in pieces]
+    if sum(before) < POOL_MARGIN:
+        return None
+    best, best_worth = None, 0.0
+    for wrong, right in _NARROW_PAIRS:
+        made, old, new = {}, 0.0, 0.0
+        for i, piece in enumerate(pieces):
+            if before[i] < 0.3:
+                continue
+            out = _reread(piece, wrong, right)
+            if out is None or _STRANGE_ASCII.search(out) or _LOST.search(out):
+                continue
+            after, weird = oddness(out, lang), max(0.0, cost(out) - cost(piece) - 0.3)  # a sign alone costs no more
+            if after + weird < before[i]:
+                made[i], old, new = out, old + before[i], new + after + weird
+        if old - new >= POOL_MARGIN and new <= POOL_SHARE * old and old - 2 * new > best_worth:
+            best, best_worth = (f"{wrong}>{right}", made), old - 2 * new
+    return best
+
+
+def restore_text(text: str | None, lang: str | None = None) -> tuple[bool, str | None, str]:
     """Whether a text holds a garbled stretch, the text with all restorable stretches restored, and the steps used."""
     if not text or text.isascii():
         return False, text, ""
-    found, parts, used = False, [], []
-    for piece in _CUT.split(text):
-        hit, out, steps = _judge(piece)
-        found = found or hit
-        parts.append(out)
+    parts, judged, used = _CUT.split(text), [], []
+    for piece in parts:
+        judged.append(_judge(piece))
+    found = any(hit for hit, _, _ in judged)
+    open_ = [i for i, (hit, _, _) in enumerate(judged) if not hit and parts[i] and not parts[i].isascii()]
+    pooled = pooled_pair([parts[i] for i in open_], _language(lang)) if open_ else None
+    if pooled:
+        found = True
+        for k, out in pooled[1].items():
+            judged[open_[k]] = (True, out, pooled[0])
+    for _, _, steps in judged:
         if steps and steps not in used:
             used.append(steps)
-    return found, "".join(parts), "; ".join(used)
+    return found, "".join(out for _, out, _ in judged), "; ".join(used)
 
 
 def restore_documents(documents: DataFrame) -> DataFrame:
@@ -446,7 +580,7 @@ def restore_documents(documents: DataFrame) -> DataFrame:
         for frame in batches:
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at : at + 512]
-                done = [restore_text(t) for t in part["text"]]
+                done = [restore_text(t, g) for t, g in zip(part["text"], part["lang"])]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
@@ -457,4 +591,4 @@ def restore_documents(documents: DataFrame) -> DataFrame:
                     }
                 )
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(work, "doc_id long, garbled boolean, restored boolean, steps string, text string")
+    return spread(documents.select("doc_id", "text", "lang" if "lang" in documents.columns else F.lit(None).cast("string").alias("lang"))).mapInPandas(work, "doc_id long, garbled boolean, restored boolean, steps string, text string")

@@ -94,3 +94,32 @@ def test_lost_characters_are_found_but_not_restored(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.garbled, r.restored, r.text) for r in mojibake.restore_documents(frame).collect()}
     assert got[1][:2] == (True, False) and got[2] == (False, False, None) and got[3][0] is False and got[4] == (True, True, "Grün")
+
+
+@pytest.mark.parametrize(
+    "lang,good,written,read",
+    [
+        ("fr", "Le seuil reste à 0.532 et ne change pas.", "cp1252", "mac_roman"),
+        ("fr", "Le seuil reste à 0.532 et ne change pas.", "cp1252", "cp1250"),
+        ("en", "Slides from Kórniec and Bern.", "cp1252", "mac_roman"),
+        ("en", "Slides from Açor and Bern.", "cp1252", "mac_roman"),
+        ("en", "Values ≥ 7 are kept.", "mac_roman", "cp1250"),
+        ("en", "Tiles of 256×256 were cut.", "cp1252", "mac_roman"),
+        ("en", "Stored at 37 °C overnight.", "cp437", "cp1252"),
+        ("es", "Se fija el tamaño de la serie.", "cp1252", "cp1250"),
+    ],
+)
+def test_one_wrong_character_is_found_by_the_language(lang, good, written, read):
+    assert mojibake.restore_text(good, lang)[0] is False
+    assert mojibake.restore_text("Fine. " + _spoil(good, written, read), lang)[:2] == (True, "Fine. " + good)
+
+
+def test_weak_evidence_adds_up_over_a_document():
+    pieces = ["Words—here.", "More—there."]
+    bad = [_spoil(p, "mac_roman", "cp1252") for p in pieces]
+    assert mojibake.pooled_pair(bad, "en")[0] == "cp1252>mac_roman"
+
+
+@pytest.mark.parametrize("text,lang", [("Seuil α 0.05 ‡\n‡ Voir la note.", "fr"), ("Das Öl und 5 µl bei 4 °C, 2 × 3.", "de"), *[(t, x) for t in GOOD for x in ("en", None)]])
+def test_correct_text_stays_whatever_its_language(text, lang):
+    assert mojibake.restore_text(text, lang)[:2] == (False, text)
