@@ -374,8 +374,8 @@ def f10(s, d):
 
 @query("f13_greedy_probes")
 def f13(s, d):
-    """Three greedy probes: each round scores every remaining candidate over all models by the regression of columns on the probe mean."""
-    return search.greedy_probes(cells(s, d), rounds=3)
+    """Three greedy probes: each round refits every model as a target for every remaining candidate; least median error over all cells."""
+    return search.refit_greedy(cells(s, d), rounds=3).drop("spent")
 
 
 @query("f15_exhaustive_pairs")
@@ -386,9 +386,9 @@ def f15(s, d):
 
 @query("f14_budgeted_probes")
 def f14(s, d):
-    """Greedy probes under a total sample budget, unknown counts screened out with their reason."""
+    """Greedy probes under a total sample budget, judged by refits; unknown counts are screened out."""
     costs = table(s, d, "tasks").select("evaluation_id", F.col("num_samples").try_cast("double").alias("cost"))
-    return search.budgeted_probes(cells(s, d), costs, budget=60_000.0, rounds=3)
+    return search.refit_greedy(cells(s, d), rounds=3, costs=costs, budget=60_000.0)
 
 
 @query("d44_informativeness", f"""WITH {SQL_CELLS}, pr AS (SELECT a.evaluation_id AS probe, b.evaluation_id AS e, b.model_id, b.score AS y, a.score AS x FROM c a JOIN c b ON a.model_id = b.model_id AND a.evaluation_id <> b.evaluation_id),

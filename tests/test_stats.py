@@ -196,3 +196,22 @@ def test_greedy_probes(spark):
     assert [r.step for r in got] == [1, 2] and got[0].evaluation_id != got[1].evaluation_id
     best = search.single_probe_errors(cells).orderBy(F.round("mae", 9), "evaluation_id").first()
     assert got[0].evaluation_id == best.evaluation_id
+
+
+def test_refit_search_hides_the_target(spark):
+    cells, rows = _random_cells(spark, 8, 5, share=0.8)
+    names = sorted({x[1] for x in rows})
+    got = {r.set_id: r for r in search.refit_sets(cells, spark.createDataFrame([(e, [e]) for e in names], "set_id string, members array<string>")).collect()}
+    models = sorted({x[0] for x in rows})
+    for probe in names:
+        errors = []
+        for target in models:
+            seen = [x for x in rows if x[0] != target or x[1] == probe]
+            es = sorted({x[1] for x in seen})
+            table = als.complete([models.index(x[0]) for x in seen], [es.index(x[1]) for x in seen], [x[2] for x in seen], len(models), len(es), 1, allow_empty_rows=True)
+            errors += [0.0 if x[1] == probe else abs(table[models.index(target), es.index(x[1])] - x[2]) for x in rows if x[0] == target and (x[1] == probe or x[1] in es)]
+        assert abs(got[probe].parity_medae - np.median(errors)) < 1e-9
+    first = search.refit_greedy(cells, 1).first()
+    assert first.evaluation_id == min(names, key=lambda e: (round(got[e].parity_medae, 9), e))
+    costs = spark.createDataFrame([(names[0], 5.0), (names[1], 9.0), (names[2], None)], "evaluation_id string, cost double")
+    assert [r.evaluation_id for r in search.refit_greedy(cells, 3, costs=costs, budget=6.0).collect()] == [names[0]]
