@@ -215,3 +215,14 @@ def test_refit_search_hides_the_target(spark):
     assert first.evaluation_id == min(names, key=lambda e: (round(got[e].parity_medae, 9), e))
     costs = spark.createDataFrame([(names[0], 5.0), (names[1], 9.0), (names[2], None)], "evaluation_id string, cost double")
     assert [r.evaluation_id for r in search.refit_greedy(cells, 3, costs=costs, budget=6.0).collect()] == [names[0]]
+
+
+def test_exhaustive_search_scores_every_pair(spark):
+    from itertools import combinations
+
+    cells, rows = _random_cells(spark, 20, 14, share=0.9)
+    names = sorted({x[1] for x in rows})
+    got = search.exhaustive_probes(cells, None, 2, top=1000, batch=40).collect()
+    assert sorted(r.set_id for r in got) == sorted("+".join(c) for c in combinations(names, 2))
+    assert [r.mae for r in got] == sorted(r.mae for r in got)
+    assert search.exhaustive_probes(cells.where("false"), None, 2).count() == 0
