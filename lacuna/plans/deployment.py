@@ -163,15 +163,30 @@ def c24(s, d):
     return out.groupBy("suite_id").agg(count_all().alias("n"), F.round(F.avg(F.col("actual").between(F.col("low"), F.col("high")).cast("double")), 6).alias("coverage"), F.round(F.median(F.col("high") - F.col("low")), 5).alias("width"))
 
 
+def _new_entity_errors(c: DataFrame, counts=(1, 3, 5, 10), seeds=(42, 43, 44)) -> DataFrame:
+    """Errors of every model refitted as a new one with k of its own cells revealed, drawn by hash per seed; same_suite from those cells."""
+    draw = c.select("model_id", "evaluation_id", "suite_id", F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed"))
+    order = F.md5(F.concat_ws("|", "seed", "model_id", "evaluation_id"))
+    w = Window.partitionBy("model_id", "seed")
+    ranked = draw.select("*", F.row_number().over(w.orderBy(order, "evaluation_id")).alias("p"), count_all().over(w).alias("n"))
+    shown = ranked.select("*", F.explode(F.array(*[F.lit(x) for x in counts])).alias("k")).where("n > k AND p <= k")
+    jobs = shown.groupBy("model_id", "seed", "k").agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes"), F.collect_set("suite_id").alias("suites"))
+    jobs = cut(jobs.withColumn("job_id", F.concat_ws("\u0001", "model_id", "seed", "k")))
+    p = fits.fit_targets(c, jobs.select("job_id", F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context")))
+    e = p.join(c.select("model_id", "evaluation_id", "suite_id", F.col("score").alias("actual")), ["model_id", "evaluation_id"])
+    e = e.join(jobs.select("job_id", "seed", "k", "suites"), "job_id").where("predicted IS NOT NULL")
+    return e.select("model_id", "evaluation_id", "suite_id", "seed", "k", F.array_contains("suites", F.col("suite_id")).alias("same_suite"), "actual", "predicted", F.abs(F.col("predicted") - F.col("actual")).alias("error"))
+
+
 @query("g24_new_entity_intervals")
 def g24(s, d):
-    """Leave-one-model-out risks and group-balanced scales: coverage, width and abstentions by scope."""
-    e = _errors(s, d).drop("risk").withColumn("k", F.lit(5)).withColumn("same_suite", F.col("fold") % 2 == 0)
-    r = cut(confidence.new_entity_risk(cut(e)))  # both are read several times
+    """New models with k revealed cells: leave-one-model-out risks and group-balanced scales; coverage, width and abstentions by k and scope."""
+    r = cut(confidence.new_entity_risk(cut(_new_entity_errors(cells(s, d)))))  # both are read several times
     j = r.join(F.broadcast(confidence.balanced_scale(r).drop("models")), "k", "left")  # a row per k
     radius = F.col("scale") * F.col("risk")
-    inside = (F.col("error") <= radius).cast("double")
-    return j.groupBy("scope").agg(count_all().alias("n"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.median(2 * radius), 6).alias("width"))
+    low, high = F.greatest(F.lit(0.0), F.col("predicted") - radius), F.least(F.lit(100.0), F.col("predicted") + radius)
+    inside = F.when(radius.isNotNull(), F.col("actual").between(low, high).cast("double"))
+    return j.groupBy("k", "scope").agg(count_all().alias("n"), F.round(F.avg(inside), 6).alias("coverage"), F.round(F.median(F.when(radius.isNotNull(), high - low)), 6).alias("width"))
 
 
 @query("h1_audit", f"WITH {SQL_CELLS} SELECT count(*) AS observed, count(DISTINCT model_id) AS models, count(DISTINCT evaluation_id) AS evaluations, round(count(*) / (count(DISTINCT model_id) * count(DISTINCT evaluation_id)), 6) AS density FROM c")

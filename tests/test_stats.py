@@ -226,3 +226,21 @@ def test_exhaustive_search_scores_every_pair(spark):
     assert sorted(r.set_id for r in got) == sorted("+".join(c) for c in combinations(names, 2))
     assert [r.mae for r in got] == sorted(r.mae for r in got)
     assert search.exhaustive_probes(cells.where("false"), None, 2).count() == 0
+
+
+def test_new_entity_errors_come_from_refits_with_revealed_cells(spark):
+    from lacuna.plans.deployment import _new_entity_errors
+
+    cells, rows = _random_cells(spark, 8, 6, share=1.0)
+    c = cells.withColumn("suite_id", F.when(F.col("evaluation_id") < "e03", "a").otherwise("b"))
+    got = _new_entity_errors(c, (1, 3), (42,)).collect()
+    assert {r.k for r in got} == {1, 3} and len(got) == 8 * (5 + 3)
+    ms, es = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
+    for target, k in (("m01", 1), ("m02", 3)):
+        mine = [r for r in got if (r.model_id, r.k) == (target, k)]
+        probes = set(es) - {r.evaluation_id for r in mine}
+        seen = [x for x in rows if x[0] != target or x[1] in probes]
+        table = als.complete([ms.index(x[0]) for x in seen], [es.index(x[1]) for x in seen], [x[2] for x in seen], len(ms), len(es), 1)
+        suites = {"a" if e < "e03" else "b" for e in probes}
+        for r in mine:
+            assert abs(r.predicted - table[ms.index(target), es.index(r.evaluation_id)]) < 1e-9 and r.same_suite == (r.suite_id in suites)
