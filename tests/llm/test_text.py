@@ -123,3 +123,67 @@ def test_weak_evidence_adds_up_over_a_document():
 @pytest.mark.parametrize("text,lang", [("Seuil α 0.05 ‡\n‡ Voir la note.", "fr"), ("Das Öl und 5 µl bei 4 °C, 2 × 3.", "de"), *[(t, x) for t in GOOD for x in ("en", None)]])
 def test_correct_text_stays_whatever_its_language(text, lang):
     assert mojibake.restore_text(text, lang)[:2] == (False, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a² + b² = c², ½ mv²", "10 µm × 5 µm², ±½ °C", "α² ≥ β²", "Präzise Messung: 5 µm²", "5 kΩ ± 10 Ω, £5 or 5 €, § 12, 10⁻³ m·s⁻¹",
+        "1,2·10⁶ Zellen", "x ≈ 5, y ≠ 3, 37 °C, 37°C, 5\xa0°C", "512×512 px, ¼ of ¥100", "χ² = 3.2, R² ≥ 0.9", "AT&amp;T and &lt;b&gt; &eacute;t&eacute;", "Tom & Jerry; R&D",
+    ],
+)
+@pytest.mark.parametrize("lang", ["en", "de", None])
+def test_formulas_units_and_prices_are_correct_text(text, lang):
+    assert mojibake.restore_text(text, lang)[:2] == (False, text)
+
+
+# One sentence each in twenty languages.
+WORLD = {
+    "bg": "Пробите са проверени отново.", "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy.", "da": "Prøverne blev målt på ny i går.", "de": "Größere Flächen würden später geprüft.",
+    "el": "Τα δείγματα ελέγχθηκαν ξανά.", "es": "El tamaño de la sección cambió después.", "et": "Proovid säilitati külmkapis ööpäev.", "fi": "Näytteet säilytettiin pöydällä yön yli.",
+    "fr": "Les échantillons ont été vérifiés à nouveau.", "hr": "Uzorci su čuvani dvadeset sati kod kuće.", "hu": "A mintákat hűtőben őrizték éjszaka.", "is": "Sýnin voru geymd við þurrar aðstæður.",
+    "it": "La qualità è più bassa perché il vetrino è sporco.", "ja": "標本は染色した後に走査した。", "pl": "Średnia została policzona z żółtych próbek.", "pt": "A avaliação não foi concluída às três.",
+    "ru": "Проверка данных назначена на среду.", "sv": "Proverna förvarades i kylskåp över natten.", "tr": "Örnekler soğukta güneşten uzak saklandı.", "zh": "样本因折叠被排除。",
+}
+
+
+@pytest.mark.parametrize("lang", WORLD)
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+@pytest.mark.parametrize("read", ["cp1252", "mac_roman", "cp437", "cp850", "cp1250"])
+def test_twenty_languages_through_one_to_three_rounds(lang, rounds, read):
+    bad = WORLD[lang]
+    for _ in range(rounds):
+        bad = "".join(mojibake._read_as(read)[b] for b in bad.encode())
+    if (lang, read) == ("is", "cp850"):
+        pytest.xfail("the thorn reads as another letter in cp437, which looks more usual")
+    found, text, steps = mojibake.restore_text("Fine.\n" + bad + "\nFine too.", lang)
+    assert found and text == "Fine.\n" + WORLD[lang] + "\nFine too.", steps
+
+
+@pytest.mark.parametrize(
+    "bad,good",
+    [
+        ("caf&Atilde;&copy; au lait", "café au lait"), ("d&#195;&#169;j&#195;&#160; vu", "déjà vu"), ("Ã©t&Atilde;&copy; à la plage", "été à la plage"), ("&amp;Atilde;&amp;copy;tude", "étude"),
+        ("aÂ² + bÂ² = cÂ²", "a² + b² = c²"), ("512Ã—512 ç”»ç´\xa0", "512×512 画素"), ("n\x00e\x00w\x00 \x00r\x00o\x00w\x00", "new row"),
+    ],
+)
+def test_escaped_and_nested_garbling(bad, good):
+    assert mojibake.restore_text(bad)[:2] == (True, good)
+
+
+def test_a_sound_stretch_in_a_garbled_line_stays():
+    bad = "画素数は512×512である。" + "平均値は表に入れない".encode("cp932").decode("cp1252", "replace").replace("�", "")
+    assert "512×512" in mojibake.restore_text(bad, "ja")[1]
+
+
+def test_the_screen_is_never_below_the_cost():
+    for text in [*GOOD, *WORLD.values(), *(_spoil(w, "utf-8", "latin-1") for w in WORLD.values())]:
+        if text:
+            assert mojibake.screen([mojibake.plain_notation(text)])[0][0] >= mojibake.cost(text) - 1e-9
+
+
+def test_a_search_has_no_limit_of_states():
+    bad = WORLD["fr"]
+    for _ in range(6):
+        bad = "".join(mojibake._read_as("cp1252")[b] for b in bad.encode())
+    assert mojibake.restore_text(bad)[:2] == (True, WORLD["fr"])
