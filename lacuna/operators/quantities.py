@@ -5,16 +5,19 @@ and that before a unit in the metric's name.  Where no unit is written, a
 mixture on the log scale is fitted per metric: one component per unit of the
 quantity, all sharing one mean and spread and shifted by the known conversion
 factors.  The unit is the component of largest posterior; values whose posterior
-stays below a threshold are flagged.
+stays below a threshold are flagged.  A metric measures the quantity that most of
+its written units belong to.
 
 The fit reads all rows: they are folded to a histogram of log values (bins of
-1/64 decade per metric), whose size does not depend on the number of rows, and
-only that histogram is fitted on the driver.
+1/64 decade per metric and unit), whose size does not depend on the number of
+rows, and each metric's histogram is fitted in a task of its own.  Metrics may be
+any number; their models are broadcast only up to a checked count.
 
 Defined results: no number gives no value; zero and non-finite numbers have no
 logarithm, so their missing unit stays unknown and flagged; numbers beyond the
-range of decimal(38,12) give no value; empty tables give no rows; columns other
-than those named are carried unchanged.
+range of decimal(38,12) give no value; metrics that are null or blank are one
+metric; empty tables give no rows; columns other than those named are carried
+unchanged.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions.columns import pin
 from lacuna.functions.text import is_missing
+from lacuna.session import cut
 
 # Spellings of units, without case, blanks and punctuation other
 # than the per cent and per mille signs.  Factors lead to the whole output unit:
@@ -57,9 +62,10 @@ UNITS = {
     },
 }
 COMMON = {"fraction": "fraction", "time": "second", "memory": "byte"}
-# Metrics that measure something other than a score.
+# What metrics measure of which no unit is ever written; all others are fractions.
 METRIC_QUANTITY = {"wallclock": "time", "peakmemory": "memory"}
-KNOWN_METRICS = ["auroc", "balancedaccuracy", "dice", "f1score", "meanpearsonr", "peakmemory", "relativedrop", "top1accuracy", "wallclock"]
+#: Models of more metrics than this are joined by a shuffle instead of a broadcast.
+BROADCAST_METRICS = 50_000
 # Out of the fit: units that no row of the quantity was ever written in get this weight.
 _RARE = 1e-6
 _BINS_PER_DECADE = 64
@@ -132,8 +138,8 @@ def plain_number(number: Column, fraction_like: Column) -> Column:
     )
 
 
-def parse_quantities(rows: DataFrame, value: str = "value", unit: str = "value_unit", metric: str = "metric") -> DataFrame:
-    """Adds quantity, number (decimal), unit and unit_source (value, value_unit, metric; null where no unit is written)."""
+def parse_units(rows: DataFrame, value: str = "value", unit: str = "value_unit", metric: str = "metric") -> DataFrame:
+    """Adds metric_key, unit_source (value, value_unit, metric; null where no unit is written), ``_unit`` (quantity/unit) and the number in both readings of a lone comma."""
     pattern = rf"({_NUMBER})\s*(.*)$"
     found = pin(rows, _text=clean_number_text(F.col(value)))
     found = pin(found, _n=F.regexp_extract("_text", pattern, 1), _rest=F.regexp_extract("_text", pattern, 2))
@@ -143,22 +149,12 @@ def parse_quantities(rows: DataFrame, value: str = "value", unit: str = "value_u
         _beside=unit_of(F.col("_rest")),
         _field=F.when(sign_only | ~is_missing(unit), unit_of(F.col(unit))),
         _named=metric_unit(F.col(metric)),
-        metric_key=metric_base(F.col(metric)),
+        metric_key=F.coalesce(metric_base(F.col(metric)), F.lit("")),
     )
-    by_metric = F.create_map(*[F.lit(x) for pair in METRIC_QUANTITY.items() for x in pair])
-    found = pin(found, _unit=F.coalesce("_beside", "_field", "_named"))
-    found = pin(found, quantity=F.coalesce(F.substring_index("_unit", "/", 1), F.try_element_at(by_metric, F.col("metric_key")), F.lit("fraction")))
-    fraction_like = (F.col("quantity") == "fraction") & ~F.coalesce(F.col("_unit").endswith("/basis_point"), F.lit(False))
-    found = pin(found, _plain=F.regexp_replace(plain_number(F.col("_n"), fraction_like), r"[.,]+$", ""))
     source = F.when(F.col("_beside").isNotNull(), "value").when(F.col("_field").isNotNull(), "value_unit").when(F.col("_named").isNotNull(), "metric")
-    found = pin(
-        found,
-        number=F.when(F.col("_n") != "", F.col("_plain").try_cast("decimal(38,12)")),
-        unit_source=source,
-        unit=F.substring_index("_unit", "/", -1),
-        _factor=F.try_element_at(_factor_map(), F.col("_unit")),
-    )
-    return found.drop("_text", "_n", "_rest", "_beside", "_field", "_named", "_unit", "_plain")
+    number = lambda fraction_like: F.when(F.col("_n") != "", F.regexp_replace(plain_number(F.col("_n"), F.lit(fraction_like)), r"[.,]+$", "").try_cast("decimal(38,12)"))
+    found = pin(found, _unit=F.coalesce("_beside", "_field", "_named"), unit_source=source, _fraction_number=number(True), _other_number=number(False))
+    return found.drop("_text", "_n", "_rest", "_beside", "_field", "_named")
 
 
 def common_whole(number: Column, factor: Column) -> Column:
@@ -166,94 +162,100 @@ def common_whole(number: Column, factor: Column) -> Column:
     return F.round(number.cast("decimal(38,12)") * factor.cast("decimal(20,0)"), 0).try_cast("bigint")
 
 
-def _metric_class() -> Column:
-    return F.when(F.col("metric_key").isin(KNOWN_METRICS), F.col("metric_key")).otherwise(F.concat(F.lit("other_"), F.col("quantity")))
-
-
-def fit_unit_mixtures(parsed: DataFrame, rounds: int = 60) -> dict:
-    """Per metric class: mean and spread of log10 of the common value, and weight of each unit.
+def _fit_metric(bins: pd.DataFrame, rounds: int = 60) -> dict:
+    """Quantity, mean and spread of log10 of the common value, and weight of each unit of one metric.
 
-    EM over histograms; rows with a written unit belong to its component, the
-    others share themselves out.
+    EM over a histogram; rows with a written unit of the quantity belong to its component, those without share
+    themselves out, and those of other quantities take no part.
     """
-    logs = F.log10(F.abs(F.col("number").cast("double")))
-    usable = parsed.where((F.col("number") != 0) & F.col("number").isNotNull())
+    written = bins["unit"].str.partition("/")[0].where(bins["unit"].notna())
+    votes = bins.groupby(written)["count"].sum().sort_index()
+    quantity = str(votes.idxmax()) if len(votes) else METRIC_QUANTITY.get(str(bins["metric_key"].iloc[0]), "fraction")
+    units = list(UNITS[quantity])
+    shift = np.array([math.log10(UNITS[quantity][u][0]) for u in units])
+    own = bins[written.isna() | (written == quantity)]
+    place = own["fraction_bin"] if quantity == "fraction" else own["other_bin"]
+    own, place = own[place.notna()], place[place.notna()].to_numpy(dtype=float)
+    x, n = (place + 0.5) / _BINS_PER_DECADE, own["count"].to_numpy(dtype=float)
+    known = np.array([units.index(u.partition("/")[2]) if isinstance(u, str) else -1 for u in own["unit"]], dtype=int)
+    if not len(x):
+        return {"quantity": quantity, "mean": 0.0, "spread": 1.0, "weight": [1.0 / len(units)] * len(units)}
+    y = x[:, None] + shift[None, :]  # log10 in output units under each unit
+    seen = np.flatnonzero(known >= 0)
+    if len(seen):
+        given = y[seen, known[seen]]
+        mean = np.average(given, weights=n[seen])
+        spread = max(0.05, math.sqrt(np.average((given - mean) ** 2, weights=n[seen])))
+        weight = np.bincount(known[seen], weights=n[seen], minlength=len(units)) + _RARE
+    else:
+        mean, spread, weight = np.average(y[:, 0], weights=n), 1.0, np.ones(len(units))
+    weight = weight / weight.sum()
+    for _ in range(rounds):
+        score = np.log(weight)[None, :] - 0.5 * ((y - mean) / spread) ** 2
+        share = np.exp(score - score.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        share[seen] = 0.0
+        share[seen, known[seen]] = 1.0
+        mass = share * n[:, None]
+        new_mean = (mass * y).sum() / mass.sum()
+        spread = max(0.05, math.sqrt((mass * (y - new_mean) ** 2).sum() / mass.sum()))
+        weight = mass.sum(axis=0) + _RARE
+        weight /= weight.sum()
+        moved, mean = abs(new_mean - mean), new_mean
+        if moved < 1e-9:
+            break
+    return {"quantity": quantity, "mean": float(mean), "spread": float(spread), "weight": [float(w) for w in weight]}
+
+
+_MODEL = "metric_key string, model_quantity string, mean double, spread double, units array<struct<unit:string,logw:double,shift:double>>"
+
+
+def fit_unit_mixtures(parsed: DataFrame) -> DataFrame:
+    """One model per metric; ``parsed`` comes from :func:`parse_units`."""
+    place = lambda c: F.when(F.col(c) != 0, F.floor(F.log10(F.abs(F.col(c).cast("double"))) * _BINS_PER_DECADE))
     bins = (
-        usable.select(_metric_class().alias("cls"), "quantity", "unit", F.floor(logs * _BINS_PER_DECADE).alias("bin"))
-        .groupBy("cls", "quantity", "unit", "bin")
+        parsed.where(F.col("_fraction_number").isNotNull() | F.col("_other_number").isNotNull() | F.col("_unit").isNotNull())
+        .select("metric_key", F.col("_unit").alias("unit"), place("_fraction_number").alias("fraction_bin"), place("_other_number").alias("other_bin"))
+        .groupBy("metric_key", "unit", "fraction_bin", "other_bin")
         .count()
-        .collect()  # bounded: metric classes x units x bins of the decimal range
     )
-    models: dict[str, dict] = {}
-    for cls, quantity in {(r["cls"], r["quantity"]) for r in bins}:
-        units = list(UNITS[quantity])
-        shift = np.array([math.log10(UNITS[quantity][u][0]) for u in units])
-        rows = [r for r in bins if (r["cls"], r["quantity"]) == (cls, quantity)]
-        x = np.array([(r["bin"] + 0.5) / _BINS_PER_DECADE for r in rows])
-        n = np.array([float(r["count"]) for r in rows])
-        known = np.array([units.index(r["unit"]) if r["unit"] in units else -1 for r in rows])
-        y = x[:, None] + shift[None, :]  # log10 in output units under each unit
-        if (known >= 0).any():
-            k = known >= 0
-            own = y[k, known[k]]
-            mean = np.average(own, weights=n[k])
-            spread = max(0.05, math.sqrt(np.average((own - mean) ** 2, weights=n[k])))
-            weight = np.bincount(known[k], weights=n[k], minlength=len(units)) + _RARE
-        else:
-            mean, spread, weight = np.average(y[:, 0], weights=n), 1.0, np.ones(len(units))
-        weight = weight / weight.sum()
-        for _ in range(rounds):
-            score = np.log(weight)[None, :] - 0.5 * ((y - mean) / spread) ** 2
-            share = np.exp(score - score.max(axis=1, keepdims=True))
-            share /= share.sum(axis=1, keepdims=True)
-            share[known >= 0] = 0.0
-            share[np.flatnonzero(known >= 0), known[known >= 0]] = 1.0
-            mass = share * n[:, None]
-            new_mean = (mass * y).sum() / mass.sum()
-            spread = max(0.05, math.sqrt((mass * (y - new_mean) ** 2).sum() / mass.sum()))
-            weight = mass.sum(axis=0) + _RARE
-            weight /= weight.sum()
-            if abs(new_mean - mean) < 1e-9:
-                break
-            mean = new_mean
-        models[f"{cls}|{quantity}"] = {"mean": float(mean), "spread": float(spread), "weight": dict(zip(units, map(float, weight)))}
-    return models
-
-
-def harmonise_units(rows: DataFrame, value: str = "value", unit: str = "value_unit", metric: str = "metric", certain: float = 0.9, models: dict | None = None) -> DataFrame:
-    """Adds quantity, number, unit, unit_source, posterior, uncertain, common_value (whole output units) and common_unit.
-
-    ``models``: a fit of :func:`fit_unit_mixtures`; fitted here if none is given.
-    """
-    parsed = parse_quantities(rows, value, unit, metric)
-    if models is None:
-        models = fit_unit_mixtures(parsed)
-    open_ = F.col("unit").isNull() & F.col("number").isNotNull() & (F.col("number") != 0)
-    nothing = "struct<mean:double,spread:double,units:array<struct<unit:string,logw:double,shift:double>>>"
-    fits = []
-    for name, m in models.items():
-        units = UNITS[name.split("|")[1]]
-        each = [F.struct(F.lit(u).alias("unit"), F.lit(math.log(m["weight"][u])).alias("logw"), F.lit(math.log10(f)).alias("shift")) for u, (f, _) in units.items()]
-        fits += [F.lit(name), F.struct(F.lit(m["mean"]).alias("mean"), F.lit(m["spread"]).alias("spread"), F.array(*each).alias("units"))]
-    key = F.concat(_metric_class(), F.lit("|"), F.col("quantity"))
-    fit = F.try_element_at(F.create_map(*fits), key) if fits else F.lit(None).cast(nothing)
-    parsed = pin(parsed, _fit=F.when(open_, fit), _log=F.when(open_, F.log10(F.abs(F.col("number").cast("double")))))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        m = _fit_metric(frame)
+        units = [{"unit": u, "logw": math.log(w), "shift": math.log10(f)} for (u, (f, _)), w in zip(UNITS[m["quantity"]].items(), m["weight"])]
+        return pd.DataFrame([{"metric_key": frame["metric_key"].iloc[0], "model_quantity": m["quantity"], "mean": m["mean"], "spread": m["spread"], "units": units}])
+
+    return bins.groupBy("metric_key").applyInPandas(fit, _MODEL)
+
+
+def harmonise_units(rows: DataFrame, value: str = "value", unit: str = "value_unit", metric: str = "metric", certain: float = 0.9) -> DataFrame:
+    """Adds quantity, number, unit, unit_source, posterior, uncertain, common_value (whole output units) and common_unit."""
+    parsed = parse_units(rows, value, unit, metric)
+    models = cut(fit_unit_mixtures(parsed))
+    few = models.count() <= BROADCAST_METRICS
+    parsed = parsed.join(F.broadcast(models) if few else models, "metric_key", "left")
+    written = F.col("_unit").isNotNull()
+    parsed = pin(parsed, quantity=F.coalesce(F.substring_index("_unit", "/", 1), F.col("model_quantity"), F.lit("fraction")))
+    fraction_like = (F.col("quantity") == "fraction") & ~F.coalesce(F.col("_unit").endswith("/basis_point"), F.lit(False))
+    parsed = pin(parsed, number=F.when(fraction_like, F.col("_fraction_number")).otherwise(F.col("_other_number")))
+    open_ = ~written & F.col("number").isNotNull() & (F.col("number") != 0)
+    parsed = pin(parsed, _log=F.when(open_, F.log10(F.abs(F.col("number").cast("double")))))
     scores = F.transform(
-        F.col("_fit.units"),
-        lambda u: F.struct((u["logw"] - 0.5 * F.pow((F.col("_log") + u["shift"] - F.col("_fit.mean")) / F.col("_fit.spread"), 2)).alias("score"), u["unit"].alias("unit")),
+        F.when(F.col("_log").isNotNull(), F.col("units")),
+        lambda u: F.struct((u["logw"] - 0.5 * F.pow((F.col("_log") + u["shift"] - F.col("mean")) / F.col("spread"), 2)).alias("score"), u["unit"].alias("unit")),
     )
     parsed = pin(parsed, _scores=scores)
     parsed = pin(parsed, _best=F.array_max("_scores"))
     total = F.aggregate("_scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - F.col("_best.score")))
-    parsed = pin(parsed, _guess=F.col("_best.unit"), posterior=F.when(F.col("unit").isNotNull(), F.lit(1.0)).otherwise(1.0 / total))
-    factor = F.coalesce("_factor", F.try_element_at(_factor_map(), F.concat("quantity", F.lit("/"), "_guess")))
+    parsed = pin(parsed, _guess=F.col("_best.unit"), posterior=F.when(written, F.lit(1.0)).otherwise(1.0 / total))
+    factor = F.try_element_at(_factor_map(), F.coalesce("_unit", F.concat("quantity", F.lit("/"), "_guess")))
     common = F.create_map(*[F.lit(v) for pair in COMMON.items() for v in pair])
     parsed = pin(
         parsed,
         unit_source=F.coalesce("unit_source", F.when(F.col("_guess").isNotNull(), "inferred")),
-        unit=F.coalesce("unit", "_guess"),
+        unit=F.coalesce(F.substring_index("_unit", "/", -1), F.col("_guess")),
         uncertain=F.col("number").isNotNull() & (F.coalesce("posterior", F.lit(0.0)) < certain),
         common_value=common_whole(F.col("number"), factor),
         common_unit=F.try_element_at(common, F.col("quantity")),
     )
-    return parsed.drop("_fit", "_log", "_scores", "_best", "_guess", "_factor", "metric_key")
+    return parsed.drop("_unit", "_fraction_number", "_other_number", "_log", "_scores", "_best", "_guess", "metric_key", "model_quantity", "mean", "spread", "units")

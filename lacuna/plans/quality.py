@@ -140,13 +140,9 @@ def _p5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose written unit is not the common one, in whole output units.
-
-    Only written units are asked for, so the mixture for missing ones is not fitted here.
-    """
-    rows = table(spark, d, MIDNIGHT).select("record_id", "value", "value_unit", "metric")
-    done = quantities.harmonise_units(rows, models={})
-    return done.where(F.col("unit_source").isNotNull() & (F.col("unit") != F.col("common_unit")) & F.col("common_value").isNotNull()).select("record_id", "common_value")
+    """Records whose written unit is not the common one, in whole output units; inferred units are in ``p5_values``."""
+    done = _p5(spark, d)
+    return done.where((F.col("unit_source") != "inferred") & (F.col("unit") != F.col("common_unit")) & F.col("common_value").isNotNull()).select("record_id", "common_value")
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
