@@ -6,8 +6,9 @@ full passes say, and once more those at the head of a seeded order, up to the
 rest.  The drawn copies are cut into blocks; a splitting tree halves the range of
 output shards again and again and draws, by a multivariate hypergeometric, how
 many blocks of each source go left, so the quotas of all shards are exact and
-add up.  Each source's blocks, permuted, are dealt out by these quotas, and the
-rows of a shard are sorted by a hash.
+add up.  The draws are exact for any number of blocks.  Each source's blocks, in
+the random order of a seeded hash, are dealt out by these quotas, and the rows of
+a shard are sorted by a hash.  The number of shards grows with the copies.
 
 Only sums by source (a fixed table) and the tree reach the driver.  Running sums
 inside a source go over hash buckets, so one source may hold most rows.
@@ -27,17 +28,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from lacuna.operators.ranks import running
 
-SHARDS = 16
+SHARDS = 16  # at least
+SHARD_ROWS = 1_000_000
 BLOCK_ROWS = 64
+GENERATOR_RANGE = 10**9  # populations that the generator draws from itself
+#: A table of more blocks than this is joined by a shuffle instead of a broadcast.
+BROADCAST_BLOCKS = 1_000_000
 
 
-def plan_shares(supply: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, dict]:
-    """Per source: wanted tokens, full passes and the rest, for the largest total that all caps allow."""
+def plan_shares(supply: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[str, dict]:
+    """Per source: wanted tokens, full passes and the rest, for the largest total that all caps allow.
+
+    That total is set by the scarcest source.  With a larger ``total`` sources that their cap stops give all they may
+    and reach less than their share.
+    """
     live = {s: t for s, t in targets.items() if supply.get(s, 0) > 0 and t[0] > 0 and t[1] > 0}
     scale = sum(t[0] for t in live.values())
     if not live:
         return {}
-    total = min(supply[s] * repeats / (share / scale) for s, (share, repeats) in live.items())
+    total = min(supply[s] * repeats / (share / scale) for s, (share, repeats) in live.items()) if total is None else total
     out = {}
     for s, (share, repeats) in live.items():
         wanted = min(supply[s] * repeats, total * share / scale)
@@ -59,8 +68,7 @@ def split_blocks(blocks: dict[str, int], shards: int = SHARDS, seed: int = 0) ->
         middle = (low + high) // 2
         total = int(counts.sum())
         left = total * (middle - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
-        drawn = rng.multivariate_hypergeometric(counts, left, method="marginals") if total < 10**9 else _large_draw(rng, counts, left)
+        drawn = draw_blocks(np.random.default_rng([seed, low, high]), counts, left)
         descend(low, middle, drawn)
         descend(middle, high, counts - drawn)
 
@@ -69,23 +77,48 @@ def split_blocks(blocks: dict[str, int], shards: int = SHARDS, seed: int = 0) ->
     return quotas
 
 
-def _large_draw(rng: np.random.Generator, counts: np.ndarray, left: int) -> np.ndarray:
-    """Beyond the generator's range the draw is its mean, with the remainder dealt at random."""
-    share = counts * left // max(1, int(counts.sum()))
-    missing = left - int(share.sum())
-    room = np.flatnonzero(counts > share)
-    share[rng.permutation(room)[:missing]] += 1
-    return share
-
-
-def _odd_step(n: int) -> int:
-    step = max(1, int(n * 0.6180339887))
-    while math.gcd(step, n) != 1:
-        step += 1
-    return step
+def draw_blocks(rng: np.random.Generator, counts: np.ndarray, left: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of ``left`` out of ``counts``, one marginal after the other."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, n in enumerate(counts):
+        rest -= int(n)
+        out[i] = hypergeometric(rng, int(n), rest, left)
+        left -= int(out[i])
+    return out
 
 
-def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
+def _log_factorial_step(n: int, by: int) -> float:
+    """log((n + by)! / n!), precise where both are large and alike."""
+    if min(n, n + by) < 1_000_000:
+        return math.lgamma(n + by + 1) - math.lgamma(n + 1)
+    return (n + by + 0.5) * math.log1p(by / n) + by * math.log(n) - by + (1.0 / (n + by) - 1.0 / n) / 12.0
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` balls are good, exactly distributed for populations of any size.
+
+    Beyond the generator's own range: ratio of uniforms around the mode, with the logarithm of the probability
+    relative to the mode's, so that nothing large cancels.
+    """
+    total = good + bad
+    if total < GENERATOR_RANGE:
+        return int(rng.hypergeometric(good, bad, sample))
+    low, high = max(0, sample - bad), min(good, sample)
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(sample * (good / total) * (bad / total) * ((total - sample) / (total - 1)))
+    half = 1.5 * spread + 2.0
+    while low < high:
+        u, v = 1.0 - rng.random(), (2.0 * rng.random() - 1.0) * half
+        by = math.floor(v / u + 0.5)
+        if not low <= mode + by <= high:
+            continue
+        odds = -_log_factorial_step(mode, by) - _log_factorial_step(good - mode, -by) - _log_factorial_step(sample - mode, -by) - _log_factorial_step(bad - sample + mode, by)
+        if 2.0 * math.log(u) <= odds:
+            return mode + by
+    return low
+
+
+def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """doc_id, source, copy_no, shard, position_key of every drawn copy; ``documents(doc_id, source, tokens)``."""
     spark = documents.sparkSession
     rows = [(s, p["full"], int(p["rest"])) for s, p in plan.items()]
@@ -99,12 +132,12 @@ def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int = SHAR
 
     sizes = {r["source"]: r["n"] for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per listed source
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    quotas = split_blocks(blocks, shards, seed)
-    ends = [(s, blocks[s], _odd_step(blocks[s]), [int(x) for x in np.cumsum(q)]) for s, q in quotas.items()]
-    deal = spark.createDataFrame(ends, "source string, blocks long, step long, ends array<long>")
-    placed = running(drawn, ["source"], "_h", ["doc_id", "copy_no"], out="_place").join(F.broadcast(deal), "source")
-    block = F.floor((F.col("_place") - 1) / block_rows)
-    permuted = F.pmod(block * F.col("step") + F.lit(seed), F.col("blocks"))
-    placed = placed.withColumn("_block", permuted)
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("_block")))
-    return placed.select("doc_id", "source", F.col("copy_no").cast("int").alias("copy_no"), "tokens", shard.cast("int").alias("shard"), F.xxhash64("doc_id", "copy_no", F.lit(seed + 2)).alias("position_key"))
+    quotas = split_blocks(blocks, shards or max(SHARDS, -(-sum(sizes.values()) // SHARD_ROWS)), seed)
+    dealt = spark.createDataFrame([(s, k, n) for s, q in quotas.items() for k, n in enumerate(q) if n], "source string, shard int, n long")
+    dealt = dealt.select("source", "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i"))  # at most a shard's blocks in a row
+    dealt = dealt.withColumn("_h", F.xxhash64("source", "shard", "_i", F.lit(seed + 3)))
+    dealt = running(dealt, ["source"], "_h", ["shard", "_i"], out="_block").select("source", "_block", "shard")
+    placed = running(drawn, ["source"], "_h", ["doc_id", "copy_no"], out="_place")
+    placed = placed.withColumn("_block", F.ceil(F.col("_place") / block_rows).cast("long"))
+    placed = placed.join(F.broadcast(dealt) if sum(blocks.values()) <= BROADCAST_BLOCKS else dealt, ["source", "_block"])
+    return placed.select("doc_id", "source", F.col("copy_no").cast("int").alias("copy_no"), "tokens", "shard", F.xxhash64("doc_id", "copy_no", F.lit(seed + 2)).alias("position_key"))

@@ -1,6 +1,7 @@
 """Survivors, splits, rankings and mixtures against brute force and on edge cases."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -148,6 +149,46 @@ def test_blocks_split_exactly():
     assert mixing.split_blocks({}, 4) == {}
 
 
+def test_draws_beyond_the_range_of_the_generator_are_exact():
+    rng = np.random.default_rng(1)
+    counts = np.array([6 * 10**9, 3 * 10**9, 10**9, 5, 0], dtype=np.int64)
+    left = 4 * 10**9
+    draws = np.array([mixing.draw_blocks(rng, counts, left) for _ in range(600)])
+    assert (draws.sum(axis=1) == left).all() and (draws <= counts).all() and (draws >= 0).all()
+    total = int(counts.sum())
+    for i in range(3):
+        p = counts[i] / total
+        spread = np.sqrt(left * p * (1 - p) * (total - left) / (total - 1))
+        assert abs(draws[:, i].mean() - left * p) < 5 * spread / np.sqrt(600)
+        assert 0.85 < draws[:, i].std() / spread < 1.15  # a mean with a random remainder would have a spread of about one
+    blocks = {"a": 7 * 10**9, "b": 3 * 10**9 + 1}
+    quotas = mixing.split_blocks(blocks, shards=8, seed=3)
+    assert {s: sum(q) for s, q in quotas.items()} == blocks
+
+
+def test_the_large_draw_agrees_with_the_generator(monkeypatch):
+    """Both ways give one distribution where both can be used."""
+    rng = np.random.default_rng(2)
+    good, bad, sample = 400, 900, 350
+
+    def large(g, b, s):
+        low, high = max(0, s - b), min(g, s)
+        weights = np.array([math.exp(math.lgamma(g + 1) - math.lgamma(k + 1) - math.lgamma(g - k + 1) + math.lgamma(b + 1) - math.lgamma(s - k + 1) - math.lgamma(b - s + k + 1) - math.lgamma(g + b + 1) + math.lgamma(s + 1) + math.lgamma(g + b - s + 1)) for k in range(low, high + 1)])
+        return low, weights
+
+    low, weights = large(good, bad, sample)
+    monkeypatch.setattr(mixing, "GENERATOR_RANGE", 0)
+    draws = np.array([mixing.hypergeometric(rng, good, bad, sample) for _ in range(20_000)]) - low
+    seen = np.bincount(draws, minlength=len(weights)) / 20_000
+    assert np.abs(np.cumsum(seen) - np.cumsum(weights)).max() < 0.015
+
+
+def test_a_larger_total_gives_capped_sources_all_they_have():
+    plan = mixing.plan_shares({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}, total=2000)
+    assert plan["a"]["wanted"] == 1000 and plan["b"] == {"wanted": 20, "full": 2, "rest": 0}
+    assert mixing.plan_shares({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)})["a"]["wanted"] == 20
+
+
 def test_mixture_reaches_shares_within_caps(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("aaaaaab"), rng.randrange(0, 50)) for i in range(1500)] + [(9000, None, 5)]
