@@ -3,15 +3,17 @@
 Each record is a point (trust, recency, completeness).  Records of a group with
 equal trust and the same set of given fields are folded first to the best of
 them, so a group has at most (trust levels x 2^fields) points however many
-records it holds.  Among the points that give a field the skyline (the
-Pareto-undominated points) is taken and resolved by the policy trust, recency,
-completeness, smallest record.  The base of the survivor is the best point of
-the first dominance layer of all points; its gaps are filled from the points
-behind it, and the layer each value came from is reported.
-
-The layers are taken per field among the records that give it: filling layer by
-layer over all records would prefer a less trusted record of an early layer to
-the best record that gives the field.
+records it holds.  The points are peeled into dominance layers: the first is the
+skyline (the Pareto-undominated points), the next the skyline of the rest, and
+so on.  Inside a layer the policy decides: trust, recency, completeness, smallest
+record.  The best point of the first layer is the base of the survivor; what it
+leaves null is filled from the successive layers, each field from the first
+layer that gives it.
+
+Then a field is checked against the policy over all layers, as the layers may
+give it from a less trusted record: of A (trust 1, 2024-05, no value), B (trust 1,
+2024-01, a value) and C (trust 2, 2024-06, a value), B is behind A in layer 2 and C
+is in layer 1, so the layers alone take C, the policy B.  Both are reported.
 
 Defined results: records whose group key is missing belong to no group; unknown
 statuses rank behind all known ones; records without a date are the earliest;
@@ -24,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lacuna.functions.columns import pin
 from lacuna.functions.text import is_missing
 
 UNKNOWN_TRUST = 1 << 20
@@ -81,47 +84,58 @@ def _dominates(a: Column, b: Column) -> Column:
     return no_worse & ((a["trust"] < b["trust"]) | (a["minus_day"] < b["minus_day"]) | (a["minus_given"] < b["minus_given"]))
 
 
-def skyline(points: Column) -> Column:
-    """The undominated points, in the order of the policy."""
-    return F.filter(points, lambda p: ~F.exists(points, lambda q: _dominates(q, p)))
+_LAYERED = "array<struct<layer:int,trust:int,minus_day:bigint,minus_given:int,record:bigint,mask:int>>"
 
 
-def layer_of(points: Column, point: Column) -> Column:
-    """Dominance layer of a point: 1 + the longest chain of points that dominate it (points are in policy order)."""
-    start = F.array().cast("array<struct<trust:int,minus_day:bigint,minus_given:int,record:bigint,layer:int>>")
+def dominance_layers(points: Column) -> Column:
+    """The points (in policy order) with their layer: 1 + the longest chain of points that dominate it."""
 
     def step(done: Column, p: Column) -> Column:
+        # whatever dominates a point stands before it in policy order
         behind = F.array_max(F.transform(F.filter(done, lambda q: _dominates(q, p)), lambda q: q["layer"]))
-        here = F.struct(p["trust"], p["minus_day"], p["minus_given"], p["record"], (F.coalesce(behind, F.lit(0)) + 1).alias("layer"))
+        here = F.struct((F.coalesce(behind, F.lit(0)) + 1).alias("layer"), p["trust"].alias("trust"), p["minus_day"].alias("minus_day"), p["minus_given"].alias("minus_given"), p["record"].alias("record"), p["mask"].alias("mask"))
         return F.concat(done, F.array(here))
 
-    layers = F.aggregate(points, start, step)
-    return F.try_element_at(F.filter(layers, lambda q: q["record"] == point), F.lit(1))["layer"]
+    return F.aggregate(points, F.array().cast(_LAYERED), step)
+
+
+def skyline(layered: Column) -> Column:
+    """The undominated points, in the order of the policy."""
+    return F.filter(layered, lambda p: p["layer"] == 1)
 
 
 def _gives(bit: int):
     return lambda p: p["mask"].bitwiseAND(F.lit(bit)) != 0
 
 
+def _in_policy_order(p: Column) -> Column:
+    return F.struct(p["trust"], p["minus_day"], p["minus_given"], p["record"], p["layer"].alias("layer"))
+
+
 def choose_fields(records: DataFrame, group: Sequence[str], identity: str, trust: str, recency: str, fields: Sequence[str]) -> DataFrame:
-    """One row per group and field given in it: group columns, group_id, field_name, record, layer."""
-    groups = fold_points(records, group, identity, trust, recency, fields)
-    picks = []
+    """One row per group and field given in it: group columns, group_id, base_record, field_name, record and its layer, layer_record (by the layers alone)."""
+    groups = pin(fold_points(records, group, identity, trust, recency, fields), _layered=dominance_layers(F.col("points")))
+    groups = groups.withColumn("base_record", skyline(F.col("_layered"))[0]["record"])
+    filled = []
     for i, name in enumerate(fields):
-        givers = F.filter("points", _gives(1 << i))
-        picks.append(F.struct(F.lit(name).alias("field_name"), F.array_min(skyline(givers))["record"].alias("record")))
-    flat = groups.select(*group, "group_id", "points", F.explode(F.array(*picks)).alias("pick")).where(F.col("pick.record").isNotNull())
-    return flat.select(*group, "group_id", F.col("pick.field_name").alias("field_name"), F.col("pick.record").alias("record"), "points")
+        givers = F.filter("_layered", _gives(1 << i))
+        # array_min compares layer, then policy; a point of the same layer and better policy always comes first
+        filled.append(F.struct(F.lit(name).alias("field_name"), F.array_min(givers).alias("by_layers"), givers.alias("givers")))
+    flat = groups.select(*group, "group_id", "base_record", F.explode(F.array(*filled)).alias("pick")).where(F.col("pick.by_layers").isNotNull())
+    start = _in_policy_order(F.col("pick.by_layers"))
+    better = F.filter("pick.givers", lambda p: (p["layer"] > F.col("pick.by_layers.layer")) & (_in_policy_order(p) < start))
+    flat = flat.withColumn("_checked", F.coalesce(F.array_min(F.transform(better, _in_policy_order)), start))
+    return flat.select(*group, "group_id", "base_record", F.col("pick.field_name").alias("field_name"), F.col("_checked.record").alias("record"), F.col("_checked.layer").alias("layer"), F.col("pick.by_layers.record").alias("layer_record"))
 
 
 def build_survivors(records: DataFrame, group: Sequence[str], identity: str, trust: str, recency: str, fields: Sequence[str]) -> DataFrame:
-    """One record per group of two or more: group_id, base_record, each field with the record and layer it came from."""
+    """One record per group of two or more: group_id, base_record, each field with the record and layer it came from and the record the layers alone give."""
     chosen = choose_fields(records, group, identity, trust, recency, fields)
-    chosen = chosen.withColumn("layer", layer_of(F.col("points"), F.col("record"))).withColumn("base_record", F.array_min(skyline(F.col("points")))["record"])
     values = records.select(F.col(identity).alias("record"), *[F.col(f).alias(f"_v_{f}") for f in fields])
-    joined = chosen.drop("points").join(values, "record")
+    joined = chosen.join(values, "record")
     cells = []
     for f in fields:
         here = F.col("field_name") == f
-        cells += [F.max(F.when(here, F.col(f"_v_{f}"))).alias(f), F.max(F.when(here, F.col("record"))).alias(f"{f}_from"), F.max(F.when(here, F.col("layer"))).alias(f"{f}_layer")]
+        pick = lambda c: F.max(F.when(here, F.col(c)))  # noqa: B023, E731
+        cells += [pick(f"_v_{f}").alias(f), pick("record").alias(f"{f}_from"), pick("layer").alias(f"{f}_layer"), pick("layer_record").alias(f"{f}_by_layers")]
     return joined.groupBy("group_id").agg(F.min("base_record").alias("base_record"), *cells)

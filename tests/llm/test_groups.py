@@ -56,6 +56,23 @@ def test_survivors_against_brute_force(spark, seed):
     assert survivors.choose_fields(frame.where("id < 0"), ["g"], "id", "trust", "day", fields).count() == 0
 
 
+def test_layers_fill_and_the_policy_checks_them(spark):
+    day = lambda m: dt.date(2024, m, 1)
+    rows = [
+        (1, "g", 1, day(5), None, "a", None), (2, "g", 1, day(1), "b", None, None), (3, "g", 2, day(6), "c", None, None), (4, "g", 3, day(2), None, None, "d"),
+        (5, "h", 2, day(3), None, "x", None), (6, "h", 1, day(4), None, None, "y"), (7, "h", 3, day(1), "z", "z", "z"),
+    ]
+    frame = spark.createDataFrame(rows, "id long, g string, trust int, day date, f1 string, f2 string, f3 string")
+    got = {(r.group_id, r.field_name): r for r in survivors.choose_fields(frame, ["g"], "id", "trust", "day", ["f1", "f2", "f3"]).collect()}
+    f1 = got[1, "f1"]
+    assert (f1.record, f1.layer, f1.layer_record, f1.base_record) == (2, 2, 3, 1)  # the layers alone take the less trusted record of the skyline
+    f3 = got[1, "f3"]
+    assert (f3.record, f3.layer_record) == (4, 4) and f3.layer > 1  # a gap of the skyline filled from a later layer
+    assert got[5, "f2"].record == 5 and got[5, "f2"].layer == 2 and got[5, "f2"].layer_record == 7  # the complete record is undominated
+    whole = {r.group_id: r for r in survivors.build_survivors(frame, ["g"], "id", "trust", "day", ["f1", "f2", "f3"]).collect()}
+    assert (whole[1].f1, whole[1].f1_from, whole[1].f1_by_layers, whole[1].f3_from) == ("b", 2, 3, 4)
+
+
 def _components(edges):
     parent = {}
 
