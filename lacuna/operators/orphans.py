@@ -9,10 +9,17 @@ What a null means is declared by ``match``, as in SQL foreign keys:
 * ``full``    - all null is fine, some null is an orphan of kind ``partial``,
   no null must agree with some target row.
 
-With validity columns a target row counts only while it is in force.  Repeated
-target rows, several registrations and overlaps are folded into disjoint spans
-per key before the join, so the join never multiplies rows; the references are
-the streamed side, whose hot keys adaptive skew handling splits.
+``find_component_orphans`` declares a fourth: each non-null column names a target
+of its own in a table of its own, whatever the others hold.
+
+With validity columns a target row counts only while it is in force.  A reference
+at time t is in force if a row of its target that starts no later ends after t.
+Target rows are folded by week of their start, so a target key, however many rows
+it has, is one short list of weeks and latest ends; only references that this
+list leaves open are anti-joined with the rows starting in their own week.  Target
+rows never multiply references, and neither a hot reference nor a hot target is
+gathered in one task: references are the streamed side, whose hot keys adaptive
+skew handling splits.
 
 Defined results: empty references give no rows; empty targets make each checked
 reference ``missing``; a reference without a time is an orphan only if its
@@ -24,28 +31,48 @@ clashing names between the tables do no harm.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.session import cut
 
 _FOREVER = "9999-12-31 00:00:00"
+_WEEK = 7 * 86_400
 
 
-def validity_spans(targets: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """One row per key: ``first_start`` and the sorted disjoint ``spans`` [start, stop) in which a row is in force."""
-    stop = F.coalesce(F.col(end), F.lit(_FOREVER).cast("timestamp"))
-    rows = targets.groupBy(*keys, F.col(start).alias("_from")).agg(F.max(stop).alias("_to"))
-    in_order = Window.partitionBy(*keys).orderBy("_from")
-    reach = F.max(F.when(F.col("_to") > F.col("_from"), F.col("_to"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col("_from") > reach), 1).otherwise(0))
-    numbered = marked.withColumn("_island", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = numbered.groupBy(*keys, "_island").agg(F.min("_from").alias("start"), F.max("_to").alias("stop"))
-    return islands.groupBy(*keys).agg(
-        F.min("start").alias("_first"),
-        F.collect_list(F.when(F.col("stop") > F.col("start"), F.struct("start", "stop"))).alias("_spans"),
+def _week(time: Column) -> Column:
+    return F.floor(F.unix_timestamp(time) / _WEEK)
+
+
+def _validity(targets: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """From (keys, _start, _end): one row per key (``_first`` start, ``_weeks`` with the latest end of the rows starting in each), and the distinct rows by week."""
+    stop = F.coalesce(F.col("_end"), F.lit(_FOREVER).cast("timestamp"))
+    rows = targets.groupBy(*keys, "_start").agg(F.max(stop).alias("_stop")).withColumn("_week", _week(F.col("_start")))
+    weeks = rows.groupBy(*keys, "_week").agg(F.max("_stop").alias("_stop"), F.min("_start").alias("_start"))
+    by_key = weeks.groupBy(*keys).agg(
+        F.min("_start").alias("_first"),
+        F.collect_list(F.when(F.col("_week").isNotNull(), F.struct("_week", "_stop"))).alias("_weeks"),
     )
+    return by_key, rows.where(F.col("_stop") > F.col("_start"))
+
+
+def _lost_in_time(some: DataFrame, known: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Rows of ``some`` (keys, _time, keep) that have no row in force: keep and kind."""
+    by_key, rows = _validity(known, keys)
+    # cut, so that both sides of the joins are plain shuffles and a hot key of the references can be split
+    by_key = cut(by_key)
+    missing = some.join(by_key.select(*keys), keys, "left_anti").select(*keep, F.lit("missing").alias("kind"))
+    at = F.col("_time").cast("timestamp")
+    earlier = F.filter("_weeks", lambda w: (w["_week"] < F.col("_at_week")) & (w["_stop"] > F.col("_at")))
+    timed = some.where(F.col("_time").isNotNull()).withColumn("_at", at).withColumn("_at_week", _week(F.col("_at")))
+    open_ = timed.join(by_key, keys).where(F.size(earlier) == 0).select(*keys, *keep, "_at", "_at_week", "_first")
+    here = rows.select(*[F.col(k).alias(f"_t{k}") for k in keys], "_week", "_start", "_stop")
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_t{k}") for k in keys))
+    lost = open_.join(here, same & (F.col("_at_week") == F.col("_week")) & (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_stop")), "left_anti")
+    kind = F.when(F.col("_first").isNull() | (F.col("_at") < F.col("_first")), "late").otherwise("deleted")
+    return missing.unionByName(lost.select(*keep, kind.alias("kind")))
 
 
 def _masked(refs: DataFrame, columns: Sequence[str]) -> Column:
@@ -93,17 +120,7 @@ def find_orphans(
         if ref_time is None:
             lost = some.join(known.select(*keys).distinct(), keys, "left_anti").withColumn("kind", F.lit("missing"))
         else:
-            # cut, so that both sides of the join are plain shuffles and a hot key of the references can be split
-            spans = cut(validity_spans(known, keys, "_start", "_end").withColumn("_known", F.lit(True)))
-            at = F.col("_time").cast("timestamp")
-            in_force = F.exists("_spans", lambda s: (s["start"] <= at) & (at < s["stop"]))
-            kind = (
-                F.when(F.col("_known").isNull(), "missing")
-                .when(at.isNull(), None)
-                .when(F.col("_first").isNull() | (at < F.col("_first")), "late")
-                .when(~in_force, "deleted")
-            )
-            lost = some.join(spans, keys, "left").withColumn("kind", kind).where(F.col("kind").isNotNull())
+            lost = _lost_in_time(some, known, keys, [*keep, "null_mask"])
         parts.append(lost.select(*keep, "null_mask", "kind"))
     if match == "full":
         some_null = slim.where((F.col("null_mask") > 0) & (F.col("null_mask") < (1 << n) - 1))
@@ -111,10 +128,39 @@ def find_orphans(
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass
+class Component:
+    """A column of a reference and the table its values must be found in."""
+
+    name: str
+    column: str
+    targets: DataFrame
+    target_column: str
+    valid_from: str | None = None
+    valid_to: str | None = None
+
+
+def find_component_orphans(refs: DataFrame, components: Sequence[Component], ref_time: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Orphans of references each of whose columns names a target of its own: keep, ref_field, null_mask, kind.
+
+    Every null mask is anti-joined on its non-null columns; masks that share a column share its anti-join.
+    """
+    slim = refs.select(*[F.col(c.column).alias(f"_k{i}") for i, c in enumerate(components)], F.col(ref_time).alias("_time"), *[F.col(c) for c in keep])
+    slim = slim.withColumn("null_mask", _masked(slim, [f"_k{i}" for i in range(len(components))]))
+    parts = []
+    for i, c in enumerate(components):
+        some = slim.where(F.col("null_mask").bitwiseAND(F.lit(1 << i)) == 0).select(f"_k{i}", "_time", "null_mask", *keep)
+        known = c.targets.select(F.col(c.target_column).alias(f"_k{i}"), F.col(c.valid_from).cast("timestamp").alias("_start"), F.col(c.valid_to).cast("timestamp").alias("_end"))
+        lost = _lost_in_time(some, known.where(F.col(f"_k{i}").isNotNull()), [f"_k{i}"], [*keep, "null_mask"])
+        parts.append(lost.withColumn("ref_field", F.lit(c.name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def orphan_report(orphans: DataFrame, table: str, time: str, period: str = "month") -> DataFrame:
-    """Orphans counted by table, period and kind; rows of one period are counted before anything is shuffled."""
+    """Orphans counted by table, null mask, period and kind; rows of one period are counted before anything is shuffled."""
     return orphans.groupBy(
         F.col(table).alias("ref_field"),
+        "null_mask",
         F.date_format(F.date_trunc(period, F.col(time)), "yyyy-MM-dd").alias("period"),
         "kind",
     ).agg(F.count(F.lit(1)).alias("orphans"))

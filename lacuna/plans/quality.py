@@ -18,16 +18,18 @@ def _p1_orphans(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "model_sources").select("record_id", given_key("model_id").alias("model_key"), F.col("audited_at").alias("at"))
     models = table(spark, d, "model_metadata").select(same_key("model_id").alias("model_key"), "registered_at", "deleted_at")
     tasks = table(spark, d, "tasks").select(same_key("evaluation_id").alias("evaluation_key"), "added_at", "removed_at")
+    model = lambda name: orphans.Component(name, "model_key", models, "model_key", "registered_at", "deleted_at")
+    evaluation = orphans.Component("midnight.evaluation_id", "evaluation_key", tasks, "evaluation_key", "added_at", "removed_at")
+    of_scores = orphans.find_component_orphans(scores, [model("midnight.model_id"), evaluation], "at", ["record_id", "at"])
+    return of_scores.unionByName(orphans.find_component_orphans(sources, [model("model_sources.model_id")], "at", ["record_id", "at"]))
 
-    def check(name, refs, column, targets, start, end):
-        found = orphans.find_orphans(refs, [column], targets, [column], match="simple", ref_time="at", valid_from=start, valid_to=end, keep=["record_id", "at"])
-        return found.select(F.lit(name).alias("ref_field"), "record_id", "kind", "at")
 
-    return (
-        check("midnight.model_id", scores, "model_key", models, "registered_at", "deleted_at")
-        .unionByName(check("midnight.evaluation_id", scores, "evaluation_key", tasks, "added_at", "removed_at"))
-        .unionByName(check("model_sources.model_id", sources, "model_key", models, "registered_at", "deleted_at"))
-    )
+def _p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Composite references (model, evaluation) of midnight to the cells of the score table, under partial match."""
+    refs = table(spark, d, MIDNIGHT).select("record_id", F.col("reported_at").alias("at"), given_key("model_id").alias("m"), given_key("evaluation_id").alias("e"))
+    cells = table(spark, d, "scores").select(same_key("model_id").alias("m"), same_key("evaluation_id").alias("e"))
+    lost = orphans.find_orphans(refs, ["m", "e"], cells, ["m", "e"], match="partial", keep=["record_id", "at"])
+    return lost.withColumn("ref_field", F.lit("midnight.(model_id, evaluation_id)"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,16 +37,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans by referring field, month and kind."""
-    return orphans.orphan_report(_p1_orphans(spark, d), "ref_field", "at")
+    """Orphans of single and composite references by referring field, null mask, month and kind."""
+    return orphans.orphan_report(_p1_orphans(spark, d).unionByName(_p1_pairs(spark, d)), "ref_field", "at")
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Composite references (model, evaluation) of midnight to the score table, by null mask under partial match."""
-    refs = table(spark, d, MIDNIGHT).select("record_id", given_key("model_id").alias("m"), given_key("evaluation_id").alias("e"))
-    cells = table(spark, d, "scores").select(same_key("model_id").alias("m"), same_key("evaluation_id").alias("e"))
-    lost = orphans.find_orphans(refs, ["m", "e"], cells, ["m", "e"], match="partial", keep=["record_id"])
-    return lost.groupBy("null_mask", "kind").agg(F.count(F.lit(1)).alias("orphans"), F.min("record_id").alias("first_record"))
+    """Every composite reference of midnight that no cell of the score table agrees with, and its null mask."""
+    return _p1_pairs(spark, d).select("record_id", "null_mask", "kind")
 
 
 _WORDS = ", ".join(f"'{w}'" for w in MISSING_WORDS)
@@ -60,21 +59,28 @@ def sql_missing(c: str) -> str:
 
 _P1_SQL = f"""
 WITH refs AS (
-  SELECT 'midnight.model_id' AS ref_field, record_id, {sql_key('model_id')} AS k, reported_at AS t, 'm' AS tgt FROM {MIDNIGHT} WHERE NOT {sql_missing('model_id')}
-  UNION ALL SELECT 'midnight.evaluation_id', record_id, {sql_key('evaluation_id')}, reported_at, 'e' FROM {MIDNIGHT} WHERE NOT {sql_missing('evaluation_id')}
-  UNION ALL SELECT 'model_sources.model_id', record_id, {sql_key('model_id')}, audited_at, 'm' FROM model_sources WHERE NOT {sql_missing('model_id')}),
+  SELECT 'midnight.model_id' AS ref_field, 2 * ({sql_missing('evaluation_id')})::INT AS null_mask, record_id, {sql_key('model_id')} AS k, reported_at AS t, 'm' AS tgt FROM {MIDNIGHT} WHERE NOT {sql_missing('model_id')}
+  UNION ALL SELECT 'midnight.evaluation_id', ({sql_missing('model_id')})::INT, record_id, {sql_key('evaluation_id')}, reported_at, 'e' FROM {MIDNIGHT} WHERE NOT {sql_missing('evaluation_id')}
+  UNION ALL SELECT 'model_sources.model_id', 0, record_id, {sql_key('model_id')}, audited_at, 'm' FROM model_sources WHERE NOT {sql_missing('model_id')}),
 targets AS (
   SELECT 'm' AS tgt, {sql_key('model_id')} AS k, registered_at AS a, deleted_at AS z FROM model_metadata
   UNION ALL SELECT 'e', {sql_key('evaluation_id')}, added_at, removed_at FROM tasks),
 judged AS (
-  SELECT r.ref_field, r.record_id, r.t, count(x.k) AS n, min(x.a) AS first_a,
+  SELECT r.ref_field, r.null_mask, r.record_id, r.t, count(x.k) AS n, min(x.a) AS first_a,
          count(*) FILTER (WHERE x.a <= r.t AND (x.z IS NULL OR x.z > r.t)) AS live
   FROM refs r LEFT JOIN targets x ON x.tgt = r.tgt AND x.k = r.k GROUP BY ALL),
 found AS (
-  SELECT ref_field, record_id, t, CASE WHEN n = 0 THEN 'missing' WHEN t < first_a THEN 'late' ELSE 'deleted' END AS kind
+  SELECT ref_field, null_mask, record_id, t, CASE WHEN n = 0 THEN 'missing' WHEN t < first_a THEN 'late' ELSE 'deleted' END AS kind
   FROM judged WHERE n = 0 OR live = 0)
 """
 
+_P1_PAIRS = f"""
+WITH r AS (SELECT record_id, reported_at AS t, CASE WHEN {sql_missing('model_id')} THEN NULL ELSE {sql_key('model_id')} END AS m,
+                  CASE WHEN {sql_missing('evaluation_id')} THEN NULL ELSE {sql_key('evaluation_id')} END AS e FROM {MIDNIGHT}),
+s AS (SELECT DISTINCT {sql_key('model_id')} AS m, {sql_key('evaluation_id')} AS e FROM scores)
+SELECT record_id, t, CAST((m IS NULL)::INT + 2 * (e IS NULL)::INT AS INTEGER) AS null_mask, 'missing' AS kind
+FROM r WHERE (m IS NOT NULL OR e IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM s WHERE (r.m IS NULL OR s.m = r.m) AND (r.e IS NULL OR s.e = r.e))"""
+
 # ---- problem 2 ----
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -275,13 +281,9 @@ QUERIES = {
 
 ORACLES = {
     "p1_found": _P1_SQL + "SELECT ref_field, record_id, kind FROM found",
-    "p1_report": _P1_SQL + "SELECT ref_field, strftime(date_trunc('month', t), '%Y-%m-%d') AS period, kind, count(*) AS orphans FROM found GROUP BY ALL",
-    "p1_pairs": f"""
-WITH r AS (SELECT record_id, CASE WHEN {sql_missing('model_id')} THEN NULL ELSE {sql_key('model_id')} END AS m,
-                  CASE WHEN {sql_missing('evaluation_id')} THEN NULL ELSE {sql_key('evaluation_id')} END AS e FROM {MIDNIGHT}),
-s AS (SELECT DISTINCT {sql_key('model_id')} AS m, {sql_key('evaluation_id')} AS e FROM scores)
-SELECT CAST((m IS NULL)::INT + 2 * (e IS NULL)::INT AS INTEGER) AS null_mask, 'missing' AS kind, count(*) AS orphans, min(record_id) AS first_record
-FROM r WHERE (m IS NOT NULL OR e IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM s WHERE (r.m IS NULL OR s.m = r.m) AND (r.e IS NULL OR s.e = r.e)) GROUP BY ALL""",
+    "p1_report": _P1_SQL + f""", lost AS (SELECT ref_field, null_mask, t, kind FROM found UNION ALL SELECT 'midnight.(model_id, evaluation_id)', null_mask, t, kind FROM ({_P1_PAIRS}))
+SELECT ref_field, CAST(null_mask AS INTEGER) AS null_mask, strftime(date_trunc('month', t), '%Y-%m-%d') AS period, kind, count(*) AS orphans FROM lost GROUP BY ALL""",
+    "p1_pairs": f"SELECT record_id, null_mask, kind FROM ({_P1_PAIRS})",
     "p2_found": _P2_SQL,
     "p5_found": _P5_SQL,
     "p7_found": _P7_SQL,

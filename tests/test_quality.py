@@ -60,8 +60,40 @@ def test_orphans_composite_masks_against_brute_force(spark, match):
     assert got == want
 
 
+def test_component_orphans_by_mask_and_time_against_brute_force(spark):
+    rng = random.Random(8)
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 60))
+    refs = [(i, rng.choice("aaabcd") if rng.random() > 0.2 else None, rng.choice("xxyz") if rng.random() > 0.2 else None, day() if rng.random() > 0.1 else None) for i in range(400)]
+
+    def targets(names):
+        rows = []
+        for n in names:
+            for _ in range(12):
+                start = day()
+                rows.append((n, start if rng.random() > 0.1 else None, None if rng.random() < 0.05 else start + dt.timedelta(hours=rng.randrange(-5, 90))))
+        return rows
+
+    left, right = targets("abc"), targets("xy")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, a timestamp, z timestamp")
+    parts = [orphans.Component("L", "l", frame(left), "k", "a", "z"), orphans.Component("R", "r", frame(right), "k", "a", "z")]
+    out = orphans.find_component_orphans(spark.createDataFrame(refs, "id long, l string, r string, t timestamp"), parts, "t", ["id"]).collect()
+    want = set()
+    for i, l, r, t in refs:
+        for name, k, rows in (("L", l, left), ("R", r, right)):
+            own = [x for x in rows if x[0] == k]
+            if k is None or own and t is None:
+                continue
+            starts = [a for _, a, _ in own if a is not None]
+            if not own:
+                want.add((i, name, "missing"))
+            elif not any(a is not None and a <= t and (z is None or z > t) for _, a, z in own):
+                want.add((i, name, "late" if not starts or t < min(starts) else "deleted"))
+    assert {(x.id, x.ref_field, x.kind) for x in out} == want and len(out) == len(want)
+    assert {x.id: x.null_mask for x in out} == {i: (l is None) + 2 * (r is None) for i, l, r, _ in refs if i in {w[0] for w in want}}
+
+
 def test_orphan_report_counts(spark):
-    rows = spark.createDataFrame([("m", T(1), "late"), ("m", T(20), "late"), ("m", dt.datetime(2024, 2, 1), "late")], "ref_field string, at timestamp, kind string")
+    rows = spark.createDataFrame([("m", 0, T(1), "late"), ("m", 0, T(20), "late"), ("m", 1, dt.datetime(2024, 2, 1), "late")], "ref_field string, null_mask int, at timestamp, kind string")
     got = {(r.period, r.orphans) for r in orphans.orphan_report(rows, "ref_field", "at").collect()}
     assert got == {("2024-01-01", 2), ("2024-02-01", 1)}
 
