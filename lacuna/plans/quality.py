@@ -100,6 +100,19 @@ def p2_cells(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_cells(table(spark, d, "raw_score_lines")).select("line_id", "source_table", "source_row", "field", "union_kind", "value")
 
 
+def p2_hibou(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of the feeds of hibou as one table under first names and union types."""
+    return drift.consistent_table(table(spark, d, "raw_score_lines"), "hibou_official_scores_2024")
+
+
+def p2_midnight(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(spark, d, "raw_score_lines"), MIDNIGHT)
+
+
+def p2_phikon(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(spark, d, "raw_score_lines"), "phikon_family_official_scores_2023_2024")
+
+
 _P2_SQL = """
 WITH files AS (
   SELECT feed, file_name, row_number() OVER (PARTITION BY feed ORDER BY min(delivered_at), file_name) AS seq,
@@ -272,6 +285,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_log": p2_log,
     "p2_cells": p2_cells,
+    "p2_hibou": p2_hibou,
+    "p2_midnight": p2_midnight,
+    "p2_phikon": p2_phikon,
     "p5_found": p5_found,
     "p5_values": p5_values,
     "p7_found": p7_found,

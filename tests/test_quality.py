@@ -136,6 +136,23 @@ def test_consistent_cells_follow_renames(spark):
     assert got == {("1", "m", "x"), ("2", "m", "x"), ("3", "m", "x"), ("3", "k", "5")}
 
 
+def test_one_consistent_table_per_source(spark):
+    files = [
+        ("1", [{"source_row": "a", "m": "x", "v": 1.5, "o": {"k": 1}, "line_id": 7}, {"source_row": "b", "m": None, "v": 2}]),
+        ("2", [{"source_row": "a", "mm": "x", "v": "2.5", "flag": True, "o": [1]}, {"source_row": "c", "it's": 3, "a'b\"c": "q"}, "not json"]),
+        ("3", [{"source_row": "a", "m": 9, "V": None}]),
+    ]
+    lines = _lines(spark, files)
+    out = drift.consistent_table(lines, "src")
+    types = dict(out.dtypes)
+    assert (types["V"], types["v_field"], types["flag"], types["o"], types["it's"], types["line_id_field"]) == ("string", "string", "boolean", "string", "double", "double")
+    got = {r.line_id: r.asDict() for r in out.collect()}
+    assert len(got) == 6 and got[1]["m"] == "x" and got[1]["v_field"] == "1.5" and got[1]["o"] == '{"k":1}' and got[1]["line_id_field"] == 7.0
+    assert got[3]["m"] == "x" and got[3]["v_field"] == "2.5" and got[3]["flag"] is True and got[3]["o"] == "[1]" and got[4]["it's"] == 3.0 and got[4]["a'b\"c"] == "q"
+    assert got[2]["m"] is None and got[5]["source_row"] is None
+    assert drift.consistent_table(lines, "none").count() == 0 and drift.consistent_table(lines.where("false"), "src").count() == 0
+
+
 CASES = [
     ("78.63", "pct", "auroc", 786300), ("0,5 fraction", "percent", "auroc", 500000), ("12±1.2 %", None, "dice", 120000), ("−3.5 +/- 0.1", "percent", "relative_drop", -35000),
     ("7,863 bp", None, "auroc", 786300), ("1,234,567", "KiB", "peak_memory", 1234567 * 1024), ("6,169.491", "s", "wall_clock", 6169491), ("1.5 GB", "MiB", "peak_memory", 1500000000),
