@@ -12,18 +12,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HASH_BUCKETS = 1024
+from lacuna.session import cut
 
+BUCKET_ROWS = 200_000
 
-def hash_bucket(h: Column) -> Column:
-    """The leading 10 bits of a 64-bit hash, in the order of the hash."""
-    return F.shiftright(h, 54)
 
+def hash_bits(rows: int) -> int:
+    """Leading bits of a hash that cut so many rows into buckets of about ``BUCKET_ROWS``; at least 10."""
+    return min(24, max(10, (rows // BUCKET_ROWS).bit_length()))
 
-def running(rows: DataFrame, group: Sequence[str], order: str, ties: Sequence[str], amount: Column | None = None, out: str = "place") -> DataFrame:
-    """Adds ``out``: the sum of ``amount`` (1 if none) over the rows of the group up to and with this one, in the order of a 64-bit hash column."""
+
+def hash_bucket(h: Column, bits: int = 10) -> Column:
+    """The leading bits of a 64-bit hash, in the order of the hash."""
+    return F.shiftright(h, 64 - bits)
+
+
+def running(rows: DataFrame, group: Sequence[str], order: str, ties: Sequence[str], amount: Column | None = None, out: str = "place", bits: int = 10) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` (1 if none) over the rows of the group up to and with this one, in the order of a 64-bit hash column.
+
+    ``bits``: of :func:`hash_bits` where the number of rows is known.
+    """
     what = F.lit(1) if amount is None else amount
-    rows = rows.withColumn("_bucket", hash_bucket(F.col(order))).withColumn("_amount", what.cast("long"))
+    rows = rows.withColumn("_bucket", hash_bucket(F.col(order), bits)).withColumn("_amount", what.cast("long"))
     sums = rows.groupBy(*group, "_bucket").agg(F.sum("_amount").alias("_sum"))
     across = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(across), F.lit(0))).drop("_sum")
@@ -48,3 +58,23 @@ def value_counts_below(rows: DataFrame, group: str, value: str, pieces: int = 12
     inside = Window.partitionBy(group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return local.join(offsets, [group, "_bucket"]).withColumn("below", F.col("_local") + F.col("_before")).drop("_local", "_before", "_bucket")
+
+
+def counts_below(rows: DataFrame, value: str) -> DataFrame:
+    """``value_counts_below`` of a table that is one group: value, n, below, total.
+
+    Distinct values are cut by range into as many pieces as the session shuffles into; only a sum per piece is
+    carried over, so nothing is joined but that short table.
+    """
+    spark = rows.sparkSession
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counts.repartitionByRange(pieces, value).withColumn("_bucket", F.spark_partition_id()))  # cut, so that pieces stay as they are
+    before, offsets = 0, []
+    for r in ranged.groupBy("_bucket").agg(F.sum("n").alias("s")).orderBy("_bucket").collect():  # a row per piece
+        offsets.append((r["_bucket"], before))
+        before += r["s"]
+    table = spark.createDataFrame(offsets, "_bucket int, _before long")
+    inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return local.join(F.broadcast(table), "_bucket").select(value, "n", (F.col("_local") + F.col("_before")).alias("below"), F.lit(before).cast("long").alias("total"))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lacuna.functions.columns import correlation
-from lacuna.operators.ranks import value_counts_below
+from lacuna.operators.ranks import counts_below, value_counts_below
 
 APE_FLOOR, NOISE_FLOOR, MAD_SCALE = 1e-6, 0.5, 1.4826
 
@@ -85,8 +85,7 @@ def column_skill(model_error: Column, baseline: Column) -> tuple[Column, Column]
 
 def global_place(rows: DataFrame, value: str, ties: Sequence[str], out: str = "place") -> DataFrame:
     """Adds the 1-based place of each row by value, then ties, and ``total``; only equal values share a window."""
-    keyed = rows.withColumn("_all", F.lit(0))
-    counts = value_counts_below(keyed, "_all", value).select(F.col(value).alias("_v"), "below", "total")
+    counts = counts_below(rows, value).select(F.col(value).alias("_v"), "below", "total")
     among = Window.partitionBy(value).orderBy(*ties)
     joined = rows.withColumn("_among", F.row_number().over(among)).join(counts, F.col(value) == F.col("_v"))
     return joined.withColumn(out, (F.col("below") + F.col("_among")).cast("long")).drop("_v", "below", "_among")
