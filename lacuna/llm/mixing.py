@@ -26,7 +26,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from lacuna.operators.ranks import running
+from lacuna.operators.ranks import hash_bits, running
 
 SHARDS = 16  # at least
 SHARD_ROWS = 1_000_000
@@ -118,13 +118,12 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
     return low
 
 
-def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
-    """doc_id, source, copy_no, shard, position_key of every drawn copy; ``documents(doc_id, source, tokens)``."""
+def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = 0, rows: int = 0) -> DataFrame:
+    """doc_id, source, copy_no, shard, position_key of every drawn copy; ``documents(doc_id, source, tokens)``, ``rows`` of them."""
     spark = documents.sparkSession
-    rows = [(s, p["full"], int(p["rest"])) for s, p in plan.items()]
-    table = spark.createDataFrame(rows, "source string, full_passes int, rest long")
+    table = spark.createDataFrame([(s, p["full"], int(p["rest"])) for s, p in plan.items()], "source string, full_passes int, rest long")
     drawn = documents.join(F.broadcast(table), "source")  # one row per listed source, a fixed table
-    drawn = running(drawn.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))), ["source"], "_h", ["doc_id"], F.col("tokens"), out="_sum")
+    drawn = running(drawn.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))), ["source"], "_h", ["doc_id"], F.col("tokens"), out="_sum", bits=hash_bits(rows))
     copies = F.col("full_passes") + F.when((F.col("_sum") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
     drawn = drawn.withColumn("_copies", copies).where(F.col("_copies") > 0)
     drawn = drawn.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
@@ -136,8 +135,8 @@ def draw_mixture(documents: DataFrame, plan: dict[str, dict], shards: int | None
     dealt = spark.createDataFrame([(s, k, n) for s, q in quotas.items() for k, n in enumerate(q) if n], "source string, shard int, n long")
     dealt = dealt.select("source", "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i"))  # at most a shard's blocks in a row
     dealt = dealt.withColumn("_h", F.xxhash64("source", "shard", "_i", F.lit(seed + 3)))
-    dealt = running(dealt, ["source"], "_h", ["shard", "_i"], out="_block").select("source", "_block", "shard")
-    placed = running(drawn, ["source"], "_h", ["doc_id", "copy_no"], out="_place")
+    dealt = running(dealt, ["source"], "_h", ["shard", "_i"], out="_block", bits=hash_bits(sum(blocks.values()))).select("source", "_block", "shard")
+    placed = running(drawn, ["source"], "_h", ["doc_id", "copy_no"], out="_place", bits=hash_bits(sum(sizes.values())))
     placed = placed.withColumn("_block", F.ceil(F.col("_place") / block_rows).cast("long"))
     placed = placed.join(F.broadcast(dealt) if sum(blocks.values()) <= BROADCAST_BLOCKS else dealt, ["source", "_block"])
     return placed.select("doc_id", "source", F.col("copy_no").cast("int").alias("copy_no"), "tokens", "shard", F.xxhash64("doc_id", "copy_no", F.lit(seed + 2)).alias("position_key"))

@@ -115,16 +115,27 @@ SELECT m.model_id, s.group_id FROM g JOIN m USING (k) JOIN s USING (root) WHERE
 # ---- problem 6 ----
 
 
-def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+def _p6_columns(spark: SparkSession, d: str) -> list[dict]:
     declared = table(spark, d, "score_columns").where(F.col("column_name").isNotNull()).groupBy("column_name")
     declared = declared.agg(F.bool_and(F.coalesce("higher_is_better", F.lit(True))).alias("up"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
-    columns = [{"name": r["column_name"], "higher_is_better": r["up"], "lowest": r["lowest"], "highest": r["highest"]} for r in declared.orderBy("column_name").collect()]  # a fixed table: one row per column of the matrix
+    return [{"name": r["column_name"], "higher_is_better": r["up"], "lowest": r["lowest"], "highest": r["highest"]} for r in declared.orderBy("column_name").collect()]  # a fixed table: one row per column of the matrix
+
+
+def _p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "score_matrix_wide").withColumn("member", same_key("model_id")).drop("model_id")
+
+
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "model_metadata").where(F.col("model_id").isNotNull()).groupBy(same_key("model_id").alias("member")).agg(F.min("model_id").alias("model_id"))
-    wide = table(spark, d, "score_matrix_wide").withColumn("member", same_key("model_id")).drop("model_id")
-    out = ranking.rank_items(items.select("member"), wide, "member", columns)
+    out = ranking.rank_items(items.select("member"), _p6_scores(spark, d), "member", _p6_columns(spark, d))
     return out.join(items, "member").select("model_id", "n_scores", "projection", "place")
 
 
+def p6_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Loading of every score column in the one ranking, and whether it runs against its declared direction."""
+    return ranking.loadings(_p6_scores(spark, d), "member", _p6_columns(spark, d))
+
+
 # ---- problem 8 ----
 
 
@@ -147,7 +158,7 @@ def _p9_parts(spark: SparkSession, d: str) -> tuple[DataFrame, dict, dict]:
 def _p9_draw(spark: SparkSession, d: str) -> tuple[DataFrame, dict, dict]:
     sized, wanted, supply = _p9_parts(spark, d)
     plan = mixing.plan_shares({s: t for s, (t, _) in supply.items() if s is not None}, wanted)
-    return mixing.draw_mixture(sized, plan), wanted, supply
+    return mixing.draw_mixture(sized, plan, rows=sum(n for _, n in supply.values())), wanted, supply
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +201,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p6_ranking": p6_ranking,
+    "p6_loadings": p6_loadings,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

@@ -4,8 +4,10 @@ Every column is replaced by its average rank among the proper values (numbers
 within the column's bounds), scaled to 0..1 and turned so that more is better.
 Rank columns have the same distribution whatever the scale, so no range
 dominates.  Their correlation matrix (pairs of present values) is one distributed
-aggregate; its first principal component gives the loadings, whose signs are set
-to the declared directions, and items are sorted by the projection.
+aggregate; its first principal component gives the loadings.  The component is
+oriented as a whole to the declared directions; a column that runs against its
+declared direction even then says nothing reliable, has loading 0 and is named in
+the report of loadings.  Items are sorted by the projection.
 
 A missing score counts as the middle rank, so it moves an item neither way; an
 item without any score has no projection and the last rank.  Constant columns
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.functions.columns import correlation
-from lacuna.operators.ranks import value_counts_below
+from lacuna.operators.ranks import counts_below, value_counts_below
 from lacuna.session import cut
 
 
@@ -67,13 +69,21 @@ def first_component(ranked: DataFrame, names: Sequence[str]) -> dict:
         if usable[i] and usable[j] and r is not None and r == r:
             matrix[i, j] = matrix[j, i] = r
     values, vectors = np.linalg.eigh(matrix)
-    loading = np.abs(vectors[:, -1]) * np.array(usable)  # columns are turned already: more is better, so all signs are plus
+    raw = vectors[:, -1] * np.array(usable)
+    raw = raw if raw.sum() >= 0 else -raw  # columns are turned already: more is better, so most signs must be plus
     return {
-        n: {"mean": float(row[f"m{i}"] if usable[i] else 0.0), "spread": float(row[f"s{i}"] if usable[i] else 1.0), "loading": float(loading[i]), "share": float(values[-1] / max(1, sum(usable)))}
+        n: {"mean": float(row[f"m{i}"] if usable[i] else 0.0), "spread": float(row[f"s{i}"] if usable[i] else 1.0), "loading": float(max(0.0, raw[i])), "component": float(raw[i]), "share": float(values[-1] / max(1, sum(usable)))}
         for i, n in enumerate(names)
     }
 
 
+def loadings(scores: DataFrame, identity: str, columns: Sequence[dict]) -> DataFrame:
+    """column_name, component (oriented as a whole), loading (0 where it runs against the declared direction), against, share of the variance."""
+    model = first_component(cut(rank_columns(scores, identity, columns)), [c["name"] for c in columns])
+    rows = [(n, round(m["component"], 9), round(m["loading"], 9), m["component"] < 0, round(m["share"], 9)) for n, m in model.items()]
+    return scores.sparkSession.createDataFrame(rows, "column_name string, component double, loading double, against boolean, share double")
+
+
 def rank_items(items: DataFrame, scores: DataFrame, identity: str, columns: Sequence[dict]) -> DataFrame:
     """identity, n_scores, projection, place (1 is best) of every item."""
     names = [c["name"] for c in columns]
@@ -83,8 +93,7 @@ def rank_items(items: DataFrame, scores: DataFrame, identity: str, columns: Sequ
     present = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
     scored = ranked.select(identity, F.round(projection, 9).alias("projection"), present.cast("long").alias("n_scores"))
     out = cut(items.join(scored, identity, "left").withColumn("n_scores", F.coalesce("n_scores", F.lit(0))))
-    keyed = out.withColumn("_all", F.lit(0))
-    counts = value_counts_below(keyed, "_all", "projection").withColumn("place", F.col("total") - F.col("below") - F.col("n") + 1)
-    unscored = counts.agg(F.max("total").alias("_scored"))
-    placed = out.join(counts.select("projection", "place"), "projection", "left").crossJoin(F.broadcast(unscored))  # one row: an ungrouped aggregate
-    return placed.withColumn("place", F.coalesce("place", F.coalesce("_scored", F.lit(0)) + 1)).select(identity, "n_scores", "projection", "place")
+    counts = counts_below(out, "projection").withColumn("place", F.col("total") - F.col("below") - F.col("n") + 1)
+    last = out.where(F.col("projection").isNotNull()).count() + 1
+    placed = out.join(counts.select("projection", "place"), "projection", "left")
+    return placed.withColumn("place", F.coalesce("place", F.lit(last).cast("long"))).select(identity, "n_scores", "projection", "place")

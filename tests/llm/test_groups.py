@@ -150,6 +150,15 @@ def test_ranking_is_not_governed_by_range_and_follows_directions(spark):
     assert again == {k: v.place for k, v in out.items()}
 
 
+def test_a_column_against_its_direction_has_no_weight(spark):
+    rng = np.random.default_rng(3)
+    skill = rng.normal(size=200)
+    rows = [(f"m{i}", float(skill[i] + rng.normal(0, 0.2)), float(skill[i] + rng.normal(0, 0.2)), float(skill[i] + rng.normal(0, 0.2)), float(-skill[i])) for i in range(200)]
+    columns = [{"name": n, "higher_is_better": True, "lowest": -100.0, "highest": 100.0} for n in "abcd"]
+    got = {r.column_name: r for r in ranking.loadings(spark.createDataFrame(rows, "id string, a double, b double, c double, d double"), "id", columns).collect()}
+    assert got["d"].against and got["d"].loading == 0 and got["d"].component < 0 and all(got[n].loading > 0.3 for n in "abc")
+
+
 def test_ranking_of_empty_scores(spark):
     columns = [{"name": "a", "higher_is_better": True, "lowest": 0.0, "highest": 1.0}, {"name": "b", "higher_is_better": True, "lowest": 0.0, "highest": 1.0}]
     items = spark.createDataFrame([("x",)], "id string")

@@ -7,7 +7,7 @@ from lacuna.llm import queries
 
 pytestmark = pytest.mark.skipif(not SOURCE.exists(), reason="no test tables")
 #: Reports that name every listed source even where there is nothing to draw.
-REPORTS = {"p9_shares"}
+REPORTS = {"p9_shares", "p6_loadings"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
