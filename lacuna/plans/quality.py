@@ -216,10 +216,6 @@ def _p7_models(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _month():
-    return F.floor(F.col("day") / 30)
-
-
 def _p7_c0(spark: SparkSession, d: str) -> DataFrame:
     bounds = table(spark, d, "score_columns").where(F.col("column_name") == "c0").agg(F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
     wide = table(spark, d, "score_matrix_wide").select(same_key("model_id").alias("model_key"), F.col("model_id").alias("row_id"), "c0")
@@ -227,11 +223,11 @@ def _p7_c0(spark: SparkSession, d: str) -> DataFrame:
     proper = ~F.isnan("c0") & F.col("c0").between(F.col("lowest"), F.col("highest"))
     wide = wide.select("model_key", "row_id", F.when(proper, F.col("c0")).alias("c0"))
     rows = wide.join(_p7_models(spark, d).select("model_key", same_key("family").alias("family_key"), "day"), "model_key", "left")
-    return hotdeck.hot_deck(rows, "family_key", "day", "row_id", "c0", _month())
+    return hotdeck.hot_deck(rows, "family_key", "day", "row_id", "c0")
 
 
 def _p7_family(spark: SparkSession, d: str) -> DataFrame:
-    return hotdeck.hot_deck(_p7_models(spark, d), "primary_source_url", "day", "model_id", "family", _month())
+    return hotdeck.hot_deck(_p7_models(spark, d), "primary_source_url", "day", "model_id", "family")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
