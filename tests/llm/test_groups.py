@@ -101,6 +101,23 @@ def test_components_over_levels(spark, task_edges):
     assert {frozenset(v) for v in got.values()} == {c for c in _components([e for e in edges if e[0] != e[1]]) if len(c) > 1}
 
 
+@pytest.mark.parametrize("shape", ["chain", "random", "hub"])
+def test_every_level_shrinks(spark, shape):
+    rng = random.Random(4)
+    edges = {
+        "chain": [(f"n{i}", f"n{i + 1}") for i in range(2000)],
+        "random": [(f"n{rng.randrange(2000)}", f"n{rng.randrange(2000)}") for _ in range(2000)],
+        "hub": [("h", f"n{i}") for i in range(2000)],
+    }[shape]
+    sizes: list[int] = []
+    labels = splits.connected_components(spark.createDataFrame(edges, "a string, b string"), 20, sizes).collect()  # a hundred tasks
+    got = {}
+    for r in labels:
+        got.setdefault(r.root, set()).add(r.node)
+    assert {frozenset(v) for v in got.values()} == {c for c in _components([e for e in edges if e[0] != e[1]]) if len(c) > 1}
+    assert len(sizes) <= 9 and all(b <= 0.7 * a for a, b in zip(sizes, sizes[1:])), sizes
+
+
 def test_related_groups_and_edge_cases(spark):
     members = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "member string")
     names = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", None), ("d", "q"), ("d", "q")], "member string, name string")
