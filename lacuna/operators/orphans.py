@@ -63,16 +63,17 @@ def _lost_in_time(some: DataFrame, known: DataFrame, keys: Sequence[str], keep:
     by_key, rows = _validity(known, keys)
     # cut, so that both sides of the joins are plain shuffles and a hot key of the references can be split
     by_key = cut(by_key)
-    missing = some.join(by_key.select(*keys), keys, "left_anti").select(*keep, F.lit("missing").alias("kind"))
     at = F.col("_time").cast("timestamp")
     earlier = F.filter("_weeks", lambda w: (w["_week"] < F.col("_at_week")) & (w["_stop"] > F.col("_at")))
-    timed = some.where(F.col("_time").isNotNull()).withColumn("_at", at).withColumn("_at_week", _week(F.col("_at")))
-    open_ = timed.join(by_key, keys).where(F.size(earlier) == 0).select(*keys, *keep, "_at", "_at_week", "_first")
+    timed = some.withColumn("_at", at).withColumn("_at_week", _week(F.col("_at")))
+    # one join tells what has no row at all; of the rest it leaves what no earlier week covers
+    open_ = timed.join(by_key.withColumn("_known", F.lit(True)), keys, "left").where(F.col("_known").isNull() | (F.col("_at").isNotNull() & (F.size(earlier) == 0)))
+    open_ = open_.select(*dict.fromkeys([*keys, *keep]), "_at", "_at_week", "_first", "_known")
     here = rows.select(*[F.col(k).alias(f"_t{k}") for k in keys], "_week", "_start", "_stop")
     same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_t{k}") for k in keys))
     lost = open_.join(here, same & (F.col("_at_week") == F.col("_week")) & (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_stop")), "left_anti")
-    kind = F.when(F.col("_first").isNull() | (F.col("_at") < F.col("_first")), "late").otherwise("deleted")
-    return missing.unionByName(lost.select(*keep, kind.alias("kind")))
+    kind = F.when(F.col("_known").isNull(), "missing").when(F.col("_first").isNull() | (F.col("_at") < F.col("_first")), "late").otherwise("deleted")
+    return lost.select(*keep, kind.alias("kind"))
 
 
 def _masked(refs: DataFrame, columns: Sequence[str]) -> Column:
@@ -143,17 +144,23 @@ class Component:
 def find_component_orphans(refs: DataFrame, components: Sequence[Component], ref_time: str, keep: Sequence[str] = ()) -> DataFrame:
     """Orphans of references each of whose columns names a target of its own: keep, ref_field, null_mask, kind.
 
-    Every null mask is anti-joined on its non-null columns; masks that share a column share its anti-join.
+    A reference becomes a row for each non-null column of its null mask, so all masks and columns are anti-joined at
+    once against the targets of all columns, and the references are read once.
     """
-    slim = refs.select(*[F.col(c.column).alias(f"_k{i}") for i, c in enumerate(components)], F.col(ref_time).alias("_time"), *[F.col(c) for c in keep])
-    slim = slim.withColumn("null_mask", _masked(slim, [f"_k{i}" for i in range(len(components))]))
-    parts = []
-    for i, c in enumerate(components):
-        some = slim.where(F.col("null_mask").bitwiseAND(F.lit(1 << i)) == 0).select(f"_k{i}", "_time", "null_mask", *keep)
-        known = c.targets.select(F.col(c.target_column).alias(f"_k{i}"), F.col(c.valid_from).cast("timestamp").alias("_start"), F.col(c.valid_to).cast("timestamp").alias("_end"))
-        lost = _lost_in_time(some, known.where(F.col(f"_k{i}").isNotNull()), [f"_k{i}"], [*keep, "null_mask"])
-        parts.append(lost.withColumn("ref_field", F.lit(c.name)))
-    return reduce(DataFrame.unionByName, parts)
+    slim = refs.select(*[F.col(c.column).cast("string").alias(f"_k{i}") for i, c in enumerate(components)], F.col(ref_time).alias("_time"), *[F.col(c) for c in keep])
+    mask = _masked(slim, [f"_k{i}" for i in range(len(components))])
+    named = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(f"_k{i}").alias("_k"), mask.alias("null_mask")) for i in range(len(components))])
+    some = slim.select("_time", *keep, F.inline(named)).where(F.col("_k").isNotNull())
+    known = reduce(
+        DataFrame.unionByName,
+        (
+            c.targets.select(F.lit(i).alias("_c"), F.col(c.target_column).cast("string").alias("_k"), F.col(c.valid_from).cast("timestamp").alias("_start"), F.col(c.valid_to).cast("timestamp").alias("_end"))
+            for i, c in enumerate(components)
+        ),
+    )
+    lost = _lost_in_time(some, known.where(F.col("_k").isNotNull()), ["_c", "_k"], [*keep, "null_mask", "_c"])
+    names = F.array(*[F.lit(c.name) for c in components])
+    return lost.select(*keep, names[F.col("_c")].alias("ref_field"), "null_mask", "kind")
 
 
 def orphan_report(orphans: DataFrame, table: str, time: str, period: str = "month") -> DataFrame:
