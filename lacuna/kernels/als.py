@@ -1,8 +1,10 @@
 """Bias-plus-low-rank alternating ridge regression on a list of cells, and the pipeline around it.
 
-All sums run over the observed cells (bincount by row or column), so the cost
-follows the number of cells, not the size of the full table, and any rank uses
-the same normal equations.
+Any rank uses the same normal equations.  Small tables, of which refits need
+thousands, are solved for all members of the ensemble at once: every sum of the
+normal equations is a product of the mask with the members' factors.  Larger ones
+take their sums over the observed cells (bincount by row or column), so that the
+cost follows the number of cells.  Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -41,7 +43,58 @@ def _solve_side(side: np.ndarray, n: int, design: np.ndarray, target: np.ndarray
     return np.linalg.solve(gram, right[..., None])[..., 0]
 
 
-def bias_als(rows, cols, values, n_rows: int, n_cols: int, rank: int, ridge: float = RIDGE, rounds: int = ROUNDS, ensembles: int = ENSEMBLES, seed: int = SEED) -> np.ndarray:
+#: Tables up to so many places are solved as dense products.
+DENSE_PLACES = 1_000_000
+
+
+def _starts(n_rows: int, n_cols: int, rank: int, ensembles: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """[1 + rank, rows, members] and [1 + rank, columns, members]: biases 0, small normal factors, one generator a member."""
+    left, right = np.zeros((1 + rank, n_rows, ensembles)), np.zeros((1 + rank, n_cols, ensembles))
+    for member in range(ensembles):
+        rng = np.random.RandomState(seed + member)
+        left[1:, :, member] = rng.normal(0.0, START_SPREAD, size=(n_rows, rank)).T
+        right[1:, :, member] = rng.normal(0.0, START_SPREAD, size=(n_cols, rank)).T
+    return left, right
+
+
+def _dense_side(mask: np.ndarray, values: np.ndarray, other: np.ndarray, mean: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge solutions [bias, factors...] of all rows of the mask and all members."""
+    k = len(other)
+    design = np.concatenate([np.ones((1, *other.shape[1:])), other[1:]])
+    gram = np.empty((k, k, len(mask), other.shape[2]))
+    for a in range(k):
+        for b in range(a, k):
+            gram[a, b] = gram[b, a] = mask @ (design[a] * design[b])
+    right = np.stack([values @ design[a] - mean * gram[0, a] - mask @ (other[0] * design[a]) for a in range(k)])
+    gram[np.arange(k), np.arange(k)] += ridge
+    if k == 1:
+        return right / gram[0]
+    if k == 2:
+        det = gram[0, 0] * gram[1, 1] - gram[0, 1] ** 2
+        return np.stack([right[0] * gram[1, 1] - right[1] * gram[0, 1], right[1] * gram[0, 0] - right[0] * gram[0, 1]]) / det
+    return np.moveaxis(np.linalg.solve(np.moveaxis(gram, (0, 1), (2, 3)), np.moveaxis(right, 0, 2)[..., None])[..., 0], 2, 0)
+
+
+def _dense_als(rows, cols, values, n_rows: int, n_cols: int, rank: int, ridge: float, rounds: int, ensembles: int, seed: int) -> np.ndarray:
+    mask, table = np.zeros((n_rows, n_cols)), np.zeros((n_rows, n_cols))
+    np.add.at(mask, (rows, cols), 1.0)
+    np.add.at(table, (rows, cols), values)
+    row_n, col_n = mask.sum(axis=1), mask.sum(axis=0)
+    row_seen, col_seen = row_n > 0, col_n > 0
+    left, right = _starts(n_rows, n_cols, rank, ensembles, seed)
+    mean = np.full(ensembles, values.mean())
+    for _ in range(rounds):
+        left[:, row_seen] = _dense_side(mask, table, right, mean, ridge)[:, row_seen]
+        right[:, col_seen] = _dense_side(mask.T, table.T, left, mean, ridge)[:, col_seen]
+        met = sum((left[k] * (mask @ right[k])).sum(axis=0) for k in range(1, 1 + rank))
+        mean = (values.sum() - row_n @ left[0] - col_n @ right[0] - met) / len(values)
+    fitted = mean.mean() + left[0].mean(axis=1)[:, None] + right[0].mean(axis=1)
+    for k in range(1, 1 + rank):
+        fitted += left[k] @ right[k].T / ensembles
+    return fitted
+
+
+def bias_als(rows, cols, values, n_rows: int, n_cols: int, rank: int, ridge: float = RIDGE, rounds: int = ROUNDS, ensembles: int = ENSEMBLES, seed: int = SEED, dense_places: int = DENSE_PLACES) -> np.ndarray:
     """Full table of fitted values (observed cells are not restored here).
 
     Rows or columns without cells keep bias 0 and their starting factor.  The
@@ -50,13 +103,14 @@ def bias_als(rows, cols, values, n_rows: int, n_cols: int, rank: int, ridge: flo
     if ridge <= 0:
         raise ValueError("the ridge must be positive")
     rows, cols, values = np.asarray(rows), np.asarray(cols), np.asarray(values, dtype=float)
+    if n_rows * n_cols <= dense_places:
+        return _dense_als(rows, cols, values, n_rows, n_cols, rank, ridge, rounds, ensembles, seed)
     row_seen = np.bincount(rows, minlength=n_rows) > 0
     col_seen = np.bincount(cols, minlength=n_cols) > 0
     total = np.zeros((n_rows, n_cols))
+    lefts, rights = _starts(n_rows, n_cols, rank, ensembles, seed)
     for member in range(ensembles):
-        rng = np.random.RandomState(seed + member)
-        u = np.hstack([np.zeros((n_rows, 1)), rng.normal(0.0, START_SPREAD, size=(n_rows, rank))])
-        v = np.hstack([np.zeros((n_cols, 1)), rng.normal(0.0, START_SPREAD, size=(n_cols, rank))])
+        u, v = lefts[:, :, member].T.copy(), rights[:, :, member].T.copy()
         mean = values.mean()
         ones = np.ones((len(values), 1))
         for _ in range(rounds):

@@ -8,11 +8,15 @@ tables use ``relational_als``, whose every step is a join and an aggregate.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lacuna.kernels import als, factor, transforms
+from lacuna.kernels import als, factor, neighbours, transforms
 
 KERNEL_CELLS = 5_000_000
 _SCHEMA = "job_id string, model_id string, evaluation_id string, predicted double"
@@ -77,25 +81,103 @@ def fit_all_cells(cells: DataFrame, rank: int, comparison_rank: int) -> DataFram
     return cells.select("model_id", "evaluation_id", "score").withColumn("_job", F.lit(0)).groupBy("_job").applyInPandas(lambda f: run(f), schema)
 
 
+def fit_ranks(jobs: DataFrame) -> DataFrame:
+    """Jobs also carry method (als, svd), transform (identity, logit) and rank."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        models, evaluations, r, c, x = _axes(frame)
+        if not len(x):
+            return _answers(frame, models, evaluations, np.zeros((0, 0)))
+        rank = int(frame["rank"].iloc[0])
+        if frame["method"].iloc[0] == "als":
+            table = als.complete(r, c, x, len(models), len(evaluations), rank)
+        else:
+            table = factor.soft_impute(r, c, x, len(models), len(evaluations), rank, frame["transform"].iloc[0])
+        return _answers(frame, models, evaluations, table)
+
+    return jobs.groupBy("job_id").applyInPandas(run, _SCHEMA)
+
+
+# The grid of settings: every method's parameters.
+SETTINGS: list[tuple[str, dict]] = [
+    ("benchmark_mean", {}),
+    ("model_mean", {}),
+    *[(m, {"k": k}) for m in ("bench_knn", "model_knn") for k in (3, 5, 7, 10)],
+    *[(m, {"top_k": k, "min_r2": r2}) for m in ("bench_regression", "model_regression") for k in (3, 5, 7) for r2 in (0.1, 0.2, 0.3)],
+    *[("soft_impute", {"rank": r}) for r in (1, 2)],
+    *[("bias_als", {"rank": 1, "ridge": x}) for x in (0.01, 0.1, 1.0)],
+    ("bias_als", {"rank": 2, "ridge": 0.1}),
+    *[(m, {"rank": r}) for m in ("nmf", "pmf") for r in (1, 2, 3, 5)],
+    *[("nuclear_norm", {"weight": w}) for w in (0.1, 0.5, 1.0, 5.0)],
+    *[("mlp", {"rate": x}) for x in (1e-4, 1e-3, 1e-2)],
+]
+COMPLETERS = {**neighbours.COMPLETERS, **factor.COMPLETERS}
+
+
+def setting_label(transform: str, method: str, arguments: dict) -> str:
+    """transform/method/ and the head of a hash of the arguments."""
+    text = json.dumps(arguments, sort_keys=True, separators=(",", ":"))
+    return f"{transform}/{method}/{hashlib.sha1(text.encode()).hexdigest()[:10]}"
+
+
+def complete_transformed(transform: str, method: str, arguments: dict, r, c, x, n_rows: int, n_cols: int) -> np.ndarray:
+    """Columns transformed and z-scored, completed, and turned back; columns of percentages are kept in 0..100."""
+    z, columns = np.empty_like(x), [np.flatnonzero(c == j) for j in range(n_cols)]
+    for at in columns:
+        z[at] = transforms.forward(transform, x[at])
+    mean, spread = als.column_moments(c, z, n_cols, 1e-8)
+    table = COMPLETERS[method](r, c, (z - mean[c]) / spread[c], n_rows, n_cols, **arguments) * spread + mean
+    for j, at in enumerate(columns):
+        back = transforms.inverse(transform, table[:, j], x[at])
+        table[:, j] = np.clip(back, 0.0, 100.0) if transforms.is_percentage(x[at]) else back
+    table[r, c] = x
+    return table
+
+
 def fit_method(jobs: DataFrame) -> DataFrame:
-    """Jobs also carry transform, method and rank: each is transformed by column, z-scored, completed, and inverted."""
+    """Jobs also carry transform, method and arguments (JSON); null predictions where a method reaches no cell."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         models, evaluations, r, c, x = _axes(frame)
-        name, method, rank = frame["transform"].iloc[0], frame["method"].iloc[0], int(frame["rank"].iloc[0])
-        z = np.empty_like(x)
-        for j in range(len(evaluations)):
-            z[c == j] = transforms.forward(name, x[c == j])
-        mean, spread = als.column_moments(c, z, len(evaluations), 1e-8)
-        arguments = {} if method == "nuclear_norm" else {"rank": rank}
-        table = factor.COMPLETERS[method](r, c, (z - mean[c]) / spread[c], len(models), len(evaluations), **arguments) * spread + mean
-        for j in range(len(evaluations)):
-            table[:, j] = transforms.inverse(name, table[:, j], x[c == j])
-        return _answers(frame, models, evaluations, np.clip(table, 0.0, 100.0))
+        if not len(x):
+            return _answers(frame, models, evaluations, np.zeros((0, 0)))
+        table = complete_transformed(frame["transform"].iloc[0], frame["method"].iloc[0], json.loads(frame["arguments"].iloc[0]), r, c, x, len(models), len(evaluations))
+        return _answers(frame, models, evaluations, table)
 
     return jobs.groupBy("job_id").applyInPandas(run, _SCHEMA)
 
 
+def fit_grid(folded: DataFrame, settings: DataFrame, folds: int, limit: int = KERNEL_CELLS) -> DataFrame:
+    """Predictions of every fold under every setting: job_id, fold, model_id, evaluation_id, actual, predicted.
+
+    ``folded(model_id, evaluation_id, score, fold)``, ``settings(job_id, transform, method, arguments)``.  Up to ``limit``
+    cells the table is broadcast once and each (setting, fold) is a row; larger tables are copied to each fit by a shuffle.
+    """
+    spark, every = folded.sparkSession, F.explode(F.array(*[F.lit(i).cast("long") for i in range(folds)]))
+    if folded.count() > limit:
+        jobs = folded.crossJoin(F.broadcast(settings)).withColumn("_fold", every)  # settings are a fixed grid
+        jobs = jobs.select(F.concat_ws("\u0001", "job_id", "_fold").alias("job_id"), "transform", "method", "arguments", "model_id", "evaluation_id", F.when(F.col("fold") != F.col("_fold"), F.col("score")).alias("score"))
+        out = fit_method(jobs).withColumn("fold", F.substring_index("job_id", "\u0001", -1).cast("long")).withColumn("job_id", F.substring_index("job_id", "\u0001", 1))
+        return out.join(folded.select("model_id", "evaluation_id", "fold", F.col("score").alias("actual")), ["model_id", "evaluation_id", "fold"])
+    frame = folded.select("model_id", "evaluation_id", "score", "fold").toPandas()  # bounded by the check above
+    shared = spark.sparkContext.broadcast(frame)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = shared.value
+        for batch in batches:
+            for job, transform, method, arguments, fold in zip(*(batch[k] for k in ("job_id", "transform", "method", "arguments", "fold"))):
+                held = cells[cells["fold"] == fold]
+                models, evaluations, r, c, x = _axes(cells[cells["fold"] != fold])
+                asked = held.assign(score=np.nan, job_id=job)
+                table = complete_transformed(transform, method, json.loads(arguments), r, c, x, len(models), len(evaluations)) if len(x) else np.zeros((0, 0))
+                yield _answers(asked, models, evaluations, table).assign(fold=fold, actual=held["score"].to_numpy()).astype({"predicted": "float64"})
+
+    jobs = settings.withColumn("fold", every)
+    tasks = max(1, min(2000, jobs.count()))
+    out = jobs.repartition(tasks, "job_id", "fold").mapInPandas(run, _SCHEMA + ", fold long, actual double")
+    return out.withColumn("predicted", F.when(~F.isnan("predicted"), F.col("predicted")))
+
+
 def fit_targets(cells: DataFrame, jobs: DataFrame, rank: int = 1, limit: int = KERNEL_CELLS) -> DataFrame:
     """Refits for single target models: ``jobs(job_id, target, probes array, context array or null)``.
 
@@ -107,28 +189,32 @@ def fit_targets(cells: DataFrame, jobs: DataFrame, rank: int = 1, limit: int = K
     if n > limit:
         raise ValueError(f"{n} cells are more than the {limit} that single-target refits may broadcast; use relational_als")
     frame = cells.select("model_id", "evaluation_id", "score").toPandas()  # bounded by the check above
-    shared = cells.sparkSession.sparkContext.broadcast((frame["model_id"].to_numpy(dtype=object), frame["evaluation_id"].to_numpy(dtype=object), frame["score"].to_numpy(dtype=float)))
+    models, r = np.unique(frame["model_id"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    evaluations, c = np.unique(frame["evaluation_id"].to_numpy(dtype=object).astype(str), return_inverse=True)
+    shared = cells.sparkSession.sparkContext.broadcast((models, evaluations, r.astype(float), c, frame["score"].to_numpy(dtype=float)))
 
     def run(batches):
-        model, evaluation, score = shared.value
-        every = np.sort(np.unique(evaluation.astype(str)))
+        models, evaluations, r, c, x = shared.value
+        codes = {e: i for i, e in enumerate(evaluations)}
         for frame in batches:
             for job, target, probes, context in zip(frame["job_id"], frame["target"], frame["probes"], frame["context"]):
-                known = set(probes) if probes is not None else set()
-                own = model == target
-                keep = np.where(own, np.fromiter((e in known for e in evaluation), dtype=bool, count=len(evaluation)), True)
+                at = np.searchsorted(models, target)
+                place = float(at) if at < len(models) and models[at] == target else at - 0.5  # a new model stands where its name would
+                known = np.zeros(len(evaluations), dtype=bool)
+                known[[codes[e] for e in (probes if probes is not None else ()) if e in codes]] = True
+                keep = np.where(r == place, known[c], True)
                 if context is not None:
-                    allowed = set(context)
-                    keep &= own | np.fromiter((m in allowed for m in model), dtype=bool, count=len(model))
-                m, e, x = model[keep].astype(str), evaluation[keep].astype(str), score[keep]
-                if not len(x):
+                    allowed = np.isin(models, np.asarray(list(context), dtype=str))
+                    keep &= (r == place) | allowed[r.astype(int)]
+                if not keep.any():
                     continue
-                ms, r = np.unique(np.append(m, target), return_inverse=True)
-                es, c = np.unique(e, return_inverse=True)
-                table = als.complete(r[:-1], c, x, len(ms), len(es), rank, allow_empty_rows=True)
-                line = dict(zip(es, table[r[-1]]))
-                out = [(job, target, k, line.get(k)) for k in every if k not in known]
-                yield pd.DataFrame(out, columns=["job_id", "model_id", "evaluation_id", "predicted"]).astype({"predicted": "float64"})
+                rows, i = np.unique(np.append(r[keep], place), return_inverse=True)
+                columns, j = np.unique(c[keep], return_inverse=True)
+                table = als.complete(i[:-1], j, x[keep], len(rows), len(columns), rank, allow_empty_rows=True)
+                line = np.full(len(evaluations), np.nan)
+                line[columns] = table[i[-1]]
+                asked = np.flatnonzero(~known)
+                yield pd.DataFrame({"job_id": job, "model_id": target, "evaluation_id": evaluations[asked], "predicted": line[asked]})
 
     tasks = max(1, min(200, jobs.count()))
     out = jobs.select("job_id", "target", "probes", "context").repartition(tasks, "job_id").mapInPandas(run, _SCHEMA)

@@ -91,6 +91,25 @@ def global_place(rows: DataFrame, value: str, ties: Sequence[str], out: str = "p
     return joined.withColumn(out, (F.col("below") + F.col("_among")).cast("long")).drop("_v", "below", "_among")
 
 
+def group_place(rows: DataFrame, group: str, value: str, ties: Sequence[str], out: str = "place") -> DataFrame:
+    """Adds the 1-based place of each row within its group by value, then ties; only equal values of a group share a window."""
+    counts = value_counts_below(rows, group, value).select(F.col(group).alias("_g"), F.col(value).alias("_v"), "below")
+    among = F.row_number().over(Window.partitionBy(group, value).orderBy(*ties))
+    joined = rows.withColumn("_among", among).join(counts, (F.col(group) == F.col("_g")) & (F.col(value) == F.col("_v")))
+    return joined.withColumn(out, (F.col("below") + F.col("_among")).cast("long")).drop("_g", "_v", "below", "_among")
+
+
+def spaced(rows: DataFrame, group: str, value: str, identity: str, gap: float, out: str = "place") -> DataFrame:
+    """Adds the value pushed up so that neighbours in the order of values are at least ``gap`` apart.
+
+    A row is pushed by the furthest reaching row before it: the greatest of value - gap x rank so far, plus gap x rank.
+    """
+    order = Window.partitionBy(group).orderBy(value, identity)  # labels of one picture
+    ranked = rows.withColumn("_i", F.row_number().over(order))
+    reach = F.max(F.col(value) - gap * F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.withColumn(out, reach + gap * F.col("_i")).drop("_i")
+
+
 def equal_count_bin(place: Column, total: Column, bins: int) -> Column:
     """Bin of a place when ``total`` rows are cut into bins of which the first ``total mod bins`` get one more."""
     small = F.floor(total / bins).cast("long")
@@ -141,10 +160,17 @@ def overlap_pairs(cells: DataFrame, by: str, across: str, minimum: int) -> DataF
 
 
 def concordance(rows: DataFrame, group: str, margin: float = 0.0, block: int = 4096) -> DataFrame:
-    """Per group: pairs with unlike actual values (by at least ``margin``) of which one is held out, and how many the prediction orders right or ties.
+    """``concordance_margins`` for one margin of all groups."""
+    margins = rows.select(group).distinct().select(group, F.array(F.struct(F.lit("absolute").alias("kind"), F.lit(float(margin)).alias("multiple"), F.lit(float(margin)).alias("margin"))).alias("margins"))
+    return concordance_margins(rows, group, margins, block).drop("kind", "multiple")
+
+
+def concordance_margins(rows: DataFrame, group: str, margins: DataFrame, block: int = 4096) -> DataFrame:
+    """Per group and margin: pairs with unlike actual values (by at least the margin) of which one is held out, and how many the prediction orders right or ties.
 
-    Rows: actual, predicted, held.  A group is cut into blocks of about ``block`` rows by hash; block pairs are counted by
-    sorting, so no pair is ever a row and no task holds more than two blocks.
+    Rows: actual, predicted, held; ``margins(group, margins array<struct<kind, multiple, margin>>)``.  A group is cut into
+    blocks of about ``block`` rows by hash; pairs of blocks are compared as arrays, so no pair is ever a row and no task holds
+    more than two blocks.  The work is still the square of a group's size, over as many tasks as there are pairs of blocks.
     """
     import numpy as np
     import pandas as pd
@@ -155,7 +181,7 @@ def concordance(rows: DataFrame, group: str, margin: float = 0.0, block: int = 4
     mates = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("lo"), F.greatest(F.col("_b"), o).alias("hi")))
     spread = placed.select(group, "actual", "predicted", "held", "_b", F.explode(mates).alias("_m")).select(group, "actual", "predicted", "held", "_b", "_m.lo", "_m.hi")
 
-    def beaten(a, p, a2, p2):
+    def beaten(a, p, a2, p2, margin):
         """Ordered pairs (i of the first, j of the second set) with a_i >= a2_j + margin, a_i > a2_j: all, with p_i > p2_j, with p_i = p2_j."""
         if not len(a) or not len(a2):
             return 0, 0, 0
@@ -173,14 +199,17 @@ def concordance(rows: DataFrame, group: str, margin: float = 0.0, block: int = 4
         lo, hi = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
         a, p, h, b = (frame[c].to_numpy() for c in ("actual", "predicted", "held", "_b"))
         h = h.astype(bool)
-        sums = np.zeros(3, dtype=np.int64)
         sides = [(b == lo, b == hi), (b == hi, b == lo)] if lo != hi else [(b == lo, b == lo)]
-        for one, two in sides:
-            every = np.array(beaten(a[one], p[one], a[two], p[two]))
-            open_ = np.array(beaten(a[one & ~h], p[one & ~h], a[two & ~h], p[two & ~h]))
-            sums += every - open_  # pairs with at least one held-out side
-        return pd.DataFrame({group: [frame[group].iloc[0]], "pairs": [sums[0]], "correct": [sums[1]], "tied": [sums[2]]})
-
-    schema = f"{group} string, pairs long, correct long, tied long"
-    parts = spread.groupBy(group, "lo", "hi").applyInPandas(count, schema)
-    return parts.groupBy(group).agg(F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct"), F.sum("tied").alias("tied"))
+        out = []
+        for m in frame["margins"].iloc[0]:
+            sums = np.zeros(3, dtype=np.int64)
+            for one, two in sides:
+                every = np.array(beaten(a[one], p[one], a[two], p[two], m["margin"]))
+                open_ = np.array(beaten(a[one & ~h], p[one & ~h], a[two & ~h], p[two & ~h], m["margin"])) if not h.all() else 0
+                sums += every - open_  # pairs with at least one held-out side
+            out.append((frame[group].iloc[0], m["kind"], m["multiple"], *sums))
+        return pd.DataFrame(out, columns=[group, "kind", "multiple", "pairs", "correct", "tied"])
+
+    schema = f"{group} string, kind string, multiple double, pairs long, correct long, tied long"
+    parts = spread.join(margins, group).groupBy(group, "lo", "hi").applyInPandas(count, schema)
+    return parts.groupBy(group, "kind", "multiple").agg(F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct"), F.sum("tied").alias("tied"))

@@ -10,7 +10,7 @@ from lacuna.operators import confidence, fits, holdouts, resample
 from lacuna.operators import stats as S
 from lacuna.plans.base import SQL_CELLS, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.measures import _fold_errors, _skills
-from lacuna.plans.relations import _models, _probes
+from lacuna.plans.relations import _MODELS, _models, _probes
 from lacuna.session import cut
 from lacuna.sources.tables import table
 
@@ -68,9 +68,9 @@ def d34(s, d):
     return table(s, d, "tasks").groupBy("suite_id").agg(F.round(F.sum(n) / 200000, 6).alias("pressure"), reason.alias("reason"))
 
 
-@query("d43_method_completeness", f"WITH {SQL_PRED}, a AS (SELECT suite_id, count(*) AS n FROM f WHERE fold = 0 GROUP BY 1), b AS (SELECT suite_id, count(*) AS k FROM p GROUP BY 1) SELECT suite_id, n AS expected, coalesce(k, 0) AS predicted, round(coalesce(k, 0) / n, 6) AS share FROM a LEFT JOIN b USING (suite_id)")
+@query("d43_method_completeness", f"WITH {SQL_PRED}, a AS (SELECT suite_id, count(*) AS n FROM f GROUP BY 1), b AS (SELECT suite_id, count(*) AS k FROM p GROUP BY 1) SELECT suite_id, n AS expected, coalesce(k, 0) AS predicted, round(coalesce(k, 0) / n, 6) AS share FROM a LEFT JOIN b USING (suite_id)")
 def d43(s, d):
-    a = with_fold(cells(s, d)).where("fold = 0").groupBy("suite_id").agg(count_all().alias("expected"))
+    a = cells(s, d).groupBy("suite_id").agg(count_all().alias("expected"))
     b = predictions(s, d).groupBy("suite_id").agg(count_all().alias("predicted"))
     j = a.join(b, "suite_id", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
     return j.select("suite_id", "expected", "predicted", F.round(F.col("predicted") / F.col("expected"), 6).alias("share"))
@@ -87,11 +87,13 @@ def f2(s, d):
     return holdouts.random_cells(cells(s, d), repeats=3)
 
 
-@query("f7_group_split")
+@query("f7_group_split", f"WITH {_MODELS}, m AS (SELECT model_id, coalesce(family, model_id) AS grp FROM mm), o AS (SELECT grp, row_number() OVER (ORDER BY md5('42|' || grp)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM m)) SELECT model_id, grp, CASE WHEN k <= round(0.7 * n) THEN 'train' ELSE 'validation' END AS role FROM m JOIN o USING (grp)")
 def f7(s, d):
-    """Families to train or validation as wholes."""
+    """Exactly 70 % of the families to train, as wholes, in the order of a seeded hash."""
     m = _models(s, d).select("model_id", F.coalesce("family", "model_id").alias("grp"))
-    return holdouts.hashed_group_split(m, "grp").select("model_id", "grp", "role")
+    g = m.select("grp").distinct().withColumn("h", F.md5(F.concat(F.lit("42|"), "grp")))
+    placed = S.global_place(g, "h", ["grp"]).select("grp", F.when(F.col("place") <= F.round(0.7 * F.col("total")), "train").otherwise("validation").alias("role"))
+    return m.join(placed, "grp").select("model_id", "grp", "role")
 
 
 @query("f11_random_prefixes")
@@ -118,19 +120,23 @@ def g19(s, d):
 
 @query("g28_temporal_units")
 def g28(s, d):
-    """Verified targets refitted on strictly earlier models and k revealed cells; revealed cells count as error 0."""
+    """Verified targets refitted on strictly earlier models and k revealed cells, ten seeded draws each; revealed cells count as error 0."""
     c = cells(s, d)
     m = _models(s, d).where((F.col("verification_status") == "verified") & F.col("release_date").isNotNull()).select("model_id", "release_date")
     dated = c.join(m, "model_id")
-    targets = dated.groupBy("model_id", "release_date").agg(count_all().alias("n"), F.array_sort(F.collect_list("evaluation_id")).alias("have")).where("n > 20")
+    targets = dated.groupBy("model_id", "release_date").agg(count_all().alias("n")).where("n > 20")
     others = dated.select(F.col("model_id").alias("o"), F.col("release_date").alias("od")).distinct()
     context = targets.join(others, others["od"] < targets["release_date"]).groupBy("model_id").agg(F.array_sort(F.collect_list("o")).alias("context"))
-    jobs = targets.join(context, "model_id").select("model_id", "have", "context", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))).alias("k"))
-    jobs = jobs.select(F.concat("model_id", F.lit("/"), "k").alias("job_id"), F.col("model_id").alias("target"), F.slice("have", F.lit(1), F.col("k")).alias("probes"), "context", "k")
+    draws = holdouts.text_draws(dated.join(context.select("model_id"), "model_id", "left_semi"), (1, 5, 10), range(10))
+    jobs = cut(draws.join(context, "model_id").select(F.concat_ws("/", "model_id", "k", "seed").alias("job_id"), F.col("model_id").alias("target"), "probes", "context", "k", "seed"))
     p = fits.fit_targets(c, jobs).join(c.select("model_id", "evaluation_id", F.col("score").alias("actual")), ["model_id", "evaluation_id"])
-    e = p.groupBy("job_id", "model_id").agg(F.count("predicted").alias("hidden"), F.sum(F.abs(F.col("predicted") - F.col("actual"))).alias("total"), F.median(F.abs(F.col("predicted") - F.col("actual"))).alias("hidden_medae"), (count_all() - F.count("predicted")).alias("not_predictable"))
-    j = e.join(jobs.select("job_id", "k", F.size("context").alias("earlier_models")), "job_id")
-    return j.select("model_id", "k", "earlier_models", "hidden", "not_predictable", F.round("hidden_medae", 6).alias("hidden_medae"), F.round(F.col("total") / (F.col("hidden") + F.col("k")), 6).alias("parity_mae"))
+    error = F.abs(F.col("predicted") - F.col("actual"))
+    e = p.groupBy("job_id", "model_id").agg(F.count("predicted").alias("hidden"), F.sum(error).alias("total"), F.median(error).alias("hidden_medae"), (count_all() - F.count("predicted")).alias("not_predictable"))
+    j = e.join(jobs.select("job_id", "k", "seed", F.size("context").alias("earlier_models")), "job_id")
+    return j.groupBy("model_id", "k").agg(
+        count_all().alias("draws"), F.max("earlier_models").alias("earlier_models"), F.sum("hidden").alias("hidden"), F.sum("not_predictable").alias("not_predictable"),
+        F.round(F.median("hidden_medae"), 6).alias("hidden_medae"), F.round(F.median(F.col("total") / (F.col("hidden") + F.col("k"))), 6).alias("parity_mae"),
+    )
 
 
 @query("g21_error_risk")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lacuna.functions.columns import correlation, count_all
 from lacuna.operators import cells as C
 from lacuna.operators import stats as S
-from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, cells, predictions, with_fold
+from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, SQL_REPEATS, cells, predictions, repeated_errors, with_fold
 from lacuna.sources.tables import table
 
 QUERIES: dict = {}
@@ -160,10 +160,11 @@ def d3(s, d):
     return predictions(s, d).agg(*S.error_columns())
 
 
-@query("d5_spread_summary", f"WITH {SQL_CELLS} SELECT suite_id, round(median(score), 6) AS median, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd FROM c GROUP BY 1")
+@query("d5_spread_summary", f"WITH {SQL_REPEATS}, m AS (SELECT suite_id, r, median(e) AS x FROM p GROUP BY 1, 2) SELECT suite_id, count(*) AS repeats, round(median(x), 6) AS median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM m GROUP BY 1")
 def d5(s, d):
-    x = "score"
-    return cells(s, d).groupBy("suite_id").agg(F.round(F.median(x), 6).alias("median"), F.round(F.percentile(x, 0.75) - F.percentile(x, 0.25), 6).alias("iqr"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("sd"))
+    """Median errors of suites over ten repeats: their median, spread, mean and deviation."""
+    m = repeated_errors(s, d).groupBy("suite_id", "r").agg(F.median("e").alias("x"))
+    return m.groupBy("suite_id").agg(count_all().alias("repeats"), F.round(F.median("x"), 6).alias("median"), F.round(F.percentile("x", 0.75) - F.percentile("x", 0.25), 6).alias("iqr"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"))
 
 
 def _fold_errors(s, d):
@@ -289,10 +290,11 @@ def d23(s, d):
     return mass.withColumn("hit", cum >= level - 1e-9).groupBy("suite_id").agg(F.max("groups").alias("groups"), F.round(F.min(F.when(F.col("hit"), F.col("e"))), 6).alias("q"))
 
 
-@query("d24_collapsed_repeats", f"WITH {_SQL_FOLDS}, k AS (SELECT model_id, suite_id, median(abs(predicted - actual)) AS e FROM p GROUP BY 1, 2) SELECT suite_id, count(*) AS n, round(median(e), 6) AS e FROM k GROUP BY 1")
+@query("d24_collapsed_repeats", f"WITH {SQL_REPEATS}, k AS (SELECT model_id, evaluation_id, suite_id, median(e) AS x FROM p GROUP BY 1, 2, 3) SELECT suite_id, count(*) AS n, round(median(x), 6) AS e FROM k GROUP BY GROUPING SETS ((suite_id), ())")
 def d24(s, d):
-    k = _fold_errors(s, d).groupBy("model_id", "suite_id").agg(F.median(F.abs(F.col("predicted") - F.col("actual"))).alias("x"))
-    return k.groupBy("suite_id").agg(count_all().alias("n"), F.round(F.median("x"), 6).alias("e"))
+    """One median error a cell over the repeats, then by suite and over all."""
+    k = repeated_errors(s, d).groupBy("model_id", "evaluation_id", "suite_id").agg(F.median("e").alias("x"))
+    return k.groupingSets([["suite_id"], []], "suite_id").agg(count_all().alias("n"), F.round(F.median("x"), 6).alias("e"))
 
 
 @query("d25_risk_medians", f"WITH {SQL_PRED} SELECT model_id, evaluation_id, grouping(model_id, evaluation_id) AS level, round(median(dispersion), 6) AS risk, count(*) AS n FROM p GROUP BY GROUPING SETS ((model_id), (evaluation_id), ())")
@@ -329,14 +331,23 @@ def d28(s, d):
     return both.groupBy("evaluation_id").agg(F.round(F.max(F.abs("r")), 6).alias("best"))
 
 
-@query("d29_structure", f"WITH {SQL_CELLS}, r AS (SELECT model_id, count(*) AS rn, median(score) AS rm, stddev_pop(score) AS rs FROM c GROUP BY 1), k AS (SELECT evaluation_id, count(*) AS cn, median(score) AS cm, stddev_pop(score) AS cs FROM c GROUP BY 1) SELECT model_id, evaluation_id, rn AS row_n, cn AS col_n, round(rm, 6) AS row_median, round(cm, 6) AS col_median, round(rs, 6) AS row_sd, round(cs, 6) AS col_sd FROM c JOIN r USING (model_id) JOIN k USING (evaluation_id)")
+@query("d29_structure", f"""WITH {SQL_CELLS}, r AS (SELECT model_id, count(*) AS rn, median(score) AS rm, stddev_pop(score) AS rs FROM c GROUP BY 1), k AS (SELECT evaluation_id, count(*) AS cn, median(score) AS cm, stddev_pop(score) AS cs FROM c GROUP BY 1),
+pr AS (SELECT a.evaluation_id, corr(a.score, b.score) AS r FROM c a JOIN c b ON a.model_id = b.model_id AND a.evaluation_id <> b.evaluation_id GROUP BY a.evaluation_id, b.evaluation_id HAVING count(*) >= 5 AND stddev_pop(a.score) > 1e-9 AND stddev_pop(b.score) > 1e-9), bp AS (SELECT evaluation_id, max(abs(r)) AS best FROM pr GROUP BY 1)
+SELECT model_id, evaluation_id, rn AS row_n, cn AS col_n, round(rm, 6) AS row_median, round(cm, 6) AS col_median, round(rs, 6) AS row_sd, round(cs, 6) AS col_sd, round(coalesce(best, 0), 5) AS best_peer, best IS NULL AS no_peer, rn = 1 AS row_alone, cn = 1 AS col_alone FROM c JOIN r USING (model_id) JOIN k USING (evaluation_id) LEFT JOIN bp USING (evaluation_id)""")
 def d29(s, d):
+    """Counts, medians and spreads of a cell's row and column, the column's best peer correlation, and flags where these are missing."""
     c = cells(s, d)
 
     def axis(key, tag):
         return c.groupBy(key).agg(count_all().alias(f"{tag}_n"), F.round(F.median("score"), 6).alias(f"{tag}_median"), F.round(F.stddev_pop("score"), 6).alias(f"{tag}_sd"))
 
-    return c.select("model_id", "evaluation_id").join(axis("model_id", "row"), "model_id").join(axis("evaluation_id", "col"), "evaluation_id")
+    pairs = S.overlap_pairs(c, "evaluation_id", "model_id", 5).where(F.col("r").isNotNull())
+    peers = pairs.select(F.col("a").alias("evaluation_id"), "r").unionByName(pairs.select(F.col("b").alias("evaluation_id"), "r")).groupBy("evaluation_id").agg(F.max(F.abs("r")).alias("best"))
+    j = c.select("model_id", "evaluation_id").join(axis("model_id", "row"), "model_id").join(axis("evaluation_id", "col"), "evaluation_id").join(peers, "evaluation_id", "left")
+    return j.select(
+        "model_id", "evaluation_id", "row_n", "col_n", "row_median", "col_median", "row_sd", "col_sd", F.round(F.coalesce("best", F.lit(0.0)), 5).alias("best_peer"), F.col("best").isNull().alias("no_peer"),
+        (F.col("row_n") == 1).alias("row_alone"), (F.col("col_n") == 1).alias("col_alone"),
+    )
 
 
 _STACK = f"""{SQL_CELLS}, rm AS (SELECT model_id, avg(score) AS v FROM c GROUP BY 1), cm AS (SELECT evaluation_id, avg(score) AS v FROM c GROUP BY 1), sm AS (SELECT suite_id, avg(score) AS v FROM c GROUP BY 1),
@@ -424,9 +435,13 @@ def d41(s, d):
     return table(s, d, "scores").groupBy("audit_status", "review_status").agg(count_all().alias("n"))
 
 
-@query("d42_mean_and_half_width", f"WITH {SQL_CELLS} SELECT evaluation_id, round(avg(score), 6) AS mean, round(1.96 * stddev_samp(score) / sqrt(count(*)), 6) AS half_width FROM c GROUP BY 1")
+# Fixed value: 97.5 % quantile of Student's t with 59 degrees of freedom, for columns reported as 60 repeats.
+_T_59 = 2.00099537704821
+
+
+@query("d42_mean_and_half_width", f"WITH {SQL_CELLS} SELECT evaluation_id, round(avg(score), 6) AS mean, round({_T_59} * stddev_samp(score) / sqrt(count(*)), 6) AS half_width FROM c GROUP BY 1")
 def d42(s, d):
-    return cells(s, d).groupBy("evaluation_id").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("score") / F.sqrt(count_all()), 6).alias("half_width"))
+    return cells(s, d).groupBy("evaluation_id").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(_T_59 * F.stddev_samp("score") / F.sqrt(count_all()), 6).alias("half_width"))
 
 
 # ---- E: windows, sorts, top-k ----
@@ -479,11 +494,18 @@ def e8(s, d):
     return m.groupBy("suite_id").agg(F.min_by("evaluation_id", F.struct("e", "evaluation_id")).alias("evaluation_id"), F.round(F.min("e"), 6).alias("medae"))
 
 
-@query("e9_strong_roster", f"WITH {_SQL_FOLDS}, m AS (SELECT suite_id, evaluation_id, count(*) AS n, round(median(abs(predicted - actual)), 9) AS e FROM p GROUP BY 1, 2), t AS (SELECT max(n) AS most FROM m) SELECT evaluation_id, n, round(e, 6) AS medae FROM m, t WHERE n >= 0.5 * most ORDER BY e, evaluation_id LIMIT 12")
+@query("e9_strong_roster", f"""WITH {SQL_PRED}, n AS (SELECT evaluation_id, count(*) AS n FROM f GROUP BY 1), m AS (SELECT evaluation_id, count(*) AS k, round(median(100 * abs(predicted - actual) / abs(actual)) FILTER (WHERE abs(actual) > 1e-6), 9) AS e FROM p GROUP BY 1),
+t AS (SELECT evaluation_id, k / n AS coverage, e FROM m JOIN n USING (evaluation_id)) SELECT evaluation_id, round(coverage, 6) AS coverage, round(e, 6) AS medape FROM t WHERE coverage >= (SELECT max(coverage) FROM t) - 1e-12 AND e IS NOT NULL ORDER BY e, evaluation_id LIMIT 12""")
 def e9(s, d):
-    m = _fold_errors(s, d).groupBy("suite_id", "evaluation_id").agg(count_all().alias("n"), F.round(F.median(F.abs(F.col("predicted") - F.col("actual"))), 9).alias("e"))
-    most = m.agg(F.max("n").alias("most"))
-    return m.crossJoin(F.broadcast(most)).where(F.col("n") >= 0.5 * F.col("most")).orderBy("e", "evaluation_id").limit(12).select("evaluation_id", "n", F.round("e", 6).alias("medae"))
+    """Of the evaluations of greatest coverage the twelve of least median percent error; it is an error if there are fewer."""
+    e = F.abs(F.col("predicted") - F.col("actual"))
+    m = predictions(s, d).groupBy("evaluation_id").agg(count_all().alias("k"), F.round(F.median(F.when(F.abs("actual") > S.APE_FLOOR, 100 * e / F.abs("actual"))), 9).alias("e"))
+    t = m.join(cells(s, d).groupBy("evaluation_id").agg(count_all().alias("n")), "evaluation_id").withColumn("coverage", F.col("k") / F.col("n"))
+    most = t.agg(F.max("coverage").alias("most"))
+    out = t.crossJoin(F.broadcast(most)).where((F.col("coverage") >= F.col("most") - 1e-12) & F.col("e").isNotNull())  # one row: an ungrouped aggregate
+    out = out.orderBy("e", "evaluation_id").limit(12).select("evaluation_id", F.round("coverage", 6).alias("coverage"), F.round("e", 6).alias("medape"))
+    short = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) < 12  # twelve rows at most
+    return out.withColumn("coverage", F.when(short & F.raise_error(F.lit("fewer than twelve evaluations of greatest coverage")).isNotNull(), None).otherwise(F.col("coverage")))
 
 
 @query("e13_cheapest_per_identity", f"SELECT task_identity_id, evaluation_id FROM (SELECT *, row_number() OVER (PARTITION BY task_identity_id ORDER BY {_TASK_N} IS NULL, {_TASK_N}, sample_unit, evaluation_id) AS k FROM tasks) WHERE k = 1")

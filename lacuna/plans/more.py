@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions.columns import count_all
 from lacuna.functions.text import same_key
-from lacuna.operators import fits
+from lacuna.operators import fits, holdouts, search
 from lacuna.operators import stats as S
-from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, cells, predictions, with_fold
+from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, SQL_REPEATS, cells, predictions, repeated_errors, with_fold
 from lacuna.plans.measures import _SQL_FOLDS, _fold_errors, _trust_rows
 from lacuna.plans.quality import sql_key
 from lacuna.plans.relations import HIBOU, PHIKON, _fit_jobs, _probes
@@ -55,18 +55,21 @@ def c14(s, d):
     return c.join(context, "model_id", "left_semi").select("model_id", "evaluation_id").unionByName(own).groupBy("model_id").agg(count_all().alias("n"))
 
 
-@query("c26_candidate_steps", f"WITH {SQL_CELLS}, {_PB} SELECT evaluation_id AS candidate, (SELECT count(*) FROM pb) + 1 AS set_size FROM (SELECT DISTINCT evaluation_id FROM c) WHERE evaluation_id NOT IN (SELECT evaluation_id FROM pb)")
+@query("c26_candidate_steps", f"WITH {SQL_CELLS}, {_PB}, o AS (SELECT evaluation_id, row_number() OVER (ORDER BY n DESC, evaluation_id) - 1 AS i FROM (SELECT evaluation_id, count(*) AS n FROM c GROUP BY 1)), s AS (SELECT k AS step, coalesce((SELECT string_agg(evaluation_id, '+' ORDER BY i) FROM o WHERE i < k), '') AS prefix FROM range(5) t(k)) SELECT CAST(step AS INTEGER) AS step, prefix, evaluation_id AS candidate FROM s, o WHERE NOT (i < step)")
 def c26(s, d):
-    c = cells(s, d)
-    p = _probes(c)
-    left = c.select(F.col("evaluation_id").alias("candidate")).distinct().join(p.withColumnRenamed("evaluation_id", "candidate"), "candidate", "left_anti")
-    return left.crossJoin(F.broadcast(p.agg((count_all() + 1).alias("set_size"))))  # one row: an ungrouped aggregate
+    """Every remaining candidate of each step of a growing prefix (the five most observed evaluations)."""
+    n = cells(s, d).groupBy("evaluation_id").agg(count_all().alias("n"))
+    first = n.orderBy(F.desc("n"), "evaluation_id").limit(5).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "evaluation_id"))), lambda x: x["evaluation_id"]).alias("order"))
+    steps = first.select("order", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step")).select("step", F.when(F.col("step") > 0, F.slice("order", 1, F.greatest(F.lit(1), F.col("step")))).otherwise(F.array().cast("array<string>")).alias("taken"))
+    every = n.select(F.col("evaluation_id").alias("candidate")).crossJoin(F.broadcast(steps))  # five steps
+    return every.where(~F.array_contains("taken", F.col("candidate"))).select("step", F.array_join("taken", "+").alias("prefix"), "candidate")
 
 
-@query("c27_combinations", f"WITH {SQL_CELLS}, {_PB} SELECT a.evaluation_id AS first, b.evaluation_id AS second FROM pb a JOIN pb b ON a.evaluation_id < b.evaluation_id")
+@query("c27_combinations", f"WITH {SQL_CELLS}, e AS (SELECT DISTINCT evaluation_id FROM c) SELECT row_number() OVER (ORDER BY a.evaluation_id, b.evaluation_id) - 1 AS place, a.evaluation_id AS first, b.evaluation_id AS second FROM e a JOIN e b ON a.evaluation_id < b.evaluation_id")
 def c27(s, d):
-    p = _probes(cells(s, d))  # five probes
-    return p.select(F.col("evaluation_id").alias("first")).join(p.select(F.col("evaluation_id").alias("second")), F.col("first") < F.col("second"))
+    """All pairs of evaluations by their place in the lexicographic order, unranked in the tasks."""
+    names = sorted(r["evaluation_id"] for r in cells(s, d).select("evaluation_id").distinct().collect())  # a row per evaluation
+    return search.combinations(s, names, 2).select("place", F.col("members")[0].alias("first"), F.col("members")[1].alias("second"))
 
 
 @query("d13_leave_target_out_dispersion", f"WITH {SQL_CELLS}, o AS (SELECT a.model_id, a.evaluation_id, b.score AS x FROM c a JOIN c b ON a.evaluation_id = b.evaluation_id AND a.model_id <> b.model_id), m AS (SELECT model_id, evaluation_id, median(x) AS m FROM o GROUP BY 1, 2) SELECT o.evaluation_id, round(avg(dd), 5) AS mean_dispersion FROM (SELECT o.model_id, o.evaluation_id, 1.4826 * median(abs(x - m)) AS dd FROM o JOIN m USING (model_id, evaluation_id) GROUP BY 1, 2 HAVING count(*) >= 2) o GROUP BY 1")
@@ -103,10 +106,12 @@ def d38(s, d):
     return x.groupingSets([["method"], ["method", "suite_id"]], "method", "suite_id").agg(count_all().alias("n"), F.round(F.avg("e"), 6).alias("mae"))
 
 
-@query("d40_fold_summary", f"WITH {_SQL_FOLDS}, m AS (SELECT suite_id, fold, median(abs(predicted - actual)) AS e FROM p GROUP BY 1, 2) SELECT suite_id, count(*) AS folds, round(median(e), 6) AS median, round(quantile_cont(e, 0.25), 6) AS q1, round(quantile_cont(e, 0.75), 6) AS q3 FROM m GROUP BY 1")
+@query("d40_repeat_summary", f"WITH {SQL_REPEATS}, m AS (SELECT suite_id, r, median(e) AS x FROM p GROUP BY 1, 2) SELECT suite_id, count(*) AS repeats, round(median(x), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.75), 6) AS q3 FROM m GROUP BY 1 HAVING count(*) = 10")
 def d40(s, d):
-    m = _fold_errors(s, d).groupBy("suite_id", "fold").agg(F.median(F.abs(F.col("predicted") - F.col("actual"))).alias("e"))
-    return m.groupBy("suite_id").agg(count_all().alias("folds"), F.round(F.median("e"), 6).alias("median"), F.round(F.percentile("e", 0.25), 6).alias("q1"), F.round(F.percentile("e", 0.75), 6).alias("q3"))
+    """Median and quartiles of a suite's error over ten repeats; suites without all ten are left out."""
+    m = repeated_errors(s, d).groupBy("suite_id", "r").agg(F.median("e").alias("x"))
+    q = m.groupBy("suite_id").agg(count_all().alias("repeats"), F.round(F.median("x"), 6).alias("median"), F.round(F.percentile("x", 0.25), 6).alias("q1"), F.round(F.percentile("x", 0.75), 6).alias("q3"))
+    return q.where("repeats = 10")
 
 
 @query("e10_nearest_models", f"WITH {SQL_CELLS}, d AS (SELECT a.model_id, b.model_id AS near, round(sqrt(avg((a.score - b.score) ** 2)), 9) AS d FROM c a JOIN c b ON a.evaluation_id = b.evaluation_id AND a.model_id <> b.model_id GROUP BY 1, 2 HAVING count(*) >= 3) SELECT model_id, near, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY d, near) AS k FROM d) WHERE k <= 3")
@@ -125,9 +130,11 @@ def e11(s, d):
     return both.withColumn("k", k).where((F.col("k") <= 5) & (F.col("r2") >= 0.2)).select("evaluation_id", "other", F.round("r2", 6).alias("r2"))
 
 
-@query("e15_utility", f"WITH {SQL_PRED}, u AS (SELECT evaluation_id, round(median(abs(50 - actual)) - median(abs(predicted - actual)), 6) AS improvement FROM p GROUP BY 1) SELECT * FROM u WHERE improvement > 0 ORDER BY improvement DESC, evaluation_id LIMIT 8")
+@query("e15_utility", f"WITH {SQL_PRED}, u AS (SELECT evaluation_id, round(median(abs(middle - actual)) - median(abs(predicted - actual)), 6) AS improvement FROM p GROUP BY 1) SELECT * FROM u WHERE improvement > 0 ORDER BY improvement DESC, evaluation_id LIMIT 8")
 def e15(s, d):
-    u = predictions(s, d).groupBy("evaluation_id").agg(F.round(F.median(F.abs(50 - F.col("actual"))) - F.median(F.abs(F.col("predicted") - F.col("actual"))), 6).alias("improvement"))
+    """The eight evaluations that gain most over the column median."""
+    error = lambda c: F.median(F.abs(F.col(c) - F.col("actual")))
+    u = predictions(s, d, middle=True).groupBy("evaluation_id").agg(F.round(error("middle") - error("predicted"), 6).alias("improvement"))
     return u.where("improvement > 0").orderBy(F.desc("improvement"), "evaluation_id").limit(8)
 
 
@@ -141,15 +148,23 @@ def e17(s, d):
 
 @query("f5_probe_seeds", f"WITH {SQL_CELLS}, t AS (SELECT model_id, row_number() OVER (ORDER BY model_id) - 1 AS i FROM (SELECT DISTINCT model_id FROM c)) SELECT model_id, k, 42 + 1009 * seed + 97 * i + 13 * k AS draw_seed FROM t, (VALUES (1), (3), (5), (10)) a(k), (VALUES (0), (1)) b(seed)")
 def f5(s, d):
-    t = cells(s, d).select("model_id").distinct().withColumn("i", F.row_number().over(Window.orderBy("model_id")).cast("long") - 1)  # one row per model
-    x = t.select("model_id", "i", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k")).select("model_id", "i", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"))
-    return x.select("model_id", "k", (42 + 1009 * F.col("seed") + 97 * F.col("i") + 13 * F.col("k")).alias("draw_seed"))
+    x = holdouts.probe_jobs(cells(s, d), (1, 3, 5, 10), (0, 1))
+    return x.select("model_id", "k", "draw_seed")
+
+
+@query("f5_probe_draws")
+def f5_draws(s, d):
+    """The probes of every model, number and seed, drawn by the parity generator among the model's own cells."""
+    c = cells(s, d)
+    return holdouts.probe_draws(c, holdouts.probe_jobs(c, (1, 3, 5, 10), (0, 1)))
 
 
-@query("f8_hash_split", f"WITH {SQL_CELLS} SELECT model_id, CASE WHEN CAST('0x' || substr(md5(model_id), 1, 6) AS BIGINT) % 10 < 7 THEN 'train' ELSE 'validation' END AS role FROM (SELECT DISTINCT model_id FROM c)")
+@query("f8_random_split", f"WITH {SQL_CELLS}, m AS (SELECT DISTINCT model_id FROM c), o AS (SELECT model_id, row_number() OVER (ORDER BY md5('42|' || model_id)) AS k, count(*) OVER () AS n FROM m) SELECT model_id, CASE WHEN k <= round(0.7 * n) THEN 'train' ELSE 'validation' END AS role FROM o")
 def f8(s, d):
-    h = F.conv(F.substring(F.md5("model_id"), 1, 6), 16, 10).cast("long") % 10
-    return cells(s, d).select("model_id").distinct().select("model_id", F.when(h < 7, "train").otherwise("validation").alias("role"))
+    """Exactly 70 % of the models, in the order of a seeded hash."""
+    m = cells(s, d).select("model_id").distinct().withColumn("h", F.md5(F.concat(F.lit("42|"), "model_id")))
+    placed = S.global_place(m, "h", ["model_id"])
+    return placed.select("model_id", F.when(F.col("place") <= F.round(0.7 * F.col("total")), "train").otherwise("validation").alias("role"))
 
 
 @query("f16_screening", f"WITH {SQL_CELLS}, e AS (SELECT evaluation_id, count(*) AS n FROM c GROUP BY 1) SELECT evaluation_id, CASE WHEN t.evaluation_id IS NULL THEN 'no_task' WHEN try_cast(num_samples AS BIGINT) IS NULL THEN 'cost_unknown' WHEN n < 5 THEN 'too_few_scores' END AS reason FROM e LEFT JOIN tasks t USING (evaluation_id)")
@@ -162,27 +177,40 @@ def f16(s, d):
 
 @query("f18_rank_sweep")
 def f18(s, d):
-    """Ranks 0 to 3 of the completion over three folds, each fit its own task."""
+    """Ranks 0 to 10 of the completion, and 1 to 10 of the iterated SVD on plain and logit scores, over three folds, each fit its own task."""
     jobs, truth = _fit_jobs(s, d)
-    out = None
-    for rank in range(4):
-        p = fits.fit_als(jobs, rank).join(truth, ["job_id", "model_id", "evaluation_id"]).agg(*S.error_columns("score", "predicted")).withColumn("rank", F.lit(rank))
-        out = p if out is None else out.unionByName(p)
-    return out
+    kinds = [("als", "logit", r) for r in range(11)] + [("svd", t, r) for t in ("identity", "logit") for r in range(1, 11)]
+    grid = s.createDataFrame([(f"{m}/{t}/{r}", m, t, r) for m, t, r in kinds], "setting string, method string, transform string, rank int")
+    p = fits.fit_ranks(jobs.crossJoin(F.broadcast(grid)).select(F.concat_ws("\u0001", "setting", "job_id").alias("job_id"), "method", "transform", "rank", "model_id", "evaluation_id", "score"))  # a fixed grid
+    p = p.select(F.substring_index("job_id", "\u0001", 1).alias("setting"), F.substring_index("job_id", "\u0001", -1).alias("job_id"), "model_id", "evaluation_id", "predicted")
+    e = p.join(truth, ["job_id", "model_id", "evaluation_id"]).groupBy("setting").agg(*S.error_columns("score", "predicted"))
+    return grid.join(F.broadcast(e), "setting").drop("setting")  # a row per setting
 
 
 _MARGINS = f"""{SQL_CELLS}, m AS (SELECT model_id, round(avg(score), 6) AS predicted FROM c GROUP BY 1), x AS (SELECT c.evaluation_id, c.model_id, score AS actual, predicted FROM c JOIN m USING (model_id))"""
 
 
-@query("f19_margin_sweep", f"WITH {_MARGINS}, q AS (SELECT a.actual AS ya, b.actual AS yb, (a.predicted > b.predicted)::INT AS ok FROM x a JOIN x b ON a.evaluation_id = b.evaluation_id AND a.actual > b.actual) SELECT v AS margin, count(*) AS pairs, CAST(sum(ok) AS BIGINT) AS correct FROM q, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (5.0::DOUBLE)) t(v) WHERE ya >= yb + v GROUP BY 1")
+_ABSOLUTE, _RELATIVE = (0.0, 0.5, 1.0, 2.0, 5.0, 10.0), (0.25, 0.5, 1.0)
+
+
+@query("f19_margin_sweep", f"""WITH {_MARGINS}, st AS (SELECT evaluation_id, stddev_pop(score) AS sd, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM c GROUP BY 1),
+mg AS (SELECT DISTINCT x.evaluation_id, 'absolute' AS kind, v AS multiple, v AS margin FROM x, (VALUES {', '.join(f'({v}::DOUBLE)' for v in _ABSOLUTE)}) t(v)
+  UNION ALL SELECT evaluation_id, kind, v, round(v * CASE kind WHEN 'sd' THEN sd ELSE iqr END, 9) FROM st, (VALUES ('sd'), ('iqr')) k(kind), (VALUES {', '.join(f'({v}::DOUBLE)' for v in _RELATIVE)}) t(v)),
+q AS (SELECT a.evaluation_id, a.actual AS ya, b.actual AS yb, (a.predicted > b.predicted)::INT AS ok FROM x a JOIN x b ON a.evaluation_id = b.evaluation_id AND a.actual > b.actual),
+r AS (SELECT kind, multiple, mg.evaluation_id, count(q.ya) AS pairs, CAST(coalesce(sum(ok), 0) AS BIGINT) AS correct FROM mg LEFT JOIN q ON q.evaluation_id = mg.evaluation_id AND q.ya >= q.yb + margin GROUP BY 1, 2, 3)
+SELECT kind, multiple, CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(correct) AS BIGINT) AS correct, round(median(correct / pairs) FILTER (WHERE pairs > 0), 6) AS median_accuracy FROM r GROUP BY 1, 2""")
 def f19(s, d):
+    """Pairwise accuracy under six absolute margins and three multiples of each column's spread and interquartile range."""
     c = cells(s, d)
     x = c.join(c.groupBy("model_id").agg(F.round(F.avg("score"), 6).alias("predicted")), "model_id").select("evaluation_id", "model_id", F.col("score").alias("actual"), "predicted", F.lit(True).alias("held"))
-    out = None
-    for margin in (0.0, 1.0, 5.0):
-        one = S.concordance(x, "evaluation_id", margin).agg(F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct")).select(F.lit(margin).alias("margin"), "pairs", "correct")
-        out = one if out is None else out.unionByName(one)
-    return out
+    stats = c.groupBy("evaluation_id").agg(F.stddev_pop("score").alias("sd"), F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    sd, iqr = F.col("sd"), F.col("q")[1] - F.col("q")[0]
+    each = [F.struct(F.lit("absolute").alias("kind"), F.lit(v).alias("multiple"), F.lit(v).alias("margin")) for v in _ABSOLUTE]
+    each += [F.struct(F.lit(k).alias("kind"), F.lit(v).alias("multiple"), F.round(v * w, 9).alias("margin")) for k, w in (("sd", sd), ("iqr", iqr)) for v in _RELATIVE]
+    margins = stats.select("evaluation_id", F.array(*each).alias("margins"))
+    counted = S.concordance_margins(x, "evaluation_id", margins)
+    share = F.when(F.col("pairs") > 0, F.col("correct") / F.col("pairs"))
+    return counted.groupBy("kind", "multiple").agg(F.sum("pairs").alias("pairs"), F.sum("correct").alias("correct"), F.round(F.median(share), 6).alias("median_accuracy"))
 
 
 @query("g17_supported_axes", f"WITH {SQL_CELLS}, f AS (SELECT *, {SQL_FOLD} AS fold FROM c), x AS (SELECT * FROM f WHERE fold > 1), h AS (SELECT * FROM f WHERE fold <= 1) SELECT (SELECT count(DISTINCT model_id) FROM x) AS models, (SELECT count(DISTINCT evaluation_id) FROM x) AS evaluations, count(*) AS held, count(*) FILTER (WHERE model_id NOT IN (SELECT model_id FROM x) OR evaluation_id NOT IN (SELECT evaluation_id FROM x)) AS unsupported FROM h")
@@ -236,8 +264,15 @@ def g29(s, d):
     return p.join(matched, ["model_id", "evaluation_id"], "left_semi").join(truth, ["model_id", "evaluation_id"]).groupBy("arm").agg(*S.error_columns())
 
 
-@query("e20_trust_by_suite", f"WITH {SQL_PRED}, t AS (SELECT *, (abs(predicted - actual) <= 10)::INT AS ok, round(dispersion, 9) AS risk FROM p), o AS (SELECT *, ntile(20) OVER (ORDER BY risk, model_id, evaluation_id) AS bin FROM t) SELECT suite_id, round(avg(bin), 6) AS mean_bin, round(avg(ok), 6) AS event FROM o GROUP BY 1")
+@query("e20_label_spacing", f"WITH {SQL_CELLS}, m AS (SELECT suite_id, evaluation_id, round(avg(score), 6) AS x FROM c GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY suite_id ORDER BY x, evaluation_id) AS i FROM m) SELECT suite_id, evaluation_id, round(max(x - 2.5 * i) OVER (PARTITION BY suite_id ORDER BY i ROWS UNBOUNDED PRECEDING) + 2.5 * i, 6) AS place FROM o")
 def e20(s, d):
+    """Labels of a suite's evaluations at their means, pushed up so that neighbours are at least 2.5 apart."""
+    m = cells(s, d).groupBy("suite_id", "evaluation_id").agg(F.round(F.avg("score"), 6).alias("x"))
+    return S.spaced(m, "suite_id", "x", "evaluation_id", 2.5).select("suite_id", "evaluation_id", F.round("place", 6).alias("place"))
+
+
+@query("trust_by_suite", f"WITH {SQL_PRED}, t AS (SELECT *, (abs(predicted - actual) <= 10)::INT AS ok, round(dispersion, 9) AS risk FROM p), o AS (SELECT *, ntile(20) OVER (ORDER BY risk, model_id, evaluation_id) AS bin FROM t) SELECT suite_id, round(avg(bin), 6) AS mean_bin, round(avg(ok), 6) AS event FROM o GROUP BY 1")
+def trust_by_suite(s, d):
     return _trust_rows(s, d).groupBy("suite_id").agg(F.round(F.avg("bin"), 6).alias("mean_bin"), F.round(F.avg("ok"), 6).alias("event"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions.text import same_key
 from lacuna.functions.columns import count_all
+from lacuna.kernels import factor, transforms
 from lacuna.operators import cells as C
 from lacuna.operators import estimators as E
 from lacuna.operators import fits, search
@@ -214,13 +217,17 @@ def c25(s, d):
     return f.where("fold <> 0").join(test, ["model_id", "suite_id"], "left_anti").groupBy("fold").agg(count_all().alias("kept"))
 
 
-@query("c28_rule_checks", f"SELECT {sql_key('dedup_key')} AS identity, count(DISTINCT metric) AS metrics, count(DISTINCT suite_id) AS suites, count(*) FILTER (WHERE inclusion_status = 'accepted') AS accepted FROM {HIBOU} WHERE NOT {sql_missing('dedup_key')} GROUP BY 1")
+@query("c28_rule_checks", f"""WITH g AS (SELECT {sql_key('dedup_key')} AS identity, count(DISTINCT metric) AS metrics, count(DISTINCT suite_id) AS suites, count(*) FILTER (WHERE inclusion_status = 'accepted') AS accepted FROM {HIBOU} WHERE NOT {sql_missing('dedup_key')} GROUP BY 1)
+SELECT *, CASE WHEN metrics > 1 OR suites > 1 THEN 'identities_differ' WHEN accepted = 0 THEN 'no_canonical' WHEN accepted > 1 THEN 'several_canonical' ELSE 'ok' END AS verdict FROM g""")
 def c28(s, d):
+    """One canonical record a group, of one metric and suite: counts and the first rule that is broken."""
     from lacuna.functions.text import given_key
 
     t = table(s, d, HIBOU).select(given_key("dedup_key").alias("identity"), "metric", "suite_id", "inclusion_status").where(F.col("identity").isNotNull())
     ok = F.sum((F.coalesce(F.col("inclusion_status"), F.lit("")) == "accepted").cast("long"))
-    return t.groupBy("identity").agg(F.countDistinct("metric").alias("metrics"), F.countDistinct("suite_id").alias("suites"), ok.alias("accepted"))
+    g = t.groupBy("identity").agg(F.countDistinct("metric").alias("metrics"), F.countDistinct("suite_id").alias("suites"), ok.alias("accepted"))
+    verdict = F.when((F.col("metrics") > 1) | (F.col("suites") > 1), "identities_differ").when(F.col("accepted") == 0, "no_canonical").when(F.col("accepted") > 1, "several_canonical").otherwise("ok")
+    return g.withColumn("verdict", verdict)
 
 
 # ---- G: estimators ----
@@ -296,15 +303,28 @@ def g2(s, d):
     return p.select("job_id", F.col("score").alias("actual"), "predicted").groupBy("job_id").agg(*S.error_columns(), (count_all() - F.count("predicted")).alias("unsupported"))
 
 
+def _settings(s):
+    """The grid of 7 transforms x 49 settings, those that a library here can fit."""
+    rows = [(fits.setting_label(t, m, a), t, m, json.dumps(a, sort_keys=True)) for t in transforms.TRANSFORMS for m, a in fits.SETTINGS]
+    return s.createDataFrame(rows, "job_id string, transform string, method string, arguments string")
+
+
 @query("f17_method_grid")
 def f17(s, d):
-    """Transforms x methods on one fold, one task per fit, with errors and coverage."""
-    grid = s.createDataFrame([(f"{t}/{m}/{r}", t, m, r) for t in ("identity", "logit", "quantile", "probit") for m, r in (("soft_impute", 1), ("bias_als", 1), ("nuclear_norm", 0), ("pmf", 2), ("nmf", 2))], "job_id string, transform string, method string, rank int")
+    """All 343 settings (7 transforms x 49) on all of three folds, one task a fit, with errors and coverage; unsupported ones without errors."""
+    grid = _settings(s)
+    able = grid.where(~F.col("method").isin(list(factor.UNSUPPORTED)))
     f = with_fold(cells(s, d), 3)
-    jobs = f.select("model_id", "evaluation_id", F.when(F.col("fold") != 0, F.col("score")).alias("score")).crossJoin(F.broadcast(grid))  # the grid is fixed: 20 settings
-    truth = f.where("fold = 0").select("model_id", "evaluation_id", F.col("score").alias("actual"))
-    p = fits.fit_method(jobs).join(truth, ["model_id", "evaluation_id"])
-    return p.groupBy("job_id").agg(*S.error_columns(), F.round(F.count("predicted") / count_all(), 6).alias("coverage"))
+    p = fits.fit_grid(f.select("model_id", "evaluation_id", "score", "fold"), able, 3)
+    e = p.groupBy("job_id").agg(*S.error_columns(), F.round(F.count("predicted") / count_all(), 6).alias("coverage"))
+    return grid.join(F.broadcast(e), "job_id", "left").withColumn("supported", F.col("n").isNotNull())  # a row per setting
+
+
+@query("b22_setting_labels", "SELECT arguments, substr(sha1(arguments), 1, 10) AS label FROM (VALUES " + ", ".join(f"('{t}')" for t in sorted({json.dumps(a, sort_keys=True, separators=(',', ':')) for _, a in fits.SETTINGS})) + ") t(arguments)")
+def b22(s, d):
+    """Short labels of the settings by the head of a hash."""
+    rows = [(t,) for t in sorted({json.dumps(a, sort_keys=True, separators=(",", ":")) for _, a in fits.SETTINGS})]
+    return s.createDataFrame(rows, "arguments string").select("arguments", F.substring(F.sha1("arguments"), 1, 10).alias("label"))
 
 
 @query("g22_conformal_intervals", f"""WITH {SQL_CELLS}, f AS (SELECT *, {SQL_FOLD} AS fold FROM c), p AS (SELECT a.model_id, a.evaluation_id, a.fold, any_value(a.score) AS actual, avg(b.score) AS predicted, stddev_pop(b.score) AS risk FROM f a JOIN f b ON a.evaluation_id = b.evaluation_id AND a.fold <> b.fold GROUP BY ALL),
@@ -338,19 +358,22 @@ def f1(s, d):
     return with_fold(cells(s, d)).select("model_id", "evaluation_id", "fold")
 
 
-@query("f3_suite_blocks", f"WITH {SQL_CELLS}, k AS (SELECT model_id, suite_id, count(*) AS inside FROM c GROUP BY 1, 2), t AS (SELECT model_id, count(*) AS n FROM c GROUP BY 1) SELECT suite_id, count(*) AS bridge_models, CAST(sum(inside) AS BIGINT) AS held_cells FROM k JOIN t USING (model_id) WHERE n > inside GROUP BY 1")
+@query("f3_suite_blocks", f"WITH {SQL_CELLS}, t AS (SELECT *, count(*) OVER (PARTITION BY model_id) AS n, count(*) OVER (PARTITION BY model_id, suite_id) AS inside FROM c) SELECT suite_id, model_id, evaluation_id FROM t WHERE n > inside")
 def f3(s, d):
-    k = cells(s, d).groupBy("model_id", "suite_id").agg(count_all().alias("inside"))
-    t = k.groupBy("model_id").agg(F.sum("inside").alias("n"))
-    return k.join(t, "model_id").where(F.col("n") > F.col("inside")).groupBy("suite_id").agg(count_all().alias("bridge_models"), F.sum("inside").alias("held_cells"))
+    """The split itself: for each suite the held cells, those of models observed in it and elsewhere."""
+    c = cells(s, d)
+    k = c.groupBy("model_id", "suite_id").agg(count_all().alias("inside"))
+    bridge = k.join(k.groupBy("model_id").agg(F.sum("inside").alias("n")), "model_id").where(F.col("n") > F.col("inside")).select("model_id", "suite_id")
+    return c.join(bridge, ["model_id", "suite_id"], "left_semi").select("suite_id", "model_id", "evaluation_id")
 
 
-@query("f4_sparse_new_models", f"WITH {SQL_CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY md5(model_id || '|' || evaluation_id)) AS k, count(*) OVER (PARTITION BY model_id) AS n FROM c) SELECT kk AS k, count(DISTINCT model_id) AS models, count(*) FILTER (WHERE k > kk) AS hidden FROM o, (VALUES (3), (5), (10)) AS t(kk) WHERE n > kk GROUP BY 1")
+@query("f4_sparse_new_models", f"WITH {SQL_CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY md5(model_id || '|' || evaluation_id)) AS p, count(*) OVER (PARTITION BY model_id) AS n FROM c) SELECT k, model_id, evaluation_id, p <= k AS revealed FROM o, (VALUES (3), (5), (10)) AS t(k) WHERE n > k")
 def f4(s, d):
+    """The split itself: for each k and model of more than k cells, which are revealed and which hidden."""
     w = Window.partitionBy("model_id")
-    o = cells(s, d).select("model_id", F.row_number().over(w.orderBy(F.md5(F.concat("model_id", F.lit("|"), "evaluation_id")))).alias("p"), count_all().over(w).alias("n"))
-    x = o.select("model_id", "p", "n", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("k")).where("n > k")
-    return x.groupBy("k").agg(F.countDistinct("model_id").alias("models"), F.sum((F.col("p") > F.col("k")).cast("long")).alias("hidden"))
+    o = cells(s, d).select("model_id", "evaluation_id", F.row_number().over(w.orderBy(F.md5(F.concat("model_id", F.lit("|"), "evaluation_id")))).alias("p"), count_all().over(w).alias("n"))
+    x = o.select("model_id", "evaluation_id", "p", "n", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10))).alias("k")).where("n > k")
+    return x.select("k", "model_id", "evaluation_id", (F.col("p") <= F.col("k")).alias("revealed"))
 
 
 @query("f6_family_folds", f"WITH {_MODELS}, g AS (SELECT model_id, coalesce({sql_key('family')}, 'model:' || model_id) AS grp FROM mm) SELECT model_id, dense_rank() OVER (ORDER BY grp) - 1 AS fold FROM g")
@@ -438,10 +461,15 @@ def h7(s, d):
     return fits.fit_als(jobs, 1).select("model_id", "evaluation_id", F.round("predicted", 6).alias("predicted"))
 
 
-@query("e6_leaderboard", f"WITH {SQL_CELLS}, m AS (SELECT model_id, avg(score) AS mean, count(*) AS n FROM c GROUP BY 1) SELECT model_id, n, round(mean, 6) AS mean, row_number() OVER (ORDER BY round(mean, 9) DESC, model_id) AS place FROM m")
+@query("e6_leaderboard", f"""WITH {SQL_CELLS}, m AS (SELECT model_id, round(avg(score), 6) AS mean FROM c GROUP BY 1), g AS (SELECT m.model_id, e.evaluation_id, c.score IS NOT NULL AS observed, coalesce(c.score, m.mean) AS x FROM m CROSS JOIN (SELECT DISTINCT evaluation_id FROM c) e LEFT JOIN c ON c.model_id = m.model_id AND c.evaluation_id = e.evaluation_id)
+SELECT model_id, evaluation_id, observed, round(x, 6) AS score, row_number() OVER (PARTITION BY evaluation_id ORDER BY x DESC, model_id) AS place FROM g""")
 def e6(s, d):
-    m = cells(s, d).groupBy("model_id").agg(F.avg("score").alias("mean"), count_all().alias("n")).withColumn("v", -F.round("mean", 9))
-    return S.global_place(m, "v", ["model_id"]).select("model_id", "n", F.round("mean", 6).alias("mean"), "place")
+    """All models of each evaluation, by the observed score or else the model's mean."""
+    c = cells(s, d).select("model_id", "evaluation_id", "score")
+    grid = c.groupBy("model_id").agg(F.round(F.avg("score"), 6).alias("mean")).crossJoin(c.select("evaluation_id").distinct())  # the completed table itself
+    g = grid.join(c, ["model_id", "evaluation_id"], "left").withColumn("observed", F.col("score").isNotNull()).withColumn("x", -F.coalesce("score", "mean"))
+    placed = S.group_place(g, "evaluation_id", "x", ["model_id"])
+    return placed.select("model_id", "evaluation_id", "observed", F.round(-F.col("x"), 6).alias("score"), "place")
 
 
 @query("h12_site_rows", f"WITH {SQL_CELLS} SELECT model_id, count(*) AS n, array_to_string([x.e || '=' || x.s for x in list_sort(list(struct_pack(e := evaluation_id, s := printf('%.2f', score))))], ',') AS cells FROM c GROUP BY 1")
@@ -450,11 +478,12 @@ def h12(s, d):
     return cells(s, d).groupBy("model_id").agg(count_all().alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.concat(x["e"], F.lit("="), x["s"])), ",").alias("cells"))
 
 
-@query("a11_wide_matrix", f"WITH {SQL_CELLS} SELECT model_id, " + ", ".join(f"round(avg(score) FILTER (WHERE suite_id = '{x}'), 6) AS {x}" for x in ("cairn", "fathom", "graticule", "lumenbench", "orrery", "tessella")) + " FROM c GROUP BY 1")
+@query("a11_wide_matrix", f"WITH {SQL_CELLS}, r AS (SELECT model_id, evaluation_id, round(score, 6) AS score FROM c) SELECT * FROM (PIVOT r ON evaluation_id USING first(score) GROUP BY model_id)")
 def a11(s, d):
-    suites = ["cairn", "fathom", "graticule", "lumenbench", "orrery", "tessella"]
-    p = cells(s, d).groupBy("model_id").pivot("suite_id", suites).agg(F.avg("score"))
-    return p.select("model_id", *[F.round(x, 6).alias(x) for x in suites])
+    """One row a model, one column an evaluation, in the order of their names; missing cells are null."""
+    c = cells(s, d)
+    names = sorted(r["evaluation_id"] for r in c.select("evaluation_id").distinct().collect())  # a column per evaluation
+    return c.groupBy("model_id").pivot("evaluation_id", names).agg(F.round(F.first("score"), 6))
 
 
 @query("c6_cell_semi_filter", f"WITH {SQL_CELLS} SELECT c.model_id, c.evaluation_id FROM c WHERE EXISTS (SELECT 1 FROM {MIDNIGHT} x WHERE {sql_key('x.model_id')} = {sql_key('c.model_id')} AND {sql_key('x.evaluation_id')} = {sql_key('c.evaluation_id')})")
