@@ -144,11 +144,10 @@ renamed AS (
   LEFT JOIN vals n ON n.feed = p.feed AND n.seq = p.seq AND n.rec = k.rec AND n.field = p.new_field
   GROUP BY ALL HAVING bool_and(o.txt IS NOT DISTINCT FROM n.txt) AND count(o.txt) > 0),
 found AS (
-  SELECT feed, seq, 'renamed' AS change_kind, old_field, new_field FROM renamed
-  UNION ALL SELECT feed, seq, 'added', '', field FROM comes ANTI JOIN (SELECT feed, seq, new_field AS field FROM renamed) USING (feed, seq, field)
-  UNION ALL SELECT feed, seq, 'removed', field, '' FROM goes ANTI JOIN (SELECT feed, seq, old_field AS field FROM renamed) USING (feed, seq, field)
-  UNION ALL SELECT feed, seq, 'retyped', field, field FROM hist2 WHERE b = seq - 1 AND bk <> carried)
-SELECT f.file_name, r.change_kind, r.old_field, r.new_field FROM found r JOIN files f USING (feed, seq)
+  SELECT feed, seq, 'renamed' AS change_kind, old_field, new_field, NULL AS old_type, NULL AS new_type FROM renamed
+  UNION ALL SELECT feed, seq, 'added', '', field, NULL, NULL FROM comes ANTI JOIN (SELECT feed, seq, new_field AS field FROM renamed) USING (feed, seq, field)
+  UNION ALL SELECT feed, seq, 'removed', field, '', NULL, NULL FROM goes ANTI JOIN (SELECT feed, seq, old_field AS field FROM renamed) USING (feed, seq, field)
+  UNION ALL SELECT feed, seq, 'retyped', field, field, bk, carried FROM hist2 WHERE b = seq - 1 AND bk <> carried)
 """
 
 
@@ -296,7 +295,9 @@ ORACLES = {
     "p1_report": _P1_SQL + f""", lost AS (SELECT ref_field, null_mask, t, kind FROM found UNION ALL SELECT 'midnight.(model_id, evaluation_id)', null_mask, t, kind FROM ({_P1_PAIRS}))
 SELECT ref_field, CAST(null_mask AS INTEGER) AS null_mask, strftime(date_trunc('month', t), '%Y-%m-%d') AS period, kind, count(*) AS orphans FROM lost GROUP BY ALL""",
     "p1_pairs": f"SELECT record_id, null_mask, kind FROM ({_P1_PAIRS})",
-    "p2_found": _P2_SQL,
+    "p2_found": _P2_SQL + "SELECT f.file_name, r.change_kind, r.old_field, r.new_field FROM found r JOIN files f USING (feed, seq)",
+    "p2_log": _P2_SQL + """SELECT t.source_table, r.feed, r.seq AS file_no, f.file_name, r.change_kind, r.old_field, r.new_field, r.old_type, r.new_type
+FROM found r JOIN files f USING (feed, seq) JOIN (SELECT feed, file_name, min(coalesce(source_table, '')) AS source_table FROM raw_score_lines GROUP BY 1, 2) t USING (feed, file_name)""",
     "p5_found": _P5_SQL,
     "p7_found": _P7_SQL,
     "p7_c0": _sql_deck("w", "fam", "model_id", "c0"),

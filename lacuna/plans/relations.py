@@ -242,22 +242,22 @@ def _train_ask(s, d):
 
 def _out(frame):
     """Rounded a little off the middle, as means of a few two-digit scores are often exact ties."""
-    return frame.select("model_id", "evaluation_id", F.round(F.col("predicted") + 3e-8, 5).alias("predicted"))
+    return frame.select("model_id", "evaluation_id", F.round(F.col("predicted"), 9).alias("predicted"))
 
 
-@query("g11_benchmark_mean", f"WITH {_EST} SELECT model_id, evaluation_id, round((SELECT avg(score) FROM x WHERE x.evaluation_id = q.evaluation_id) + 3e-8, 5) AS predicted FROM q")
+@query("g11_benchmark_mean", f"WITH {_EST} SELECT model_id, evaluation_id, round((SELECT avg(score) FROM x WHERE x.evaluation_id = q.evaluation_id), 9) AS predicted FROM q")
 def g11(s, d):
     return _out(E.benchmark_mean(*_train_ask(s, d)))
 
 
-@query("g12_model_mean", f"WITH {_EST}, r AS (SELECT model_id, avg(score) AS v FROM x GROUP BY 1), k AS (SELECT evaluation_id, avg(score) AS v FROM x GROUP BY 1) SELECT q.model_id, q.evaluation_id, round(coalesce(r.v, k.v) + 3e-8, 5) AS predicted FROM q LEFT JOIN r USING (model_id) LEFT JOIN k USING (evaluation_id)")
+@query("g12_model_mean", f"WITH {_EST}, r AS (SELECT model_id, avg(score) AS v FROM x GROUP BY 1), k AS (SELECT evaluation_id, avg(score) AS v FROM x GROUP BY 1) SELECT q.model_id, q.evaluation_id, round(coalesce(r.v, k.v), 9) AS predicted FROM q LEFT JOIN r USING (model_id) LEFT JOIN k USING (evaluation_id)")
 def g12(s, d):
     return _out(E.model_mean(*_train_ask(s, d)))
 
 
 @query("g13_model_knn", f"""WITH {_EST}, dist AS (SELECT a.model_id AS t, b.model_id AS o, round(sqrt(avg((a.score - b.score) ** 2)), 9) AS d FROM x a JOIN x b ON a.evaluation_id = b.evaluation_id AND a.model_id <> b.model_id GROUP BY 1, 2 HAVING count(*) >= 3),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d, o) AS k FROM dist) WHERE k <= 5), v AS (SELECT q.model_id, q.evaluation_id, avg(x.score) AS v FROM q JOIN nn ON nn.t = q.model_id JOIN x ON x.model_id = nn.o AND x.evaluation_id = q.evaluation_id GROUP BY 1, 2),
-k AS (SELECT evaluation_id, avg(score) AS v FROM x GROUP BY 1) SELECT q.model_id, q.evaluation_id, round(coalesce(v.v, k.v) + 3e-8, 5) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id) LEFT JOIN k USING (evaluation_id)""")
+k AS (SELECT evaluation_id, avg(score) AS v FROM x GROUP BY 1) SELECT q.model_id, q.evaluation_id, round(coalesce(v.v, k.v), 9) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id) LEFT JOIN k USING (evaluation_id)""")
 def g13(s, d):
     return _out(E.model_knn(*_train_ask(s, d)))
 
@@ -266,7 +266,7 @@ def g13(s, d):
 co AS (SELECT a.evaluation_id AS t, b.evaluation_id AS o, round(corr(a.score, b.score), 9) AS r FROM x a JOIN x b ON a.model_id = b.model_id AND a.evaluation_id <> b.evaluation_id GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_pop(a.score) > 1e-9 AND stddev_pop(b.score) > 1e-9),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r DESC, o) AS k FROM co) WHERE k <= 5),
 v AS (SELECT q.model_id, q.evaluation_id, sum(greatest(r, 0.01) * (x.score - mo.m) / mo.sd) / sum(greatest(r, 0.01)) AS z FROM q JOIN nn ON nn.t = q.evaluation_id JOIN x ON x.model_id = q.model_id AND x.evaluation_id = nn.o JOIN mo ON mo.evaluation_id = nn.o GROUP BY 1, 2)
-SELECT q.model_id, q.evaluation_id, round(mo.m + mo.sd * coalesce(v.z, 0) + 3e-8, 5) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id) LEFT JOIN mo USING (evaluation_id)""")
+SELECT q.model_id, q.evaluation_id, round(mo.m + mo.sd * coalesce(v.z, 0), 9) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id) LEFT JOIN mo USING (evaluation_id)""")
 def g14(s, d):
     return _out(E.bench_knn(*_train_ask(s, d)))
 
@@ -275,7 +275,7 @@ def _sql_regression(by: str, across: str) -> str:
     return f"""WITH {_EST}, fit AS (SELECT a.{by} AS t, b.{by} AS o, regr_slope(a.score, b.score) AS sl, regr_intercept(a.score, b.score) AS ic, round(regr_r2(a.score, b.score), 9) AS r2 FROM x a JOIN x b ON a.{across} = b.{across} AND a.{by} <> b.{by} GROUP BY 1, 2 HAVING count(*) >= 5 AND var_pop(a.score) * count(*) >= 1e-10 AND var_pop(b.score) * count(*) >= 1e-10),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY r2 DESC, o) AS k FROM fit) WHERE k <= 5 AND r2 >= 0.2 AND t IN (SELECT {by} FROM x GROUP BY 1 HAVING count(*) >= 5)),
 v AS (SELECT q.model_id, q.evaluation_id, sum(r2 * (sl * x.score + ic)) / sum(r2) AS v FROM q JOIN best ON best.t = q.{by} JOIN x ON x.{by} = best.o AND x.{across} = q.{across} GROUP BY 1, 2)
-SELECT q.model_id, q.evaluation_id, round(v.v + 3e-8, 5) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id)"""
+SELECT q.model_id, q.evaluation_id, round(v.v, 9) AS predicted FROM q LEFT JOIN v USING (model_id, evaluation_id)"""
 
 
 @query("g15_benchmark_regression", _sql_regression("evaluation_id", "model_id"))

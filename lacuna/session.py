@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,13 +43,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not (sc.master or "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="lacuna-checkpoint-")
+    own = tempfile.mkdtemp(prefix="lacuna-checkpoint-")  # local master only
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared folder and go on from the files, so that a lost executor costs no recomputation."""
+    """Write ``frame`` to the shared folder and go on from the files, so that a lost executor costs no recomputation.
+
+    Spark removes the files of frames that are no longer referenced where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as local sessions here do.
+    """
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
