@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model")
     p.add_argument("--evaluation", action="append")
     p.add_argument("--known", help="evaluation=value, ...")
+    p.add_argument("--confidence", action="store_true", help="intervals and trust of predict and complete-model, intervals or abstention of add-model")
     p.add_argument("--rank", type=int, default=1)
     p.add_argument("--min-model-scores", type=int, default=3)
     p.add_argument("--min-evaluation-scores", type=int, default=5)
@@ -33,7 +34,7 @@ def run(argv: list[str], spark=None) -> int:
             raise product.UnknownName(f"{a.command} needs --model or --known")
         frame = {
             "audit": table.audit, "validate": table.validate, "list-models": table.models, "list-evaluations": table.evaluations, "impute": table.impute,
-            "predict": lambda: table.predict(a.model, a.evaluation), "complete-model": lambda: table.predict(a.model), "add-model": lambda: table.add_model(a.known),
+            "predict": lambda: table.predict(a.model, a.evaluation, a.confidence), "complete-model": lambda: table.predict(a.model, confidence=a.confidence), "add-model": lambda: table.add_model(a.known, confidence=a.confidence),
         }[a.command]()
     except product.UnknownName as e:
         print(e, file=sys.stderr)

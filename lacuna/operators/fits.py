@@ -1,9 +1,11 @@
 """Kernel fits as Spark jobs: one grouped task per independent fit.
 
 ``jobs`` holds the cells of every fit in long form (job_id, model_id,
-evaluation_id, score) plus the cells asked for (score null).  A fit gathers one
-job's cells in one task, so it is meant for tables up to ``KERNEL_CELLS``; larger
-tables use ``relational_als``, whose every step is a join and an aggregate.
+evaluation_id, score) plus the cells asked for (score null).  A grouped fit gathers
+one job's cells in one task.  ``complete_cells`` and ``complete_grid`` choose by the
+measured size of the table: up to ``KERNEL_CELLS`` cells and ``KERNEL_PLACES`` places
+the kernel, beyond that ``relational_als``, whose every step is a join and an
+aggregate and which gives the same numbers.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lacuna.kernels import als, factor, neighbours, transforms
+from lacuna.operators import relational_als
 
 KERNEL_CELLS = 5_000_000
+KERNEL_PLACES = 20_000_000
 _SCHEMA = "job_id string, model_id string, evaluation_id string, predicted double"
 
 
@@ -56,8 +60,39 @@ def fit_als(jobs: DataFrame, rank: int = 1, ridge: float = als.RIDGE) -> DataFra
     return jobs.groupBy("job_id").applyInPandas(run, _SCHEMA)
 
 
+def fits_kernel(cells: DataFrame) -> bool:
+    """Whether a table is small enough for one task."""
+    n = cells.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("model_id").alias("m"), F.countDistinct("evaluation_id").alias("e")).first()
+    return n["n"] <= KERNEL_CELLS and n["m"] * n["e"] <= KERNEL_PLACES
+
+
+def complete_cells(cells: DataFrame, asked: DataFrame, rank: int = 1, ridge: float = als.RIDGE, relational: bool | None = None) -> DataFrame:
+    """model_id, evaluation_id, predicted of the cells asked for, by the kernel or, for large tables, by joins and aggregates."""
+    cells = cells.select("model_id", "evaluation_id", "score")
+    if relational or relational is None and not fits_kernel(cells):
+        return relational_als.complete(cells, asked, rank, ridge)
+    blank = asked.select("model_id", "evaluation_id", F.lit(None).cast("double").alias("score"))
+    return fit_als(cells.unionByName(blank).withColumn("job_id", F.lit("one")), rank, ridge).drop("job_id")
+
+
+def complete_grid(cells: DataFrame, rank: int, comparison_rank: int, relational: bool | None = None) -> DataFrame:
+    """One row per (model, evaluation) of the table with both fits and the counts of its row and column."""
+    cells = cells.select("model_id", "evaluation_id", "score")
+    if not (relational or relational is None and not fits_kernel(cells)):
+        return fit_all_cells(cells, rank, comparison_rank)
+    models = cells.groupBy("model_id").agg(F.count(F.lit(1)).alias("model_observations"))
+    evaluations = cells.groupBy("evaluation_id").agg(F.count(F.lit(1)).alias("evaluation_observations"))
+    key = ["model_id", "evaluation_id"]
+    grid = models.crossJoin(evaluations)  # the completed table itself
+    one = relational_als.complete(cells, grid, rank).withColumnRenamed("predicted", "score")
+    two = relational_als.complete(cells, grid, comparison_rank).withColumnRenamed("predicted", "comparison")
+    seen = cells.select(*key, F.lit(True).alias("observed"))
+    out = grid.join(one, key).join(two, key).join(seen, key, "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+    return out.select(*key, "observed", "score", "comparison", "model_observations", "evaluation_observations")
+
+
 def fit_all_cells(cells: DataFrame, rank: int, comparison_rank: int) -> DataFrame:
-    """One row per (model, evaluation) of the table with both fits; the full grid is emitted by the fit itself."""
+    """``complete_grid`` of a table that fits one task; the full grid is emitted by the fit itself."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         models, evaluations, r, c, x = _axes(frame)
@@ -178,16 +213,37 @@ def fit_grid(folded: DataFrame, settings: DataFrame, folds: int, limit: int = KE
     return out.withColumn("predicted", F.when(~F.isnan("predicted"), F.col("predicted")))
 
 
+def _shuffled_targets(cells: DataFrame, jobs: DataFrame, rank: int) -> DataFrame:
+    """``fit_targets`` without a broadcast: every job's cells and the cells asked of it, in long form."""
+    jobs = jobs.select("job_id", "target", F.coalesce("probes", F.array().cast("array<string>")).alias("probes"), "context")
+    pairs = cells.select("model_id", "evaluation_id", "score").crossJoin(jobs)  # the refits' own input: the table once a job
+    own = F.col("model_id") == F.col("target")
+    use = F.when(own, F.array_contains("probes", F.col("evaluation_id"))).otherwise(F.col("context").isNull() | F.array_contains("context", F.col("model_id")))
+    seen = pairs.where(use).select("job_id", "model_id", "evaluation_id", "score")
+    asked = cells.select("evaluation_id").distinct().crossJoin(jobs).where(~F.array_contains("probes", F.col("evaluation_id")))
+    asked = asked.select("job_id", F.col("target").alias("model_id"), "evaluation_id", F.lit(None).cast("double").alias("score"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        have, want = frame[frame["score"].notna()], frame[frame["score"].isna()]
+        models = np.unique(np.append(have["model_id"].to_numpy(dtype=object).astype(str), want["model_id"].to_numpy(dtype=object).astype(str)))
+        evaluations = np.unique(have["evaluation_id"].to_numpy(dtype=object).astype(str))
+        if not len(have):
+            return _answers(frame, models, evaluations, np.full((len(models), 0), np.nan))
+        r, c = np.searchsorted(models, have["model_id"].to_numpy(dtype=object).astype(str)), np.searchsorted(evaluations, have["evaluation_id"].to_numpy(dtype=object).astype(str))
+        return _answers(frame, models, evaluations, als.complete(r, c, have["score"].to_numpy(dtype=float), len(models), len(evaluations), rank, allow_empty_rows=True))
+
+    return seen.unionByName(asked).groupBy("job_id").applyInPandas(run, _SCHEMA)
+
+
 def fit_targets(cells: DataFrame, jobs: DataFrame, rank: int = 1, limit: int = KERNEL_CELLS) -> DataFrame:
     """Refits for single target models: ``jobs(job_id, target, probes array, context array or null)``.
 
     A job sees the context models' cells (all other models if null) and of the target only the probes, and predicts every
-    other evaluation of the target.  The cells are broadcast once instead of being copied into each job, which is allowed
-    only up to ``limit`` cells.
+    other evaluation of the target.  Up to ``limit`` cells the table is broadcast once; beyond that each job's cells are
+    copied to it by a shuffle.
     """
-    n = cells.count()
-    if n > limit:
-        raise ValueError(f"{n} cells are more than the {limit} that single-target refits may broadcast; use relational_als")
+    if cells.count() > limit:
+        return _shuffled_targets(cells, jobs, rank)
     frame = cells.select("model_id", "evaluation_id", "score").toPandas()  # bounded by the check above
     models, r = np.unique(frame["model_id"].to_numpy(dtype=object).astype(str), return_inverse=True)
     evaluations, c = np.unique(frame["evaluation_id"].to_numpy(dtype=object).astype(str), return_inverse=True)

@@ -11,6 +11,7 @@ from lacuna.operators import stats as S
 from lacuna.plans.base import SQL_CELLS, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.measures import _fold_errors, _skills
 from lacuna.plans.relations import _MODELS, _models, _probes
+from lacuna.product import ScoreTable
 from lacuna.session import cut
 from lacuna.sources.tables import table
 
@@ -169,25 +170,10 @@ def c24(s, d):
     return out.groupBy("suite_id").agg(count_all().alias("n"), F.round(F.avg(F.col("actual").between(F.col("low"), F.col("high")).cast("double")), 6).alias("coverage"), F.round(F.median(F.col("high") - F.col("low")), 5).alias("width"))
 
 
-def _new_entity_errors(c: DataFrame, counts=(1, 3, 5, 10), seeds=(42, 43, 44)) -> DataFrame:
-    """Errors of every model refitted as a new one with k of its own cells revealed, drawn by hash per seed; same_suite from those cells."""
-    draw = c.select("model_id", "evaluation_id", "suite_id", F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed"))
-    order = F.md5(F.concat_ws("|", "seed", "model_id", "evaluation_id"))
-    w = Window.partitionBy("model_id", "seed")
-    ranked = draw.select("*", F.row_number().over(w.orderBy(order, "evaluation_id")).alias("p"), count_all().over(w).alias("n"))
-    shown = ranked.select("*", F.explode(F.array(*[F.lit(x) for x in counts])).alias("k")).where("n > k AND p <= k")
-    jobs = shown.groupBy("model_id", "seed", "k").agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes"), F.collect_set("suite_id").alias("suites"))
-    jobs = cut(jobs.withColumn("job_id", F.concat_ws("\u0001", "model_id", "seed", "k")))
-    p = fits.fit_targets(c, jobs.select("job_id", F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context")))
-    e = p.join(c.select("model_id", "evaluation_id", "suite_id", F.col("score").alias("actual")), ["model_id", "evaluation_id"])
-    e = e.join(jobs.select("job_id", "seed", "k", "suites"), "job_id").where("predicted IS NOT NULL")
-    return e.select("model_id", "evaluation_id", "suite_id", "seed", "k", F.array_contains("suites", F.col("suite_id")).alias("same_suite"), "actual", "predicted", F.abs(F.col("predicted") - F.col("actual")).alias("error"))
-
-
 @query("g24_new_entity_intervals")
 def g24(s, d):
     """New models with k revealed cells: leave-one-model-out risks and group-balanced scales; coverage, width and abstentions by k and scope."""
-    r = cut(confidence.new_entity_risk(cut(_new_entity_errors(cells(s, d)))))  # both are read several times
+    r = cut(confidence.new_entity_risk(cut(confidence.new_entity_errors(cells(s, d)))))  # both are read several times
     j = r.join(F.broadcast(confidence.balanced_scale(r).drop("models")), "k", "left")  # a row per k
     radius = F.col("scale") * F.col("risk")
     low, high = F.greatest(F.lit(0.0), F.col("predicted") - radius), F.least(F.lit(100.0), F.col("predicted") + radius)
@@ -213,12 +199,13 @@ def h2(s, d):
 
 @query("h8_add_model")
 def h8(s, d):
-    """A new row from three known scores, predicted on every other evaluation."""
+    """The most observed model taken out and added again from three of its scores: predictions, intervals or why there is none, and what was observed."""
     c = cells(s, d)
-    known = _probes(c, 3).withColumn("score", F.lit(80.0)).withColumn("model_id", F.lit("new-entity"))
-    asked = c.select("evaluation_id").distinct().join(known.select("evaluation_id"), "evaluation_id", "left_anti").select(F.lit("new-entity").alias("model_id"), "evaluation_id", F.lit(None).cast("double").alias("score"))
-    jobs = c.select("model_id", "evaluation_id", "score").unionByName(known.select("model_id", "evaluation_id", "score")).unionByName(asked).withColumn("job_id", F.lit("new"))
-    return fits.fit_als(jobs, 1).select("evaluation_id", F.round("predicted", 6).alias("predicted"))
+    target = c.groupBy("model_id").agg(count_all().alias("n")).orderBy(F.desc("n"), "model_id").first()["model_id"]
+    own = c.where(F.col("model_id") == target)
+    known = {r["evaluation_id"]: r["score"] for r in own.orderBy("evaluation_id").limit(3).collect()}
+    out = ScoreTable(c.where(F.col("model_id") != target)).add_model(known, "new-entity", confidence=True)
+    return out.join(own.select("evaluation_id", F.round("score", 6).alias("actual")), "evaluation_id", "left")
 
 
 @query("h10_starter_sets", f"WITH {SQL_CELLS}, o AS (SELECT suite_id, evaluation_id, row_number() OVER (PARTITION BY suite_id ORDER BY count(*) DESC, evaluation_id) AS step FROM c GROUP BY 1, 2) SELECT suite_id, evaluation_id, CAST(step AS INTEGER) AS step FROM o WHERE step <= 3")

@@ -305,10 +305,10 @@ def e12(s, d):
 
 @query("h6_predict")
 def h6(s, d):
-    """One cell of one model: the observed score if there is one, else the completion."""
+    """All cells of one model: the observed score if there is one, else the completion with its interval and trust."""
     opened = ScoreTable.open(table(s, d, "scores"))
     target = opened.models().orderBy(F.desc("observed"), "model_id").first()["model_id"]
-    return opened.predict(target)
+    return opened.predict(target, confidence=True)
 
 
 @query("h11_export_scores", f"WITH {SQL_CELLS} SELECT c.model_id, c.evaluation_id, c.suite_id, t.task_family, round(score, 6) AS score FROM c LEFT JOIN tasks t USING (evaluation_id)")

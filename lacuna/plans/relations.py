@@ -440,7 +440,7 @@ def h3(s, d):
     """One row per cell of the supported table: observed or imputed, native estimate, supports, second-rank sensitivity."""
     core = C.support_core(cells(s, d), 3, 5)
     labels = core.groupBy("evaluation_id").agg(F.min("suite_id").alias("suite_id"), F.min("metric").alias("metric"))
-    g = fits.fit_all_cells(core, rank=1, comparison_rank=2).join(labels, "evaluation_id")
+    g = fits.complete_grid(core, rank=1, comparison_rank=2).join(labels, "evaluation_id")
     hidden = ~F.col("observed")
     return g.select(
         "model_id", "evaluation_id", "suite_id", "metric", F.when(F.col("observed"), "observed").otherwise("imputed").alias("status"),
@@ -457,8 +457,7 @@ def h7(s, d):
     core = C.support_core(cells(s, d), 3, 5)
     target = core.groupBy("model_id").agg(count_all().alias("n")).orderBy(F.desc("n"), "model_id").limit(1).select("model_id")
     asked = core.select("evaluation_id").distinct().crossJoin(F.broadcast(target)).join(core.select("model_id", "evaluation_id"), ["model_id", "evaluation_id"], "left_anti")  # one model
-    jobs = core.select("model_id", "evaluation_id", "score").unionByName(asked.select("model_id", "evaluation_id", F.lit(None).cast("double").alias("score"))).withColumn("job_id", F.lit("complete"))
-    return fits.fit_als(jobs, 1).select("model_id", "evaluation_id", F.round("predicted", 6).alias("predicted"))
+    return fits.complete_cells(core, asked, 1).select("model_id", "evaluation_id", F.round("predicted", 6).alias("predicted"))
 
 
 @query("e6_leaderboard", f"""WITH {SQL_CELLS}, m AS (SELECT model_id, round(avg(score), 6) AS mean FROM c GROUP BY 1), g AS (SELECT m.model_id, e.evaluation_id, c.score IS NOT NULL AS observed, coalesce(c.score, m.mean) AS x FROM m CROSS JOIN (SELECT DISTINCT evaluation_id FROM c) e LEFT JOIN c ON c.model_id = m.model_id AND c.evaluation_id = e.evaluation_id)

@@ -173,15 +173,40 @@ def test_hidden_values_do_not_leak(spark):
     assert a == b
 
 
-def test_relational_als_agrees_with_kernel_in_the_limit(spark):
-    cells, rows = _random_cells(spark, share=0.9)
-    z = cells.withColumn("z", (F.col("score") - 55.0) / 10.0)
-    r, c, m = relational_als.relational_bias_als(z, rounds=6, members=1, cut_every=2)
-    fit = {(x.model_id, x.evaluation_id): x.z for x in relational_als.predict(cells.select("model_id", "evaluation_id"), r, c, m).collect()}
-    ms, es = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
-    want = als.bias_als([ms.index(x[0]) for x in rows], [es.index(x[1]) for x in rows], [(x[2] - 55.0) / 10.0 for x in rows], len(ms), len(es), 1, rounds=6, ensembles=1)
-    gaps = [abs(fit[x[0], x[1]] - want[ms.index(x[0]), es.index(x[1])]) for x in rows]
-    assert np.median(gaps) < 0.2  # other random starts
+@pytest.mark.parametrize("rank", [0, 1, 2])
+def test_relational_completion_equals_the_kernel(spark, rank):
+    """The same starts, so the same numbers after any number of rounds."""
+    rng = np.random.default_rng(rank)
+    rows = [(f"m{i:02d}", f"e{j:02d}", float(np.clip(60 + 20 * rng.normal(), 1, 99))) for i in range(14) for j in range(9) if rng.random() < 0.7]
+    cells = spark.createDataFrame(rows, "model_id string, evaluation_id string, score double")
+    models, evaluations = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
+    r, c = np.array([models.index(x[0]) for x in rows]), np.array([evaluations.index(x[1]) for x in rows])
+    x = als.logit_percent(np.array([x[2] for x in rows]))
+    mean, spread = als.column_moments(c, x, len(evaluations), 1e-12)
+    want = als.bias_als(r, c, (x - mean[c]) / spread[c], len(models), len(evaluations), rank, rounds=3)
+    z = spark.createDataFrame([(a[0], a[1], float(v)) for a, v in zip(rows, (x - mean[c]) / spread[c])], "model_id string, evaluation_id string, z double")
+    left, right, means = relational_als.relational_bias_als(z, rank, rounds=3)
+    grid = cells.select("model_id").distinct().crossJoin(cells.select("evaluation_id").distinct())
+    got = {(y.model_id, y.evaluation_id): y.z for y in relational_als.predict(grid, left, right, means, rank).collect()}
+    assert len(got) == len(models) * len(evaluations)
+    assert max(abs(got[m, e] - want[i, j]) for i, m in enumerate(models) for j, e in enumerate(evaluations)) < 1e-9
+
+
+def test_completion_is_routed_by_size_with_equal_results(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i}", f"e{j}", float(np.clip(60 + 15 * rng.normal(), 1, 99))) for i in range(8) for j in range(6) if (i + j) % 4]
+    cells = spark.createDataFrame(rows, "model_id string, evaluation_id string, score double")
+    monkeypatch.setattr(als, "ROUNDS", 4)
+    monkeypatch.setattr(relational_als.complete, "__defaults__", (1, als.RIDGE, 4))
+    monkeypatch.setattr(als.bias_als, "__defaults__", (als.RIDGE, 4, *als.bias_als.__defaults__[2:]))
+    small = {(x.model_id, x.evaluation_id): x for x in fits.complete_grid(cells, 1, 0, relational=True).collect()}
+    task = als.complete(np.array([int(x[0][1:]) for x in rows]), np.array([int(x[1][1:]) for x in rows]), np.array([x[2] for x in rows]), 8, 6, 1)
+    assert len(small) == 48 and sum(x.observed for x in small.values()) == len(rows)
+    assert max(abs(x.score - task[int(m[1:]), int(e[1:])]) for (m, e), x in small.items()) < 1e-9
+    assert fits.fits_kernel(cells)
+    monkeypatch.setattr(fits, "KERNEL_CELLS", 10)
+    assert not fits.fits_kernel(cells)
+
 
 
 def test_unranking_is_lexicographic():
@@ -229,7 +254,7 @@ def test_exhaustive_search_scores_every_pair(spark):
 
 
 def test_new_entity_errors_come_from_refits_with_revealed_cells(spark):
-    from lacuna.plans.deployment import _new_entity_errors
+    from lacuna.operators.confidence import new_entity_errors as _new_entity_errors
 
     cells, rows = _random_cells(spark, 8, 6, share=1.0)
     c = cells.withColumn("suite_id", F.when(F.col("evaluation_id") < "e03", "a").otherwise("b"))

@@ -225,5 +225,23 @@ def test_target_refits_hide_what_is_not_revealed(spark):
     b = {(r.job_id, r.evaluation_id): r.predicted for r in fits.fit_targets(hidden, jobs).collect()}
     assert set(a) == {("j", e) for e in ("e1", "e3", "e4", "e5")} | {("k", f"e{i}") for i in range(1, 6)}
     assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
-    with pytest.raises(ValueError):
-        fits.fit_targets(cells, jobs, limit=10)
+    shuffled = {(r.job_id, r.evaluation_id): r.predicted for r in fits.fit_targets(cells, jobs, limit=10).collect()}
+    assert set(shuffled) == set(a) and all(abs(shuffled[k] - a[k]) < 1e-9 for k in a)
+
+
+def test_predictions_have_intervals_and_trust(spark):
+    rng = np.random.default_rng(2)
+    skill, hard = rng.normal(0, 8, 16), rng.normal(0, 6, 8)
+    rows = [(f"m{i:02d}", f"e{j}", f"s{j % 2}", "auroc", "verified", float(np.clip(70 + skill[i] + hard[j] + rng.normal(0, 2), 1, 99))) for i in range(16) for j in range(8) if (3 * i + j) % 5]
+    scores = spark.createDataFrame(rows, "model_id string, evaluation_id string, suite_id string, metric string, audit_status string, normalized_score double").withColumn("value", F.col("normalized_score"))
+    table = product.ScoreTable.open(scores)
+    out = table.predict("m03", confidence=True).collect()
+    made = [r for r in out if r.status == "predicted"]
+    assert len(out) == 8 and made and all(r.low <= r.score <= r.high and 0 <= r.trust <= 1 and r.source == "model+evaluation" for r in made)
+    assert all(r.low is None and r.trust is None for r in out if r.status == "observed")
+    added = table.add_model({"e0": 80.0, "e1": 75.0}, "new", confidence=True).collect()
+    assert len(added) == 6 and all(r.low <= r.score <= r.high for r in added if r.scope != "unsupported_evaluation") and any(r.scope == "suite_same_probe" for r in added)
+    few = product.ScoreTable(table.cells.where("model_id < 'm04'")).add_model({"e0": 80.0}, "new", confidence=True).collect()
+    assert few and all(r.scope == "unsupported_evaluation" and r.low is None and r.score is not None for r in few)
+    with pytest.raises(product.UnknownName):
+        table.add_model({"e0": 80.0}, "m03")
