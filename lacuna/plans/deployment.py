@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions.columns import count_all
 from lacuna.operators import cells as C
-from lacuna.operators import confidence, fits, holdouts, resample
+from lacuna.operators import confidence, fits, holdouts, resample, search
 from lacuna.operators import stats as S
 from lacuna.plans.base import SQL_CELLS, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.measures import _fold_errors, _skills
@@ -208,7 +208,13 @@ def h8(s, d):
     return out.join(own.select("evaluation_id", F.round("score", 6).alias("actual")), "evaluation_id", "left")
 
 
-@query("h10_starter_sets", f"WITH {SQL_CELLS}, o AS (SELECT suite_id, evaluation_id, row_number() OVER (PARTITION BY suite_id ORDER BY count(*) DESC, evaluation_id) AS step FROM c GROUP BY 1, 2) SELECT suite_id, evaluation_id, CAST(step AS INTEGER) AS step FROM o WHERE step <= 3")
+@query("h10_starter_sets")
 def h10(s, d):
-    n = cells(s, d).groupBy("suite_id", "evaluation_id").agg(count_all().alias("n"))
-    return n.withColumn("step", F.row_number().over(Window.partitionBy("suite_id").orderBy(F.desc("n"), "evaluation_id"))).where("step <= 3").select("suite_id", "evaluation_id", "step")
+    """The first greedy probes of all evaluations, and of those that are cheap by their known sample count."""
+    c = cells(s, d)
+    cheap = table(s, d, "tasks").where(F.col("num_samples").try_cast("double") <= 5_000).select("evaluation_id")
+    modes = [("unrestricted", None), ("feasible", cheap)]
+    found = [search.refit_greedy(c, rounds=2, allowed=allowed).select(F.lit(name).alias("mode"), "step", "evaluation_id", "loss") for name, allowed in modes]
+    return found[0].unionByName(found[1])
+
+

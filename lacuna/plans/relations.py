@@ -16,6 +16,7 @@ from lacuna.operators import stats as S
 from lacuna.operators.orphans import find_orphans
 from lacuna.plans.base import SQL_CELLS, SQL_FOLD, SQL_PRED, cells, predictions, with_fold
 from lacuna.plans.quality import MIDNIGHT, sql_key, sql_missing
+from lacuna.session import cut
 from lacuna.sources.tables import table
 
 QUERIES: dict = {}
@@ -407,18 +408,37 @@ def f15(s, d):
     return search.exhaustive_probes(cells(s, d), candidates=None, size=2)
 
 
+def _probe_costs(s, d):
+    t = table(s, d, "tasks")
+    return t.select("evaluation_id", F.col("num_samples").try_cast("double").alias("cost")), t.select("evaluation_id", F.col("task_identity_id").alias("identity"))
+
+
 @query("f14_budgeted_probes")
 def f14(s, d):
-    """Greedy probes under a total sample budget, judged by refits; unknown counts are screened out."""
-    costs = table(s, d, "tasks").select("evaluation_id", F.col("num_samples").try_cast("double").alias("cost"))
-    return search.refit_greedy(cells(s, d), rounds=3, costs=costs, budget=60_000.0)
+    """Greedy probes under a total sample budget, one per task identity, judged by refits; unknown counts are screened out."""
+    costs, identities = _probe_costs(s, d)
+    return search.refit_greedy(cells(s, d), rounds=3, costs=costs, budget=60_000.0, identities=identities)
 
 
-@query("d44_informativeness", f"""WITH {SQL_CELLS}, pr AS (SELECT a.evaluation_id AS probe, b.evaluation_id AS e, b.model_id, b.score AS y, a.score AS x FROM c a JOIN c b ON a.model_id = b.model_id AND a.evaluation_id <> b.evaluation_id),
-fit AS (SELECT probe, e, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) AS cxy, var_pop(x) AS vx FROM pr GROUP BY 1, 2 HAVING count(*) >= 5), er AS (SELECT pr.probe, abs(CASE WHEN vx > 1e-9 THEN my + cxy / vx * (x - mx) ELSE my END - y) AS err FROM pr JOIN fit USING (probe, e))
-SELECT probe AS evaluation_id, count(*) AS cells, round(avg(err), 5) AS mae FROM er GROUP BY 1""")
+@query("f14_exact_probes")
+def f14_exact(s, d):
+    """The best of all sets of up to two probes within a total sample budget, one per task identity, every set refitted."""
+    costs, identities = _probe_costs(s, d)
+    return search.refit_exact(cells(s, d), 2, objective="hidden_medae", costs=costs, budget=2_000.0, identities=identities)
+
+
+@query("d44_informativeness")
 def d44(s, d):
-    return search.single_probe_errors(cells(s, d)).select("evaluation_id", "cells", F.round("mae", 5).alias("mae"))
+    """Every evaluation as the only probe, all models refitted: parity error, gain over the column median, coverage, and places by both."""
+    c = cells(s, d)
+    sets = c.select("evaluation_id").distinct().select(F.col("evaluation_id").alias("set_id"), F.array("evaluation_id").alias("members"))
+    one = search.refit_sets(c, sets).select(F.col("set_id").alias("evaluation_id"), "hidden", F.round("parity_medae", 6).alias("parity_medae"))
+    middle = c.groupBy("evaluation_id").agg(F.median("score").alias("_m"), count_all().alias("models"))
+    base = c.join(middle, "evaluation_id").agg(F.median(F.abs(F.col("score") - F.col("_m"))).alias("_base"), F.countDistinct("model_id").alias("_all"))
+    j = one.join(middle.drop("_m"), "evaluation_id").crossJoin(F.broadcast(base))  # one row: an ungrouped aggregate
+    j = j.select("evaluation_id", "hidden", "parity_medae", F.round(F.col("_base") - F.col("parity_medae"), 6).alias("improvement"), F.round(F.col("models") / F.col("_all"), 6).alias("coverage"))
+    j = S.global_place(cut(j), "parity_medae", ["evaluation_id"], "place").drop("total")
+    return S.global_place(j.withColumn("_c", -F.col("coverage")), "_c", ["evaluation_id"], "coverage_place").drop("total", "_c")
 
 
 # ---- H: product ----

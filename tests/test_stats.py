@@ -269,3 +269,46 @@ def test_new_entity_errors_come_from_refits_with_revealed_cells(spark):
         suites = {"a" if e < "e03" else "b" for e in probes}
         for r in mine:
             assert abs(r.predicted - table[ms.index(target), es.index(r.evaluation_id)]) < 1e-9 and r.same_suite == (r.suite_id in suites)
+
+
+def test_exact_search_beats_greedy_and_keeps_the_rules(spark):
+    cells, _ = _random_cells(spark, 12, 5, share=0.9)
+    names = sorted(r.evaluation_id for r in cells.select("evaluation_id").distinct().collect())
+    exact = search.refit_exact(cells, 2, objective="hidden_medae").first()
+    greedy = search.refit_greedy(cells, 2, objective="hidden_medae").collect()
+    assert exact.evaluated == 15 and exact.loss <= min(r.loss for r in greedy) + 1e-9
+    one = spark.createDataFrame([(n, "same" if i < 4 else "other") for i, n in enumerate(names)], "evaluation_id string, identity string")
+    costs = spark.createDataFrame([(n, float(i + 1)) for i, n in enumerate(names)], "evaluation_id string, cost double")
+    kept = search.refit_exact(cells, 2, costs=costs, budget=6.0, identities=one).first()
+    assert kept.cost <= 6.0 and kept.evaluated == 5 + 1  # the singles, and the one pair of unlike identity within the budget
+    assert len({r.evaluation_id for r in search.refit_greedy(cells, 3, identities=one).collect()}) == 2
+    with pytest.raises(search.SearchSpaceTooLarge):
+        search.refit_exact(cells, 3, limit=10)
+
+
+def test_ranking_objectives_against_brute_force(spark):
+    cells, rows = _random_cells(spark, 10, 4, share=1.0)
+    sets = spark.createDataFrame([("s", ["e00"])], "set_id string, members array<string>")
+    got = search.refit_sets(cells, sets, ranked=True).first()
+    jobs = cells.select("model_id").distinct().select(F.col("model_id").alias("job_id"), F.col("model_id").alias("target"), F.array(F.lit("e00")).alias("probes"), F.lit(None).cast("array<string>").alias("context"))
+    fit = {(r.model_id, r.evaluation_id): r.predicted for r in fits.fit_targets(cells, jobs).collect()}
+    actual = {x[:2]: x[2] for x in rows}
+    accuracy, found = [], []
+    for e in ("e00", "e01", "e02", "e03"):
+        column = {m: (a, a if e == "e00" else fit[m, e]) for (m, k), a in actual.items() if k == e}
+        pairs = [(x, y) for x in column.values() for y in column.values() if x[0] >= y[0] + search.PAIR_MARGIN and e != "e00"]
+        if pairs:
+            accuracy.append(sum(x[1] > y[1] for x, y in pairs) / len(pairs))
+        top = lambda i: set(sorted(column, key=lambda m: (-round(column[m][i], 9), m))[:2])  # noqa: B023, E731
+        found.append(len(top(0) & top(1)) / 2)
+    assert abs(got.pairwise_margin_error - (1 - np.median(accuracy))) < 1e-9 and abs(got.top_fraction_error - (1 - np.median(found))) < 1e-9
+
+
+def test_shards_cover_every_place_once(spark):
+    names = list("abcdef")
+    parts = [search.combinations(spark, names, 3, 4, k) for k in range(4)]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).withColumn("loss", F.when(F.col("place") != 3, -F.col("place")))
+    assert [r.place for r in search.merged_top(whole, "loss", 3, 20).collect()] == [19, 18, 17]
+    assert search.combinations(spark, names, 3, 4, 1, done=parts[1].limit(2)).count() == 3  # what is left of a shard
+    with pytest.raises(ValueError):
+        search.merged_top(whole.where("place <> 5"), "loss", 3, 20)
