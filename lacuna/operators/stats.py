@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lacuna.functions.columns import correlation
 from lacuna.operators.ranks import counts_below, value_counts_below
+from lacuna.session import cut
 
 APE_FLOOR, NOISE_FLOOR, MAD_SCALE = 1e-6, 0.5, 1.4826
 
@@ -62,13 +63,59 @@ def leave_one_out_median(rows: DataFrame, group: str, value: str, out: str = "lo
     return joined.withColumn(out, F.when(F.col("_n") < 2, None).when(F.col("_n") % 2 == 0, even).otherwise(odd)).drop("_g", "_n", "_xs")
 
 
+def linear_quantiles(rows: DataFrame, group: str | None, value: str, levels: Sequence[float], out: str = "qs") -> DataFrame:
+    """group, total and ``out``: exact quantiles with linear interpolation; no task holds a group's values.
+
+    ``value`` must come out equal when computed twice, as for all functions here that join counts back.
+    """
+    n = F.col("total")
+    spots = [(n - 1) * F.lit(p) + 1 for p in levels]
+    low = [F.floor(x).cast("long") for x in spots]
+    places = F.array_distinct(F.concat(F.array(*low), F.array(*[F.least(x + 1, n) for x in low])))
+    if group is None:
+        counts = counts_below(rows, value).withColumn("_place", F.explode(places))
+        hit = (F.col("_place") > F.col("below")) & (F.col("_place") <= F.col("below") + F.col("n"))
+        picked = counts.where(hit).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_set(F.struct("_place", value))).alias("xs"))
+    else:
+        picked = order_statistics(rows, group, value, places)
+    at = lambda p: F.try_element_at("xs", p)
+    qs = [at(a) + (x - a) * (at(F.least(a + 1, n)) - at(a)) for a, x in zip(low, spots)]
+    return picked.select(*([group] if group else []), "total", F.array(*qs).alias(out))
+
+
 def mad(rows: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, dispersion = 1.4826 x median absolute deviation; null below two rows."""
-    centre = rows.groupBy(group).agg(F.median(value).alias("_m"), F.count(value).alias("n"))
-    spread = rows.join(centre, group).groupBy(group).agg(F.max("n").alias("n"), (MAD_SCALE * F.median(F.abs(F.col(value) - F.col("_m")))).alias("dispersion"))
+    centre = linear_quantiles(rows, group, value, [0.5]).select(group, F.col("qs")[0].alias("_m"))
+    gaps = cut(rows.join(centre, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("_gap")))
+    spread = linear_quantiles(gaps, group, "_gap", [0.5]).select(group, F.col("total").alias("n"), (MAD_SCALE * F.col("qs")[0]).alias("dispersion"))
     return spread.withColumn("dispersion", F.when(F.col("n") >= 2, F.col("dispersion")))
 
 
+def leave_one_out_mad(rows: DataFrame, group: str, value: str, out: str = "loo_mad") -> DataFrame:
+    """Adds 1.4826 x the median absolute deviation of the other rows of the group; null where fewer than two others are.
+
+    The medians of others take at most three values in a group, so every row is measured from three centres at most.
+    """
+    own = cut(leave_one_out_median(rows, group, value, "_centre").where(F.col("_centre").isNotNull()))
+    centres = own.select(F.col(group).alias("_cg"), F.col("_centre").alias("_c")).distinct()
+    gaps = own.join(centres, F.col(group) == F.col("_cg")).withColumn("_gap", F.abs(F.col(value) - F.col("_c"))).withColumn("_key", F.concat_ws("\u0001", "_cg", F.col("_c").cast("string")))
+    gaps = cut(gaps)
+    sizes = rows.groupBy(F.col(group).alias("_s")).agg(F.count(value).alias("_k"))
+    found = leave_one_out_median(gaps, "_key", "_gap", "_dd").where(F.col("_c") == F.col("_centre")).join(sizes, F.col(group) == F.col("_s"))
+    return found.withColumn(out, F.when(F.col("_k") >= 3, MAD_SCALE * F.col("_dd"))).drop("_centre", "_cg", "_c", "_gap", "_key", "_dd", "_s", "_k")
+
+
+def error_summary(rows: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """``error_columns`` of a whole table, the medians from distributed order statistics."""
+    err = F.abs(F.col(predicted) - F.col(actual))
+    e = cut(rows.select(err.alias("e"), F.when(F.abs(F.col(actual)) > APE_FLOOR, 100.0 * err / F.abs(F.col(actual))).alias("p")))
+    whole = e.agg(F.count("e").alias("n"), F.round(F.avg("e"), 6).alias("mae"), *[F.round(F.avg((F.col("e") <= k).cast("double")), 6).alias(f"within_{k}") for k in (1, 3, 5, 10)])
+    medae = linear_quantiles(e, None, "e", [0.5]).select(F.round(F.col("qs")[0], 6).alias("medae"))
+    medape = linear_quantiles(e, None, "p", [0.5]).select(F.round(F.col("qs")[0], 6).alias("medape"))
+    out = whole.crossJoin(F.broadcast(medae)).crossJoin(F.broadcast(medape))  # one row each
+    return out.select("n", "mae", "medae", "medape", *[f"within_{k}" for k in (1, 3, 5, 10)])
+
+
 def finite_sample_quantile(rows: DataFrame, group: str, value: str, level: float) -> DataFrame:
     """group, q: the value at place min(n, ceil((n + 1) level))."""
     place = F.least(F.col("total"), F.ceil((F.col("total") + 1) * F.lit(level)).cast("long"))
@@ -139,24 +186,67 @@ def isotonic(points: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     return fitted.select("col.*")
 
 
-def overlap_pairs(cells: DataFrame, by: str, across: str, minimum: int) -> DataFrame:
-    """Pairs (a < b) of ``by`` sharing at least ``minimum`` of ``across``: n, r (Pearson), rmse, and sums for regressions.
+def overlap_pairs(cells: DataFrame, by: str, across: str, minimum: int, block: int = 512) -> DataFrame:
+    """Pairs (a < b) of ``by`` sharing at least ``minimum`` of ``across``: n, r (Pearson), rmse, and moments for regressions.
 
-    Sums are taken per pair before any pair is kept, so the output is one row per pair of the (small) axis ``by``.
+    Ids are cut into blocks of about ``block`` by hash and a task takes two blocks: it multiplies their tables, a slice of
+    ``across`` at a time, so that a pair's sums come from matrix products.  A cell is copied once for every block, not for
+    every other cell of its column; a column with a third of all cells is spread over all pairs of blocks.
     """
-    left = cells.select(F.col(by).alias("a"), F.col(across).alias("_k"), F.col("score").alias("x"))
-    right = cells.select(F.col(by).alias("b"), F.col(across).alias("_k"), F.col("score").alias("y"))
-    pairs = left.join(right, "_k").where(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"),
-        correlation("x", "y").alias("r"),
-        F.sqrt(F.avg(F.pow(F.col("x") - F.col("y"), 2))).alias("rmse"),
-        F.avg("x").alias("mx"),
-        F.avg("y").alias("my"),
-        F.var_pop("x").alias("vx"),
-        F.var_pop("y").alias("vy"),
-        F.covar_pop("x", "y").alias("cxy"),
-    ).where(F.col("n") >= minimum)
+    import numpy as np
+    import pandas as pd
+
+    ids = cells.select(by).distinct()
+    blocks = max(1, -(-ids.count() // block))
+    shift = cells.agg(F.avg("score")).first()[0] or 0.0  # so that sums of squares do not cancel
+    slim = cells.select(F.col(by).alias("_i"), F.col(across).alias("_k"), (F.col("score") - shift).alias("x"), F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("_b"))
+    mates = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(F.col("_b"), o).alias("lo"), F.greatest(F.col("_b"), o).alias("hi")))
+    spread = slim.select("_i", "_k", "x", "_b", F.explode(mates).alias("_m")).select("_i", "_k", "x", "_b", "_m.lo", "_m.hi")
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def multiply(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        one, two = (np.sort(frame.loc[frame["_b"] == k, "_i"].unique()) for k in (lo, hi))
+        keys, code = np.unique(frame["_k"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        sums = np.zeros((6, len(one), len(two)))
+        x, own = frame["x"].to_numpy(), frame["_i"].to_numpy(dtype=object)
+        at = {k: (ids, frame["_b"].to_numpy() == k) for k, ids in ((lo, one), (hi, two))}
+        for start in range(0, len(keys), 4096):
+            width = min(4096, len(keys) - start)
+            sides = []
+            for k in (lo, hi):
+                ids, inside = at[k]
+                rows = np.flatnonzero(inside & (code >= start) & (code < start + width))
+                table, mask = np.zeros((len(ids), width)), np.zeros((len(ids), width))
+                r = np.searchsorted(ids, own[rows])
+                table[r, code[rows] - start], mask[r, code[rows] - start] = x[rows], 1.0
+                sides.append((table, mask))
+            (u, m), (v, w) = sides
+            for i, (p, q) in enumerate(((m, w), (u, w), (m, v), (u * u, w), (m, v * v), (u, v))):
+                sums[i] += p @ q.T
+        keep = (sums[0] >= minimum) & (one[:, None] != two[None, :])
+        if lo == hi:
+            keep &= one[:, None] < two[None, :]
+        i, j = np.nonzero(keep)
+        swap = one[i] > two[j]
+        out = {n: s[i, j] for n, s in zip(names, sums)}
+        for p, q in (("sx", "sy"), ("sxx", "syy")):
+            out[p], out[q] = np.where(swap, out[q], out[p]), np.where(swap, out[p], out[q])
+        return pd.DataFrame({"a": np.where(swap, two[j], one[i]), "b": np.where(swap, one[i], two[j]), **out})
+
+    schema = "a string, b string, " + ", ".join(f"{n} double" for n in names)
+    pairs = spread.groupBy("lo", "hi").applyInPandas(multiply, schema)
+    n, mx, my = F.col("n"), F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    pairs = pairs.select("a", "b", n, mx.alias("_mx"), my.alias("_my"), (F.col("sxx") / n).alias("_xx"), (F.col("syy") / n).alias("_yy"), (F.col("sxy") / n).alias("_xy"))
+    # what is left of equal values by rounding counts as no spread
+    spread_of = lambda square, mean: F.when(F.col(square) - F.col(mean) * F.col(mean) > 1e-11 * (1.0 + F.col(square)), F.col(square) - F.col(mean) * F.col(mean)).otherwise(0.0)
+    pairs = pairs.withColumn("vx", spread_of("_xx", "_mx")).withColumn("vy", spread_of("_yy", "_my")).withColumn("cxy", F.col("_xy") - F.col("_mx") * F.col("_my"))
+    return pairs.select(
+        "a", "b", n.cast("long").alias("n"),
+        F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("_xx") + F.col("_yy") - 2.0 * F.col("_xy"))).alias("rmse"),
+        (F.col("_mx") + shift).alias("mx"), (F.col("_my") + shift).alias("my"), "vx", "vy", "cxy",
+    )
 
 
 def concordance(rows: DataFrame, group: str, margin: float = 0.0, block: int = 4096) -> DataFrame:

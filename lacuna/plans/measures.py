@@ -157,7 +157,7 @@ _ERR = """count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae, round(me
 
 @query("d3_d4_errors", f"WITH {SQL_PRED} SELECT {_ERR} FROM p")
 def d3(s, d):
-    return predictions(s, d).agg(*S.error_columns())
+    return S.error_summary(predictions(s, d))
 
 
 @query("d5_spread_summary", f"WITH {SQL_REPEATS}, m AS (SELECT suite_id, r, median(e) AS x FROM p GROUP BY 1, 2) SELECT suite_id, count(*) AS repeats, round(median(x), 6) AS median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 6) AS iqr, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM m GROUP BY 1")

@@ -74,15 +74,9 @@ def c27(s, d):
 
 @query("d13_leave_target_out_dispersion", f"WITH {SQL_CELLS}, o AS (SELECT a.model_id, a.evaluation_id, b.score AS x FROM c a JOIN c b ON a.evaluation_id = b.evaluation_id AND a.model_id <> b.model_id), m AS (SELECT model_id, evaluation_id, median(x) AS m FROM o GROUP BY 1, 2) SELECT o.evaluation_id, round(avg(dd), 5) AS mean_dispersion FROM (SELECT o.model_id, o.evaluation_id, 1.4826 * median(abs(x - m)) AS dd FROM o JOIN m USING (model_id, evaluation_id) GROUP BY 1, 2 HAVING count(*) >= 2) o GROUP BY 1")
 def d13(s, d):
-    """Median absolute deviation of the other models' scores, per cell, from one sorted array of a column's distinct scores and counts."""
+    """Median absolute deviation of the other models' scores, per cell, from order statistics."""
     c = cells(s, d).select("model_id", "evaluation_id", "score")
-    loo = S.leave_one_out_median(c, "evaluation_id", "score").where(F.col("loo_median").isNotNull())
-    # cells of equal score share their dispersion; the others' values are weighed by count, the own value once less
-    distinct = loo.groupBy("evaluation_id", "score", "loo_median").agg(count_all().alias("same"))
-    counts = c.groupBy("evaluation_id", F.col("score").alias("x")).agg(count_all().alias("n"))
-    gaps = distinct.join(counts, "evaluation_id").select("evaluation_id", "score", "loo_median", "same", F.abs(F.col("x") - F.col("loo_median")).alias("gap"), (F.col("n") - (F.col("x") == F.col("score")).cast("int")).alias("w")).where("w > 0")
-    per = gaps.groupBy("evaluation_id", "score", "same").agg((S.MAD_SCALE * F.percentile("gap", 0.5, F.col("w"))).alias("dd"), F.sum("w").alias("k")).where("k >= 2")
-    return per.groupBy("evaluation_id").agg(F.round(F.sum(F.col("dd") * F.col("same")) / F.sum("same"), 5).alias("mean_dispersion"))
+    return S.leave_one_out_mad(c, "evaluation_id", "score", "dd").where(F.col("dd").isNotNull()).groupBy("evaluation_id").agg(F.round(F.avg("dd"), 5).alias("mean_dispersion"))
 
 
 @query("d14_context_dispersion", f"WITH {SQL_CELLS}, x AS (SELECT * FROM c WHERE model_id IN (SELECT model_id FROM c GROUP BY 1 HAVING count(*) >= 20)), m AS (SELECT evaluation_id, median(score) AS m FROM x GROUP BY 1) SELECT evaluation_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(1.4826 * median(abs(score - m)), 6) END AS dispersion FROM x JOIN m USING (evaluation_id) GROUP BY 1")
@@ -94,8 +88,8 @@ def d14(s, d):
 
 @query("d21_linear_quantiles", f"WITH {SQL_CELLS} SELECT evaluation_id, round(quantile_cont(score, 0.1), 6) AS q10, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.9), 6) AS q90 FROM c GROUP BY 1")
 def d21(s, d):
-    q = F.percentile("score", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return cells(s, d).groupBy("evaluation_id").agg(q.alias("q")).select("evaluation_id", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    q = S.linear_quantiles(cells(s, d).select("evaluation_id", "score"), "evaluation_id", "score", [0.1, 0.5, 0.9])
+    return q.select("evaluation_id", *[F.round(F.col("qs")[i], 6).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @query("d38_rank_aggregate", f"WITH {_SQL_FOLDS}, x AS (SELECT 'mean' AS method, suite_id, abs(predicted - actual) AS e FROM p UNION ALL SELECT 'fifty', suite_id, abs(50 - actual) FROM p) SELECT method, suite_id, count(*) AS n, round(avg(e), 6) AS mae FROM x GROUP BY GROUPING SETS ((method), (method, suite_id))")

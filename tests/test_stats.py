@@ -312,3 +312,45 @@ def test_shards_cover_every_place_once(spark):
     assert search.combinations(spark, names, 3, 4, 1, done=parts[1].limit(2)).count() == 3  # what is left of a shard
     with pytest.raises(ValueError):
         search.merged_top(whole.where("place <> 5"), "loss", 3, 20)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_overlap_pairs_in_blocks_against_numpy(spark, block):
+    cells, rows = _random_cells(spark, 11, 7, share=0.7)
+    score = {x[:2]: x[2] for x in rows}
+    got = {(p.a, p.b): p for p in S.overlap_pairs(cells, "model_id", "evaluation_id", 3, block).collect()}
+    models = sorted({m for m, _ in score})
+    want = 0
+    for i, a in enumerate(models):
+        for b in models[i + 1 :]:
+            shared = sorted(e for m, e in score if m == a and (b, e) in score)
+            if len(shared) < 3:
+                assert (a, b) not in got
+                continue
+            want += 1
+            x, y, p = np.array([score[a, e] for e in shared]), np.array([score[b, e] for e in shared]), got[a, b]
+            assert p.n == len(shared) and abs(p.rmse - np.sqrt(np.mean((x - y) ** 2))) < 1e-9 and abs(p.mx - x.mean()) < 1e-9 and abs(p.vy - y.var()) < 1e-8 and abs(p.cxy - np.cov(x, y, bias=True)[0, 1]) < 1e-8
+            assert abs(p.r - np.corrcoef(x, y)[0, 1]) < 1e-9
+    assert len(got) == want
+
+
+def test_quantiles_and_deviations_of_others_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"g{i % 4}", i, float(rng.integers(0, 9))) for i in range(60)] + [("one", 100, 5.0), ("two", 101, 1.0), ("two", 102, 4.0)]
+    frame = spark.createDataFrame(rows, "g string, i int, v double")
+    by = {}
+    for g, i, v in rows:
+        by.setdefault(g, []).append((i, v))
+    for r in S.linear_quantiles(frame, "g", "v", [0.1, 0.5, 0.9]).collect():
+        assert np.allclose(r.qs, np.quantile([v for _, v in by[r.g]], [0.1, 0.5, 0.9]))
+    assert np.allclose(S.linear_quantiles(frame, None, "v", [0.25]).first().qs, np.quantile([x[2] for x in rows], [0.25]))
+    got = {r.i: r.loo_mad for r in S.leave_one_out_mad(frame, "g", "v").collect()}
+    for g, own in by.items():
+        for i, _ in own:
+            rest = np.array([v for j, v in own if j != i])
+            if len(rest) >= 2:
+                assert abs(got[i] - S.MAD_SCALE * np.median(np.abs(rest - np.median(rest)))) < 1e-9
+            else:
+                assert got.get(i) is None
+    mads = {r.g: r.dispersion for r in S.mad(frame, "g", "v").collect()}
+    assert mads["one"] is None and abs(mads["two"] - S.MAD_SCALE * 1.5) < 1e-9
