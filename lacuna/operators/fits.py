@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lacuna.kernels import als, factor, neighbours, transforms
+from lacuna.kernels import als, factor, neighbours, network, transforms
 from lacuna.operators import relational_als
 
 KERNEL_CELLS = 5_000_000
@@ -146,7 +146,7 @@ SETTINGS: list[tuple[str, dict]] = [
     *[("nuclear_norm", {"weight": w}) for w in (0.1, 0.5, 1.0, 5.0)],
     *[("mlp", {"rate": x}) for x in (1e-4, 1e-3, 1e-2)],
 ]
-COMPLETERS = {**neighbours.COMPLETERS, **factor.COMPLETERS}
+COMPLETERS = {**neighbours.COMPLETERS, **factor.COMPLETERS, "mlp": network.mlp}
 
 
 def setting_label(transform: str, method: str, arguments: dict) -> str:

@@ -188,13 +188,8 @@ def h1(s, d):
 
 @query("h2_validate")
 def h2(s, d):
-    """Random-cell holdout of the rank-1 completion."""
-    c = cells(s, d)
-    held = holdouts.random_cells(c, repeats=2).withColumn("job_id", F.col("repeat").cast("string"))
-    repeats = c.select("model_id", "evaluation_id", "score", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("job_id"))
-    jobs = repeats.join(held.select("job_id", "model_id", "evaluation_id", F.lit(True).alias("held")), ["job_id", "model_id", "evaluation_id"], "left")
-    p = fits.fit_als(jobs.select("job_id", "model_id", "evaluation_id", F.when(F.col("held").isNull(), F.col("score")).alias("score")), 1)
-    return p.join(c.select("model_id", "evaluation_id", F.col("score").alias("actual")), ["model_id", "evaluation_id"]).agg(*S.error_columns())
+    """Random-cell holdout of the rank-1 completion, ten repeats."""
+    return ScoreTable(cells(s, d)).validate(10)
 
 
 @query("h8_add_model")
@@ -218,3 +213,27 @@ def h10(s, d):
     return found[0].unionByName(found[1])
 
 
+
+
+@query("h11_export_manifest", f"WITH {SQL_CELLS} SELECT 'scores' AS name, (SELECT count(*) FROM c) AS n, (SELECT count(DISTINCT model_id) FROM c) AS models, (SELECT count(DISTINCT evaluation_id) FROM c) AS evaluations UNION ALL SELECT 'observations', (SELECT count(*) FROM scores), (SELECT count(DISTINCT model_id) FROM scores), (SELECT count(DISTINCT evaluation_id) FROM scores) UNION ALL SELECT 'wide', (SELECT count(DISTINCT model_id) FROM c), (SELECT count(DISTINCT model_id) FROM c), (SELECT count(DISTINCT evaluation_id) FROM c)")
+def h11_manifest(s, d):
+    """What an export would hold: rows, models and evaluations of all observations, of the accepted cells, and of the wide table."""
+    facts = [count_all().alias("n"), F.countDistinct("model_id").alias("models"), F.countDistinct("evaluation_id").alias("evaluations")]
+    of = lambda name, frame: frame.agg(*facts).select(F.lit(name).alias("name"), "n", "models", "evaluations")
+    accepted = of("scores", cells(s, d))
+    return accepted.unionByName(of("observations", table(s, d, "scores"))).unionByName(accepted.select(F.lit("wide").alias("name"), F.col("models").alias("n"), "models", "evaluations"))
+
+
+@query("h12_site_cells")
+def h12_cells(s, d):
+    """Per model its whole row: observed or predicted score, interval and trust of every evaluation."""
+    core = C.support_core(cells(s, d), 3, 5)
+    errors = confidence.held_out_errors(core)
+    lookup = confidence.deployment_lookup(errors)
+    grid = fits.complete_grid(core, 1, 2).join(core.groupBy("evaluation_id").agg(F.min("suite_id").alias("suite_id")), "evaluation_id").withColumnRenamed("score", "predicted")
+    out = confidence.deployed_intervals(grid, lookup).join(lookup["model"], "model_id", "left").join(lookup["evaluation"], "evaluation_id", "left")
+    out = out.crossJoin(F.broadcast(confidence.trust_curve(errors)))  # one row of knots
+    hidden = ~F.col("observed")
+    trust = confidence.interpolated(F.col("knots"), 0.5 * (F.col("model_risk") + F.col("evaluation_risk")))
+    cell = F.struct("evaluation_id", "observed", F.round("predicted", 2).alias("score"), F.when(hidden, F.round("low", 2)).alias("low"), F.when(hidden, F.round("high", 2)).alias("high"), F.when(hidden, F.round(trust, 3)).alias("trust"))
+    return out.groupBy("model_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))

@@ -13,6 +13,7 @@ from lacuna.plans.measures import _SQL_FOLDS, _fold_errors, _trust_rows
 from lacuna.plans.quality import sql_key
 from lacuna.plans.relations import HIBOU, PHIKON, _fit_jobs, _probes
 from lacuna.product import ScoreTable
+from lacuna.session import cut
 from lacuna.sources.files import markdown_tables
 from lacuna.sources.tables import table
 
@@ -243,19 +244,27 @@ def g25(s, d):
 
 @query("g29_matched_replay")
 def g29(s, d):
-    """Two probe arms and no probes, refitted for the same targets and scored on the cells that no arm reveals."""
+    """Five probe arms (none, most observed, random, greedy, greedy among cheap tasks), refitted for the same targets and scored on the cells no arm reveals, pooled and as the median over folds of models.
+
+    The greedy arms take their probes by regression on the probes' mean z-score, as a search that refits would fit every arm anew.
+    """
     c = cells(s, d)
     ranked = c.groupBy("evaluation_id").agg(count_all().alias("n"))
-    often = ranked.orderBy(F.desc("n"), "evaluation_id").limit(4).agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes")).withColumn("arm", F.lit("supported"))
-    other = ranked.orderBy(F.md5("evaluation_id")).limit(4).agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes")).withColumn("arm", F.lit("random"))
-    none = often.select(F.array().cast("array<string>").alias("probes"), F.lit("none").alias("arm"))
-    arms = often.unionByName(other).unionByName(none)
+    names = lambda frame: frame.agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes"))
+    cheap = table(s, d, "tasks").where(F.col("num_samples").try_cast("double") <= 5_000).select("evaluation_id")
+    arms = names(ranked.orderBy(F.desc("n"), "evaluation_id").limit(4)).withColumn("arm", F.lit("supported"))
+    arms = arms.unionByName(names(ranked.orderBy(F.md5("evaluation_id")).limit(4)).withColumn("arm", F.lit("random")))
+    arms = arms.unionByName(names(search.greedy_probes(c, 4)).withColumn("arm", F.lit("greedy"))).unionByName(names(search.greedy_probes(c, 4, cheap)).withColumn("arm", F.lit("allowlist")))
+    arms = cut(arms.unionByName(arms.limit(1).select(F.array().cast("array<string>").alias("probes"), F.lit("none").alias("arm"))))
     targets = c.select("model_id").distinct()
-    jobs = targets.crossJoin(F.broadcast(arms)).select(F.concat("arm", F.lit("/"), "model_id").alias("job_id"), F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context"))  # three arms
-    p = fits.fit_targets(c, jobs).withColumn("arm", F.substring_index("job_id", "/", 1))
-    matched = p.groupBy("model_id", "evaluation_id").agg(F.countDistinct("arm").alias("k")).where("k = 3").select("model_id", "evaluation_id")
+    jobs = targets.crossJoin(F.broadcast(arms)).select(F.concat("arm", F.lit("/"), "model_id").alias("job_id"), F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context"))  # five arms
+    p = cut(fits.fit_targets(c, jobs).withColumn("arm", F.substring_index("job_id", "/", 1)))
+    matched = p.groupBy("model_id", "evaluation_id").agg(F.countDistinct("arm").alias("k")).where("k = 5").select("model_id", "evaluation_id")
     truth = c.select("model_id", "evaluation_id", F.col("score").alias("actual"))
-    return p.join(matched, ["model_id", "evaluation_id"], "left_semi").join(truth, ["model_id", "evaluation_id"]).groupBy("arm").agg(*S.error_columns())
+    rows = p.join(matched, ["model_id", "evaluation_id"], "left_semi").join(truth, ["model_id", "evaluation_id"])
+    rows = rows.withColumn("fold", F.conv(F.substring(F.md5("model_id"), 1, 6), 16, 10).cast("long") % 5)
+    folds = rows.groupBy("arm", "fold").agg(F.median(F.abs(F.col("predicted") - F.col("actual"))).alias("m")).groupBy("arm").agg(F.round(F.median("m"), 6).alias("median_of_folds"))
+    return rows.groupBy("arm").agg(*S.error_columns()).join(folds, "arm")
 
 
 @query("e20_label_spacing", f"WITH {SQL_CELLS}, m AS (SELECT suite_id, evaluation_id, round(avg(score), 6) AS x FROM c GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY suite_id ORDER BY x, evaluation_id) AS i FROM m) SELECT suite_id, evaluation_id, round(max(x - 2.5 * i) OVER (PARTITION BY suite_id ORDER BY i ROWS UNBOUNDED PRECEDING) + 2.5 * i, 6) AS place FROM o")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions.text import same_key
 from lacuna.functions.columns import count_all
-from lacuna.kernels import factor, transforms
+from lacuna.kernels import transforms
 from lacuna.operators import cells as C
 from lacuna.operators import estimators as E
 from lacuna.operators import fits, search
@@ -305,20 +305,19 @@ def g2(s, d):
 
 
 def _settings(s):
-    """The grid of 7 transforms x 49 settings, those that a library here can fit."""
+    """The grid of 7 transforms x 49 settings."""
     rows = [(fits.setting_label(t, m, a), t, m, json.dumps(a, sort_keys=True)) for t in transforms.TRANSFORMS for m, a in fits.SETTINGS]
     return s.createDataFrame(rows, "job_id string, transform string, method string, arguments string")
 
 
 @query("f17_method_grid")
 def f17(s, d):
-    """All 343 settings (7 transforms x 49) on all of three folds, one task a fit, with errors and coverage; unsupported ones without errors."""
+    """All 343 settings (7 transforms x 49) on all of three folds, one task a fit, with errors and coverage."""
     grid = _settings(s)
-    able = grid.where(~F.col("method").isin(list(factor.UNSUPPORTED)))
     f = with_fold(cells(s, d), 3)
-    p = fits.fit_grid(f.select("model_id", "evaluation_id", "score", "fold"), able, 3)
+    p = fits.fit_grid(f.select("model_id", "evaluation_id", "score", "fold"), grid, 3)
     e = p.groupBy("job_id").agg(*S.error_columns(), F.round(F.count("predicted") / count_all(), 6).alias("coverage"))
-    return grid.join(F.broadcast(e), "job_id", "left").withColumn("supported", F.col("n").isNotNull())  # a row per setting
+    return grid.join(F.broadcast(e), "job_id", "left")  # a row per setting
 
 
 @query("b22_setting_labels", "SELECT arguments, substr(sha1(arguments), 1, 10) AS label FROM (VALUES " + ", ".join(f"('{t}')" for t in sorted({json.dumps(a, sort_keys=True, separators=(',', ':')) for _, a in fits.SETTINGS})) + ") t(arguments)")
@@ -466,8 +465,9 @@ def h3(s, d):
         "model_id", "evaluation_id", "suite_id", "metric", F.when(F.col("observed"), "observed").otherwise("imputed").alias("status"),
         F.round("score", 6).alias("normalized_score"), F.round(C.native_score(F.col("score"), F.col("metric")), 6).alias("native_score_estimate"),
         "model_observations", "evaluation_observations",
+        F.lit("logit_zscore_bias_als").alias("method"), F.lit(1).alias("rank"), F.lit(2).alias("comparison_rank"),
         F.when(hidden, F.round("comparison", 6)).alias("comparison_normalized_score"),
-        F.when(hidden, F.round(F.abs(F.col("score") - F.col("comparison")), 6)).alias("rank_sensitivity"),
+        F.when(hidden, F.round(F.abs(F.col("score") - F.col("comparison")), 6)).alias("rank_sensitivity_absolute_difference"),
     )
 
 

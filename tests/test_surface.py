@@ -245,3 +245,46 @@ def test_predictions_have_intervals_and_trust(spark):
     assert few and all(r.scope == "unsupported_evaluation" and r.low is None and r.score is not None for r in few)
     with pytest.raises(product.UnknownName):
         table.add_model({"e0": 80.0}, "m03")
+
+
+def test_shards_appear_whole_and_are_checked(spark, tmp_path):
+    frame = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "model_id string, score double")
+    for name, rank in (("a", 1), ("b", 2)):
+        files.write_shard(frame, str(tmp_path), name, {"rank": rank})
+    files.write_shard(frame.limit(1), str(tmp_path), "b", {"rank": 2})  # a shard written again replaces the old one
+    out = files.read_shards(spark, str(tmp_path), {"a": {"rank": 1}, "b": {"rank": 2}})
+    assert sorted((r.shard, r.model_id) for r in out.collect()) == [("a", "m"), ("a", "n"), ("b", "m")]
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".part")]
+    for wrong in ({"c": {}}, {"a": {"rank": 7}}):
+        with pytest.raises(ValueError):
+            files.read_shards(spark, str(tmp_path), wrong)
+
+
+def test_export_and_metadata(spark, tmp_path):
+    scores = spark.createDataFrame([("m", "e", "s", "auroc", 0.9, 90.0, "verified"), ("m", "f", "s", "auroc", 0.8, 80.0, "verified"), ("n", "e", "s", "auroc", 0.7, 70.0, "rejected")], "model_id string, evaluation_id string, suite_id string, metric string, value double, normalized_score double, audit_status string")
+    meta = spark.createDataFrame([("m", "x"), ("n", "y")], "model_id string, family string")
+    assert files.export_tables(scores, meta, str(tmp_path / "out")) == {"all": 3, "cells": 2, "wide": 1, "models": 2}
+    assert spark.read.parquet(str(tmp_path / "out" / "wide")).first().asDict() == {"model_id": "m", "e": 90.0, "f": 80.0}
+    assert json.loads(spark.read.text(str(tmp_path / "out" / "manifest")).first()[0])["rows"]["cells"] == 2
+    (tmp_path / "meta.csv").write_text("model_id,family\n m ,x\nm,y\n")
+    with pytest.raises(DuplicateCellError):
+        files.read_metadata(spark, str(tmp_path / "meta.csv"), "model_id string, family string").count()
+
+
+def test_latex_tables(spark):
+    text = "\\begin{tabular}{l|c{2cm}r} % head\n\\toprule Model & \\textbf{AUROC} & n \\\\ \\midrule\nA\\_1 & $0.9$ & 5\\% \\\\[2pt]\n\\multicolumn{2}{c}{\\emph{B}} & 7 \\\\ \\hline\n\\end{tabular} text \\begin{tabular}{c}x\\end{tabular}"
+    got = [(r.table, r.cells) for r in files.latex_tables(spark.createDataFrame([(1, text), (2, None), (3, "none")], "i int, t string"), "i", "t").orderBy("table", "row").collect()]
+    assert got == [(0, ["Model", "AUROC", "n"]), (0, ["A_1", "0.9", "5%"]), (0, ["B", "7"]), (1, ["x"])]
+
+
+def test_the_autoencoder_learns_and_keeps_observed_cells():
+    from lacuna.kernels import network
+
+    rng = np.random.default_rng(0)
+    full = rng.normal(size=(30, 1)) @ rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(30, 8))
+    r, c = np.nonzero(rng.random((30, 8)) < 0.8)
+    out = network.mlp(r, c, full[r, c], 30, 8, rate=1e-2)
+    hidden = np.ones((30, 8), dtype=bool)
+    hidden[r, c] = False
+    assert np.allclose(out[r, c], full[r, c]) and np.abs(out - full)[hidden].mean() < 0.8 * np.abs(full)[hidden].mean()
+    assert np.array_equal(out, network.mlp(r, c, full[r, c], 30, 8, rate=1e-2))
