@@ -219,8 +219,8 @@ def g17(s, d):
 
 
 @query("g23_crossfit_trust", f"""WITH {_SQL_FOLDS}, sd AS (SELECT evaluation_id, round(stddev_pop(score), 9) AS risk FROM c GROUP BY 1), k AS (SELECT p.*, risk, (abs(predicted - actual) <= 10)::INT AS ok FROM p JOIN sd USING (evaluation_id)),
-tr AS (SELECT t.fold AS target, k.risk, k.ok, k.model_id, k.evaluation_id FROM k JOIN (SELECT DISTINCT fold FROM k) t ON t.fold <> k.fold), b AS (SELECT target, bin, avg(ok) AS event, max(risk) AS top FROM (SELECT *, ntile(5) OVER (PARTITION BY target ORDER BY risk, model_id, evaluation_id) AS bin FROM tr) GROUP BY 1, 2)
-SELECT target AS fold, CAST(bin AS BIGINT) AS bin, round(event, 6) AS event, round(top, 6) AS top_risk FROM b""")
+tr AS (SELECT t.fold AS target, k.risk, k.ok, k.model_id, k.evaluation_id FROM k JOIN (SELECT DISTINCT fold FROM k) t ON t.fold <> k.fold), b AS (SELECT target, bin, avg(ok) AS event, median(risk) AS middle FROM (SELECT *, ntile(20) OVER (PARTITION BY target ORDER BY risk, model_id, evaluation_id) AS bin FROM tr) GROUP BY 1, 2)
+SELECT target AS fold, CAST(bin AS BIGINT) AS bin, round(event, 6) AS event, round(middle, 6) AS risk FROM b""")
 def g23(s, d):
     p = _fold_errors(s, d)
     sd = cells(s, d).groupBy("evaluation_id").agg(F.round(F.stddev_pop("score"), 9).alias("risk"))
@@ -231,15 +231,24 @@ def g23(s, d):
     counts = S.value_counts_below(train, "target", "risk").select(F.col("target").alias("_t"), F.col("risk").alias("_r"), "below", "total")
     among = F.row_number().over(Window.partitionBy("target", "risk").orderBy("model_id", "evaluation_id"))
     placed = train.withColumn("_a", among).join(counts, (F.col("target") == F.col("_t")) & (F.col("risk") == F.col("_r")))
-    binned = placed.withColumn("bin", S.equal_count_bin(F.col("below") + F.col("_a"), F.col("total"), 5))
-    return binned.groupBy(F.col("target").alias("fold"), "bin").agg(F.round(F.avg("ok"), 6).alias("event"), F.round(F.max("risk"), 6).alias("top_risk"))
+    binned = placed.withColumn("bin", S.equal_count_bin(F.col("below") + F.col("_a"), F.col("total"), 20))
+    return binned.groupBy(F.col("target").alias("fold"), "bin").agg(F.round(F.avg("ok"), 6).alias("event"), F.round(F.median("risk"), 6).alias("risk"))
 
 
-@query("g25_score_bundle", f"WITH {SQL_PRED}, sd AS (SELECT evaluation_id, stddev_pop(score) AS sd FROM c GROUP BY 1) SELECT suite_id, count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae, round(median(abs(predicted - actual)), 6) AS medae, round(median(abs(predicted - actual) / sd) FILTER (WHERE sd > 0), 6) AS medae_normalised, count(DISTINCT model_id) AS models FROM p JOIN sd USING (evaluation_id) GROUP BY 1")
+@query("g25_score_bundle", f"""WITH {SQL_PRED}, sd AS (SELECT evaluation_id, stddev_samp(score) AS sd FROM c GROUP BY 1), o AS (SELECT a.model_id, a.evaluation_id, b.score AS x FROM c a JOIN c b ON a.evaluation_id = b.evaluation_id AND a.model_id <> b.model_id), om AS (SELECT model_id, evaluation_id, median(x) AS m FROM o GROUP BY 1, 2),
+dd AS (SELECT model_id, evaluation_id, 1.4826 * median(abs(x - m)) AS dd FROM o JOIN om USING (model_id, evaluation_id) GROUP BY 1, 2 HAVING count(*) >= 2), e AS (SELECT p.*, abs(predicted - actual) AS e, sd, dd FROM p LEFT JOIN sd USING (evaluation_id) LEFT JOIN dd USING (model_id, evaluation_id))
+SELECT suite_id, count(*) AS n, round(avg(e), 6) AS mae, round(median(e), 6) AS medae, round(median(100 * e / abs(actual)) FILTER (WHERE abs(actual) > 1e-6), 6) AS medape, round(median(e / sd) FILTER (WHERE sd > 0), 6) AS medae_by_column, round(median(e / dd) FILTER (WHERE dd > 1e-9), 5) AS medae_by_others, count(DISTINCT model_id) AS models FROM e GROUP BY 1""")
 def g25(s, d):
-    sd = cells(s, d).groupBy("evaluation_id").agg(F.stddev_pop("score").alias("sd"))
-    e = F.abs(F.col("predicted") - F.col("actual"))
-    return predictions(s, d).join(sd, "evaluation_id").groupBy("suite_id").agg(count_all().alias("n"), F.round(F.avg(e), 6).alias("mae"), F.round(F.median(e), 6).alias("medae"), F.round(F.median(F.when(F.col("sd") > 0, F.try_divide(e, F.col("sd")))), 6).alias("medae_normalised"), F.countDistinct("model_id").alias("models"))
+    """Errors of a suite, also over the column's spread and over the deviation of the other models' scores."""
+    c = cells(s, d).select("model_id", "evaluation_id", "score")
+    sd = c.groupBy("evaluation_id").agg(F.stddev_samp("score").alias("sd"))
+    others = S.leave_one_out_mad(c, "evaluation_id", "score", "dd").select("model_id", "evaluation_id", "dd")
+    p = predictions(s, d).join(sd, "evaluation_id", "left").join(others, ["model_id", "evaluation_id"], "left").withColumn("e", F.abs(F.col("predicted") - F.col("actual")))
+    over = lambda c, least: F.median(F.when(F.col(c) > least, F.col("e") / F.col(c)))
+    return p.groupBy("suite_id").agg(
+        count_all().alias("n"), F.round(F.avg("e"), 6).alias("mae"), F.round(F.median("e"), 6).alias("medae"), F.round(F.median(F.when(F.abs("actual") > S.APE_FLOOR, 100 * F.col("e") / F.abs("actual"))), 6).alias("medape"),
+        F.round(over("sd", 0), 6).alias("medae_by_column"), F.round(over("dd", 1e-9), 5).alias("medae_by_others"), F.countDistinct("model_id").alias("models"),
+    )
 
 
 @query("g29_matched_replay")
