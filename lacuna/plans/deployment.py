@@ -142,11 +142,15 @@ def g28(s, d):
 
 @query("g21_error_risk")
 def g21(s, d):
-    """Cross-fitted ridge risk from support counts and dispersions, with its rank correlation to the error."""
+    """Cross-fitted ridge risk of every fold, its penalty chosen inside the training folds, from supports, spreads, the column's deviation and its best peer."""
     p = _fold_errors(s, d).withColumn("error", F.abs(F.col("predicted") - F.col("actual")))
     c = cells(s, d)
-    rows = p.join(c.groupBy("model_id").agg(count_all().alias("row_n"), F.stddev_pop("score").alias("row_sd")), "model_id").join(c.groupBy("evaluation_id").agg(count_all().alias("col_n"), F.stddev_pop("score").alias("col_sd")), "evaluation_id")
-    r = confidence.ridge_error_risk(rows, ["row_n", "col_n", "row_sd", "col_sd"])
+    pairs = S.overlap_pairs(c, "evaluation_id", "model_id", 5).where(F.col("r").isNotNull())
+    peers = pairs.select(F.col("a").alias("evaluation_id"), "r").unionByName(pairs.select(F.col("b").alias("evaluation_id"), "r")).groupBy("evaluation_id").agg(F.max(F.abs("r")).alias("peer"))
+    side = lambda key, tag: c.groupBy(key).agg(count_all().alias(f"{tag}_n"), F.stddev_pop("score").alias(f"{tag}_sd"))
+    rows = p.join(side("model_id", "row"), "model_id").join(side("evaluation_id", "col"), "evaluation_id").join(peers, "evaluation_id", "left").join(S.mad(c, "evaluation_id", "score").drop("n"), "evaluation_id", "left")
+    rows = cut(rows.fillna(0.0, ["peer", "dispersion"]))
+    r = confidence.ridge_error_risk(rows, ["row_n", "col_n", "row_sd", "col_sd", "peer", "dispersion"])
     return r.groupBy("fold").agg(count_all().alias("n"), F.round(F.avg("risk"), 6).alias("mean_risk"), F.round(F.avg("error"), 6).alias("mean_error"), F.round(F.avg(F.abs(F.col("risk") - F.col("error"))), 6).alias("risk_mae"))
 
 

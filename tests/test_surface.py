@@ -217,6 +217,25 @@ def test_ridge_risk_is_cross_fitted(spark):
     assert max(abs(r.risk - r.error) for r in out) < 1e-3
 
 
+def test_the_penalty_is_chosen_inside_the_training_folds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 4, float(a), float(b), float(np.expm1(abs(0.4 * np.log1p(a) + rng.normal(0, 0.3))))) for i, (a, b) in enumerate(rng.random((200, 2)) * 20)]
+    frame = spark.createDataFrame(rows, "fold int, a double, b double, error double")
+    got = {(r.fold, r.a): r.risk for r in confidence.ridge_error_risk(frame, ["a", "b"]).collect()}
+    x, y, fold = np.log1p(np.array([r[1:3] for r in rows])), np.log1p([r[3] for r in rows]), np.array([r[0] for r in rows])
+
+    def fit(keep, penalty):
+        mean, sd = x[keep].mean(axis=0), x[keep].std(axis=0)
+        z = (x[keep] - mean) / sd
+        beta = np.linalg.solve(z.T @ z + penalty * np.eye(2), z.T @ (y[keep] - y[keep].mean())) / sd
+        return lambda at: y[keep].mean() + (x[at] - mean) @ beta
+
+    for f in range(4):
+        losses = [(sum(((fit((fold != f) & (fold != g), c)(fold == g) - y[fold == g]) ** 2).sum() for g in range(4) if g != f), c) for c in confidence.PENALTIES]
+        want = np.maximum(0.0, np.expm1(fit(fold != f, min(losses)[1])(fold == f)))
+        assert np.allclose([got[f, r[1]] for r in rows if r[0] == f], want)
+
+
 def test_target_refits_hide_what_is_not_revealed(spark):
     cells = spark.createDataFrame(_grid(8, 6, hole=False), "model_id string, evaluation_id string, score double")
     jobs = spark.createDataFrame([("j", "m3", ["e0", "e2"], None), ("k", "m3", ["e0"], ["m1", "m2", "m4"])], "job_id string, target string, probes array<string>, context array<string>")
