@@ -241,3 +241,24 @@ def h12_cells(s, d):
     trust = confidence.interpolated(F.col("knots"), 0.5 * (F.col("model_risk") + F.col("evaluation_risk")))
     cell = F.struct("evaluation_id", "observed", F.round("predicted", 2).alias("score"), F.when(hidden, F.round("low", 2)).alias("low"), F.when(hidden, F.round("high", 2)).alias("high"), F.when(hidden, F.round(trust, 3)).alias("trust"))
     return out.groupBy("model_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+@query("d38_rank_protocols")
+def d38_ranks(s, d):
+    """Errors and unsupported cells of ranks 0, 1 and 2 under two protocols (three folds; every model as a new one with five cells), by suite and in all."""
+    c = cells(s, d)
+    f = with_fold(c, 3)
+    jobs = cut(f.select("model_id", "evaluation_id", "score", "fold", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("job")))
+    jobs = jobs.select(F.col("job").cast("string").alias("job_id"), "model_id", "evaluation_id", F.when(F.col("fold") != F.col("job"), F.col("score")).alias("score"))
+    w = Window.partitionBy("model_id")
+    shown = c.select("model_id", "evaluation_id", F.row_number().over(w.orderBy(F.md5(F.concat("model_id", F.lit("|"), "evaluation_id")))).alias("p"), count_all().over(w).alias("n")).where("n > 5 AND p <= 5")
+    sparse = shown.groupBy("model_id").agg(F.array_sort(F.collect_list("evaluation_id")).alias("probes"))
+    sparse = cut(sparse.select(F.col("model_id").alias("job_id"), F.col("model_id").alias("target"), "probes", F.lit(None).cast("array<string>").alias("context")))
+    truth = c.select("model_id", "evaluation_id", "suite_id", F.col("score").alias("actual"))
+    parts = None
+    for rank in (0, 1, 2):
+        for protocol, p in (("folds", fits.fit_als(jobs, rank)), ("sparse", fits.fit_targets(c, sparse, rank))):
+            rows = p.join(truth, ["model_id", "evaluation_id"]).select(F.lit(rank).alias("rank"), F.lit(protocol).alias("protocol"), "suite_id", "actual", "predicted")
+            parts = rows if parts is None else parts.unionByName(rows)
+    sets = [["rank", "protocol"], ["rank", "protocol", "suite_id"]]
+    return cut(parts).groupingSets(sets, "rank", "protocol", "suite_id").agg(*S.error_columns(), (count_all() - F.count("predicted")).alias("unsupported"))
