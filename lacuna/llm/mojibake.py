@@ -50,13 +50,13 @@ from lacuna.session import spread
 READ_AS_UTF8_SOURCE = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "gbk", "cp932", "big5", "euc_kr"]
 READ_AS_PAIRS = [
     ("cp1252", "cp1250"), ("cp1252", "iso8859_2"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp1252", "cp866"),
-    ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp932"), ("cp1252", "gbk"), ("cp1252", "euc_jp"), ("cp1252", "big5"),
+    ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp932"), ("cp1252", "gbk"), ("cp1252", "gb18030"), ("cp1252", "euc_jp"), ("cp1252", "big5"),
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("iso8859_2", "cp1252"),
     ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp866", "koi8_r"), ("koi8_r", "cp866"), ("cp1251", "iso8859_5"), ("iso8859_5", "cp1251"),
     ("cp437", "cp1251"), ("cp437", "cp866"), ("cp437", "cp1250"), ("cp1250", "iso8859_2"), ("iso8859_2", "cp1250"), ("cp1250", "cp1251"), ("mac_roman", "cp1250"), ("cp1250", "cp437"),
     ("gbk", "cp932"), ("cp932", "gbk"), ("gbk", "cp1252"), ("gbk", "cp1251"), ("cp932", "cp1252"), ("big5", "gbk"), ("gbk", "big5"), ("cp932", "euc_jp"), ("gbk", "euc_jp"),
 ]
-_MULTIBYTE = {"gbk", "cp932", "big5", "euc_jp", "euc_kr"}
+_MULTIBYTE = {"gbk", "gb18030", "cp932", "big5", "euc_jp", "euc_kr"}
 
 
 @lru_cache(maxsize=None)
@@ -228,6 +228,17 @@ def _garbled(text: str, written: str, read: str) -> str | None:
         return None
 
 
+def _raw(text: str, encoding: str) -> bytes | None:
+    """The bytes of a text; a control character stands for its own byte, which some readers keep and others replace."""
+    try:
+        if encoding in _MULTIBYTE:
+            return text.encode(encoding)
+        table = _byte_table(encoding)
+        return bytes(ord(c) if c < "\x80" else table[c] for c in text)
+    except (UnicodeEncodeError, KeyError):
+        return None
+
+
 _BLANKS = re.compile("([ \t\r\n]+)")
 
 
@@ -239,22 +250,25 @@ def _stretches(wrong: str) -> re.Pattern:
     return re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f!-\x7f" + "".join(map(re.escape, _byte_table(wrong))) + "]+")
 
 
-def _reread_stretches(text: str, wrong: str, right: str) -> str | None:
+def _reread_stretches(text: str, wrong: str, right: str) -> tuple[str, bool] | None:
     """``_reread`` of the garbled stretches of a text: one that would get clearly worse was sound and stays.
 
-    None where nothing changes, or where a stretch written and read wrongly again is not what it was.
+    Also says whether reading the result wrongly again gives the very text; control characters may stand for bytes that
+    the encoding reads as something else.  None where nothing changes, or where the bytes of a stretch written again are
+    not those it was read from.
     """
-    out, end = [], 0
+    out, end, same = [], 0, True
     for m in _stretches(wrong).finditer(text):
         made = None if m[0].isascii() else _reread(m[0], wrong, right)
         if made is None or cost(made, whole=False) > cost(m[0], whole=False) + SOUND_WORD:
             continue
-        if _garbled(made, right, wrong) != m[0]:
+        if _raw(made, right) != _raw(m[0], wrong):
             return None
+        same = same and _garbled(made, right, wrong) == m[0]
         out += (text[end : m.start()], made)
         end = m.end()
     joined = "".join(out) + text[end:]
-    return joined if joined != text else None
+    return (joined, same) if joined != text else None
 
 
 #: An escaped character beyond ASCII, or an escaped ampersand that hides one.
@@ -510,10 +524,10 @@ def _tables() -> dict[str, np.ndarray]:
     return {"classes": classes, "one": one, "two": two, **bits, **sets}
 
 
-def screen(pieces: list[str], plain: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def screen(pieces: list[str], plain: str | None = None, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """For each (not empty) piece: a cost not below :func:`cost`, and the encodings (as bits) under which it holds a sequence of UTF-8.
 
-    ``plain``: the joined pieces in plain notation, if the caller has them.
+    ``plain``: the joined pieces in plain notation, if the caller has them; ``whole`` as of :func:`cost`.
     """
     t = _tables()
     joined = "".join(pieces)
@@ -540,11 +554,12 @@ def screen(pieces: list[str], plain: str | None = None) -> tuple[np.ndarray, np.
         extra += weight * (t[left][c] & t[middle][b] & t[right][d])
     extra += 1.0 * ((judged > 0x7F) & (judged == ahead(judged, 1)) & (judged == ahead(judged, 2)))
     total += two * extra
-    east = (two & t["h"][c] & t["h"][b] & t["h"][d]) | t["jp"][c]
     sums = np.add.reduceat(total, starts)
-    letter = t["aAlLfFiI"]
-    lone = 0.5 * t["h"][c] + 2.0 * (same & ((letter[c] & t["h"][b]) | (t["h"][c] & letter[b])))
-    sums += np.add.reduceat(lone, starts) * (np.add.reduceat(east.astype(np.int64), starts) == 0)
+    if whole:
+        east = (two & t["h"][c] & t["h"][b] & t["h"][d]) | t["jp"][c]
+        letter = t["aAlLfFiI"]
+        lone = 0.5 * t["h"][c] + 2.0 * (same & ((letter[c] & t["h"][b]) | (t["h"][c] & letter[b])))
+        sums += np.add.reduceat(lone, starts) * (np.add.reduceat(east.astype(np.int64), starts) == 0)
     small = np.minimum(codes, 0xFFFF)
     tail = t["tail"][small]
     tail1, tail2 = ahead(tail, 1), ahead(tail, 2)
@@ -560,9 +575,9 @@ PAIR_MARGIN, PAIR_SHARE = 0.8, 0.45  # a piece reread between legacy encodings m
 WIDE_MARGIN = 4.0  # a few letters in a row always make some ideographs, so these need a longer stretch
 UTF8_MARGIN = 0.05  # well-formed UTF-8 is evidence in itself; the text must only get cheaper
 SAME_PATH = 0.5  # a piece follows the document's path if that costs it no more than this
-WHOLE_SLACK = 2.0  # sound stretches may make the piece reread as a whole dearer than its garbled stretches alone by this much
+CONTROLS_TOLL = 0.5  # a pair that leaves control characters unexplained stands behind one that gives the very text
 SOUND_WORD = 0.5  # a word that a legacy rereading makes dearer by more than this was sound
-_EAST = {"gbk": False, "big5": False, "cp932": True, "euc_jp": True}
+_EAST = {"gbk": False, "gb18030": False, "big5": False, "cp932": True, "euc_jp": True}
 _KANA = re.compile("[\u3040-\u30ff]")
 _FREQUENT = {"cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "gbk"}
 _PAIR_TOLL = 0.4
@@ -653,18 +668,30 @@ def pair_rereadings(text: str) -> list[tuple[str, float, float, str]]:
     made = [(wrong, right, whole) for wrong, right in READ_AS_PAIRS if (whole := _reread(text, wrong, right)) is not None]
     if not made:
         return out
-    most = screen([plain_notation(m[2]) for m in made])[0]
-    for (wrong, right, whole), ceiling in zip(made, most):
+    floors = _floors(text, [m[2] for m in made])
+    for (wrong, right, whole), floor in zip(made, floors):
         toll = _pair_toll(right, whole)
-        if ceiling - 0.8 * len(_USUAL_PAIRS.findall(whole)) + toll > min(start - 0.3, PAIR_SHARE * start) + WHOLE_SLACK:
-            continue
+        if floor + toll > PAIR_SHARE * start:
+            continue  # what no choice of sound stretches can bring below the share that a hit may leave
         better = _reread_stretches(text, wrong, right)
         if better is not None:
-            after = cost(better) + toll
-            out.append((f"{wrong}>{right}", start - after, after, better))
+            after = cost(better[0]) + toll + (0.0 if better[1] else CONTROLS_TOLL)
+            out.append((f"{wrong}>{right}", start - after, after, better[0]))
     return out
 
 
+def _floors(text: str, rereadings: list[str]) -> np.ndarray:
+    """A bound below the cost of each rereading of a text in which every word is either reread or left."""
+    versions = [_BLANKS.split(plain_notation(t)) for t in (text, *rereadings)]
+    count = len(versions[0])
+    words = np.array([len(v) == count for v in versions])
+    flat = [w or " " for v, same in zip(versions, words) if same for w in v]
+    costs = np.zeros((len(versions), count))
+    costs[words] = screen(flat, whole=False)[0].reshape(-1, count)
+    floors = np.minimum(costs[1:], costs[0]).sum(axis=1)
+    return floors - 0.8 * (len(_USUAL_PAIRS.findall(text)) + np.array([len(_USUAL_PAIRS.findall(t)) for t in rereadings]))
+
+
 def _is_hit(pair: str, gain: float, after: float) -> bool:
     return gain >= (WIDE_MARGIN if pair.split(">")[1] in _MULTIBYTE else PAIR_MARGIN) and after <= PAIR_SHARE * (gain + after)
 

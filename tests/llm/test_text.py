@@ -187,3 +187,15 @@ def test_a_search_has_no_limit_of_states():
     for _ in range(6):
         bad = "".join(mojibake._read_as("cp1252")[b] for b in bad.encode())
     assert mojibake.restore_text(bad)[:2] == (True, WORLD["fr"])
+
+
+def test_four_byte_sequences_read_with_control_characters():
+    good = "来自Vila Açor的切片用PAS染色，保存19天。\n└──────┴────┘ ░▒▓ «ÑÑ» 5 ‰ † €"
+    bad = good.encode("gb18030").decode("latin-1")
+    assert mojibake.restore_text(bad, "zh")[:2] == (True, good)
+
+
+def test_a_reading_that_gives_the_very_text_is_preferred():
+    good = "Średnia nie trafia do macierzy, ponieważ wynika z żółtych próbek; błąd wzrósł."
+    bad = "".join(mojibake._read_as("iso8859_2")[b] if b > 0x7F else chr(b) for b in good.encode("cp1250"))
+    assert mojibake.restore_text(bad, "pl")[:2] == (True, good)
