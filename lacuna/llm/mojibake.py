@@ -900,13 +900,27 @@ _NARROW_PAIRS = list(dict.fromkeys([("mac_roman", "cp1252"), ("cp1250", "cp1252"
 
 
 POOL_PIECE = 0.3  # pieces less odd than this are left as they are
-#: A few quotation marks where they usually stand, 0.05 each.
-_QUIET = re.compile("(?:[\x00-\x7f]*(?:’(?!C)|(?<![^ \\n(])“(?!C)|”(?![A-Za-z0-9]))){0,5}[\x00-\x7f]*")
+_QUOTED = "’(?!C)|(?<![^ \\n(])“(?!C)|”(?![A-Za-z0-9])"  # marks where they usually stand, 0.05 each
+_DASHED = "(?<=[A-Za-z]{3})[–—](?=[A-Za-z]{3})|×|(?<=[A-Za-z0-9.])…(?=[ \\n]|$)"  # 0.1 and less each
+_RUSSIAN = "а-яёА-ЯЁ"
+
+
+@lru_cache(maxsize=64)
+def _quiet(lang: str) -> re.Pattern:
+    """Pieces whose oddness is surely below ``POOL_PIECE``: ASCII, small letters of the language inside words, and at most five usual quotation marks or two other usual marks."""
+    usual = r"[\x00-\x7f]++"
+    own = _ALPHABETS.get(lang, "")
+    if own:
+        usual += f"|(?<=[A-Za-z{own}])[{own}](?![A-Z])|[{own}](?=[a-z{own}])"
+    elif lang == "ru":
+        usual += f"|(?<=[{_RUSSIAN}])[{_RUSSIAN}]|[{_RUSSIAN}](?=[{_RUSSIAN}])"
+    return re.compile(f"(?:{usual})*+(?:(?:(?:{_QUOTED})(?:{usual})*+){{0,5}}|(?:(?:{_QUOTED}|{_DASHED})(?:{usual})*+){{0,2}})$")
 
 
 def pooled_pair(pieces: list[str], lang: str) -> tuple[str, dict[int, str]] | None:
     """The one pair of encodings under which all changed pieces together lose their oddness, and those pieces as reread."""
-    before = [0.0 if p.isascii() or _QUIET.fullmatch(p) else oddness(p, lang) for p in pieces]
+    quiet = _quiet(lang)
+    before = [0.0 if p.isascii() or quiet.match(plain_notation(p)) else oddness(p, lang) for p in pieces]
     if sum(b for b in before if b >= POOL_PIECE) < POOL_MARGIN:
         return None
     best, best_worth = None, 0.0
