@@ -599,14 +599,17 @@ def _sources(bits: int) -> list[str]:
     return [e for e in READ_AS_UTF8_SOURCE if (bits & _WIDE_BIT if e in _MULTIBYTE else bits >> _NARROW_SOURCES.index(e) & 1)]
 
 
-def _cheapest_utf8(text: str, start: float, bits: int) -> tuple[float, str, Path]:
-    """Cheapest text that rereadings as UTF-8 lead to, with its cost and tolls; the text itself if none is cheaper."""
+def _cheapest_utf8(text: str, start: float, sources: list[str]) -> tuple[float, str, Path]:
+    """Cheapest text that rereadings as UTF-8 lead to, with its cost and tolls; the text itself if none is cheaper.
+
+    ``sources``: encodings under which the text itself holds a sequence.
+    """
     best, best_text, best_path = start, text, ()
     heap: list[tuple[float, int, float, State, Path]] = [(start, 0, 0.0, (text, None), ())]
     seen, order = {(text, None)}, 0
     while heap:
         _, _, tolls, state, path = heapq.heappop(heap)
-        for encoding in READ_AS_UTF8_SOURCE if path else _sources(bits):
+        for encoding in READ_AS_UTF8_SOURCE if path else sources:
             sum_ = tolls + _toll(encoding)
             if sum_ >= best:
                 continue  # costs are not negative, so nothing behind this step can be cheaper
@@ -646,11 +649,12 @@ def restore_piece(text: str, bits: int | None = None) -> tuple[float, float, str
     found = (0.0, 0.0, text, ())
     root, unescaped = text, 0
     while True:
-        start = cost(root)
         if bits is None or unescaped:
             bits = int(screen([root])[1][0])
-        if bits:
-            worth, out, path = _cheapest_utf8(root, start, bits)
+        sources = [e for e in _sources(bits) if _from_utf8((root, None), e) is not None]
+        if sources:
+            start = cost(root)
+            worth, out, path = _cheapest_utf8(root, start, sources)
             gain = start - worth - _UNESCAPE_TOLL * unescaped
             if path and gain >= UTF8_MARGIN and gain > found[0]:
                 found = (gain, worth, out, ("unescape",) * unescaped + path)
