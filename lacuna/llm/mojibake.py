@@ -524,10 +524,10 @@ def _tables() -> dict[str, np.ndarray]:
     return {"classes": classes, "one": one, "two": two, **bits, **sets}
 
 
-def screen(pieces: list[str], plain: str | None = None, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def screen(pieces: list[str], plain: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each (not empty) piece: a cost not below :func:`cost`, and the encodings (as bits) under which it holds a sequence of UTF-8.
 
-    ``plain``: the joined pieces in plain notation, if the caller has them; ``whole`` as of :func:`cost`.
+    ``plain``: the joined pieces in plain notation, if the caller has them.
     """
     t = _tables()
     joined = "".join(pieces)
@@ -555,11 +555,10 @@ def screen(pieces: list[str], plain: str | None = None, whole: bool = True) -> t
     extra += 1.0 * ((judged > 0x7F) & (judged == ahead(judged, 1)) & (judged == ahead(judged, 2)))
     total += two * extra
     sums = np.add.reduceat(total, starts)
-    if whole:
-        east = (two & t["h"][c] & t["h"][b] & t["h"][d]) | t["jp"][c]
-        letter = t["aAlLfFiI"]
-        lone = 0.5 * t["h"][c] + 2.0 * (same & ((letter[c] & t["h"][b]) | (t["h"][c] & letter[b])))
-        sums += np.add.reduceat(lone, starts) * (np.add.reduceat(east.astype(np.int64), starts) == 0)
+    east = (two & t["h"][c] & t["h"][b] & t["h"][d]) | t["jp"][c]
+    letter = t["aAlLfFiI"]
+    lone = 0.5 * t["h"][c] + 2.0 * (same & ((letter[c] & t["h"][b]) | (t["h"][c] & letter[b])))
+    sums += np.add.reduceat(lone, starts) * (np.add.reduceat(east.astype(np.int64), starts) == 0)
     small = np.minimum(codes, 0xFFFF)
     tail = t["tail"][small]
     tail1, tail2 = ahead(tail, 1), ahead(tail, 2)
@@ -669,33 +668,16 @@ def pair_rereadings(text: str) -> list[tuple[str, float, float, str]]:
     start, out = cost(text), []
     if start < PAIR_WITH_OTHERS:
         return out
-    made = [(wrong, right, whole) for wrong, right in READ_AS_PAIRS if (whole := _reread(text, wrong, right)) is not None]
-    if not made:
-        return out
-    floors = _floors(text, [m[2] for m in made])
-    for (wrong, right, whole), floor in zip(made, floors):
-        toll = _pair_toll(right, whole)
-        if floor + toll > PAIR_SHARE * start:
-            continue  # what no choice of sound stretches can bring below the share that a hit may leave
-        better = _reread_stretches(text, wrong, right)
+    for wrong, right in READ_AS_PAIRS:
+        whole = _reread(text, wrong, right)
+        better = None if whole is None else _reread_stretches(text, wrong, right)
         if better is not None:
-            after = cost(better[0]) + toll + (0.0 if better[1] else CONTROLS_TOLL)
-            out.append((f"{wrong}>{right}", start - after, after, better[0]))
+            after = cost(better[0]) + _pair_toll(right, whole) + (0.0 if better[1] else CONTROLS_TOLL)
+            if after <= PAIR_SHARE * start:  # nothing dearer is a hit or shares in one
+                out.append((f"{wrong}>{right}", start - after, after, better[0]))
     return out
 
 
-def _floors(text: str, rereadings: list[str]) -> np.ndarray:
-    """A bound below the cost of each rereading of a text in which every word is either reread or left."""
-    versions = [_BLANKS.split(plain_notation(t)) for t in (text, *rereadings)]
-    count = len(versions[0])
-    words = np.array([len(v) == count for v in versions])
-    flat = [w or " " for v, same in zip(versions, words) if same for w in v]
-    costs = np.zeros((len(versions), count))
-    costs[words] = screen(flat, whole=False)[0].reshape(-1, count)
-    floors = np.minimum(costs[1:], costs[0]).sum(axis=1)
-    return floors - 0.8 * (len(_USUAL_PAIRS.findall(text)) + np.array([len(_USUAL_PAIRS.findall(t)) for t in rereadings]))
-
-
 def _is_hit(pair: str, gain: float, after: float) -> bool:
     return gain >= (WIDE_MARGIN if pair.split(">")[1] in _MULTIBYTE else PAIR_MARGIN) and after <= PAIR_SHARE * (gain + after)
 
@@ -970,6 +952,24 @@ def _restore(parts: list[str], ceiling: np.ndarray, bits: np.ndarray, lang: str)
     return bool(steps or lost), "".join(out), "; ".join(dict.fromkeys(steps[i] for i in sorted(steps)))
 
 
+#: Characters of which the arrays of one screening hold at most so many.
+SCREEN_CHARS = 1_000_000
+
+
+def _portions(places: list[int], pieces: list[str]) -> Iterator[list[int]]:
+    """Places in order, in portions of at most ``SCREEN_CHARS`` characters; a longer piece is a portion of its own."""
+    some, size = [], 0
+    for i in places:
+        n = len(pieces[i])
+        if some and size + n > SCREEN_CHARS:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += n
+    if some:
+        yield some
+
+
 def restore_texts(texts: list[str | None], langs: list[str | None]) -> list[tuple[bool, str | None, str]]:
     """For each text: whether it holds a garbled stretch, the text with all restorable stretches restored, and the steps used."""
     done: list[tuple[bool, str | None, str]] = [(False, t, "") for t in texts]
@@ -988,8 +988,11 @@ def restore_texts(texts: list[str | None], langs: list[str | None]) -> list[tupl
         pieces += parts
     ceiling, bits = np.zeros(len(pieces)), np.zeros(len(pieces), dtype=np.uint16)
     judged = [i for i, p in enumerate(pieces) if not p.isascii() or _STRANGE_ASCII.search(p)]
-    if judged:
-        ceiling[judged], bits[judged] = screen([pieces[i] for i in judged], "".join(plain_notation(pieces[i]) for i in judged))
+    for some in _portions(judged, pieces):
+        if len(pieces[some[0]]) > SCREEN_CHARS:  # longer than the arrays may be: judged by itself, under all encodings
+            ceiling[some], bits[some] = cost(pieces[some[0]]), 2 * _WIDE_BIT - 1
+        else:
+            ceiling[some], bits[some] = screen([pieces[i] for i in some], "".join(plain_notation(pieces[i]) for i in some))
     for k, lo, hi in todo:
         done[k] = _restore(pieces[lo:hi], ceiling[lo:hi], bits[lo:hi], _language(langs[k]))
     return done

@@ -199,3 +199,13 @@ def test_a_reading_that_gives_the_very_text_is_preferred():
     good = "Średnia nie trafia do macierzy, ponieważ wynika z żółtych próbek; błąd wzrósł."
     bad = "".join(mojibake._read_as("iso8859_2")[b] if b > 0x7F else chr(b) for b in good.encode("cp1250"))
     assert mojibake.restore_text(bad, "pl")[:2] == (True, good)
+
+
+def test_very_long_texts_are_screened_in_portions(monkeypatch):
+    texts = ["Fine. " * 50 + "\n" + _spoil(SENTENCES["de"], "utf-8", "latin-1") * 3, "é" * 400 + " schön", None, "plain", "Ça va. " * 40 + _spoil(SENTENCES["es"], "utf-8", "cp437")]
+    langs = ["de", None, None, "en", "fr"]
+    want = mojibake.restore_texts(texts, langs)
+    for limit in (1, 60, 500):
+        monkeypatch.setattr(mojibake, "SCREEN_CHARS", limit)
+        assert mojibake.restore_texts(texts, langs) == want
+    assert want[0][0] and want[4][0] and not want[3][0]
