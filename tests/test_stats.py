@@ -354,3 +354,14 @@ def test_quantiles_and_deviations_of_others_against_numpy(spark):
                 assert got.get(i) is None
     mads = {r.g: r.dispersion for r in S.mad(frame, "g", "v").collect()}
     assert mads["one"] is None and abs(mads["two"] - S.MAD_SCALE * 1.5) < 1e-9
+
+
+def test_shared_table_scores_sets_as_joins_do(spark):
+    cells, rows = _random_cells(spark, 25, 8, share=0.6)
+    z = search._z(cells)
+    sets = spark.createDataFrame([(f"{a}+{b}", e) for a in range(8) for b in range(a + 1, 8) for e in (f"e{a:02d}", f"e{b:02d}")], "set_id string, evaluation_id string")
+    slow = {r.set_id: (r.cells, r.mae) for r in search.score_sets(z, sets).collect()}
+    quick = {r.set_id: (r.cells, r.mae) for r in search.score_sets(z, sets, shared=search.shared_scorer(z)).collect()}
+    assert quick.keys() == slow.keys() and all(quick[k][0] == slow[k][0] and abs(quick[k][1] - slow[k][1]) < 1e-9 for k in slow)
+    few = spark.createDataFrame([("x", "e00")], "set_id string, evaluation_id string")
+    assert search.score_sets(z, few, minimum=1000, shared=search.shared_scorer(z)).count() == 0
