@@ -365,3 +365,20 @@ def test_shared_table_scores_sets_as_joins_do(spark):
     assert quick.keys() == slow.keys() and all(quick[k][0] == slow[k][0] and abs(quick[k][1] - slow[k][1]) < 1e-9 for k in slow)
     few = spark.createDataFrame([("x", "e00")], "set_id string, evaluation_id string")
     assert search.score_sets(z, few, minimum=1000, shared=search.shared_scorer(z)).count() == 0
+
+
+def test_blocks_of_rows_give_the_normal_equations(monkeypatch):
+    """Also of tables beyond ``DENSE_PLACES``, for empty rows and columns, and of one row alone."""
+    rng = np.random.default_rng(3)
+    r, c = np.nonzero(rng.random((300, 20)) < 0.4)
+    kept = (r != 7) & (c != 4)
+    r, c = r[kept], c[kept]
+    x = rng.normal(size=len(r)) + 0.01 * r
+    for rank in (0, 1, 2, 4):
+        slow = als.bias_als(r, c, x, 300, 20, rank, rounds=6, dense_places=0)
+        monkeypatch.setattr(als, "BLOCK_SUMS", 1)  # blocks of 64 rows
+        monkeypatch.setattr(als, "_solve_side", None)  # the way by lists of cells is not taken
+        quick = als.bias_als(r, c, x, 300, 20, rank, rounds=6, dense_places=1)
+        assert np.abs(quick - slow).max() < 1e-9
+        assert np.abs(als.bias_als(r, c, x, 300, 20, rank, rounds=6, row=11) - quick[11:12]).max() < 1e-12
+        monkeypatch.undo()
