@@ -382,3 +382,24 @@ def test_blocks_of_rows_give_the_normal_equations(monkeypatch):
         assert np.abs(quick - slow).max() < 1e-9
         assert np.abs(als.bias_als(r, c, x, 300, 20, rank, rounds=6, row=11) - quick[11:12]).max() < 1e-12
         monkeypatch.undo()
+
+
+def test_low_rank_steps_equal_the_singular_value_decomposition():
+    rng = np.random.default_rng(5)
+    for shape in ((40, 9), (9, 40)):
+        table = rng.normal(size=shape)
+        u, s, vt = np.linalg.svd(table, full_matrices=False)
+        assert np.abs(factor._reweighted(table, lambda s: (np.arange(len(s)) < 3) * 1.0) - (u[:, :3] * s[:3]) @ vt[:3]).max() < 1e-10
+
+
+def test_grid_fits_do_not_copy_the_table(spark):
+    """The rank sweep's settings beside the kernels on hand-cut folds, without a shuffle of cells."""
+    cells, rows = _random_cells(spark, 12, 7, share=0.8)
+    folded = cells.withColumn("fold", F.pmod(F.xxhash64("model_id", "evaluation_id"), F.lit(2)))
+    settings = spark.createDataFrame([("a", "logit", "als", '{"rank":2}'), ("s", "identity", "svd", '{"rank":1}')], "job_id string, transform string, method string, arguments string")
+    out = fits.fit_grid(folded, settings, 2, named=False)
+    assert "model_id" not in out.columns
+    got = sorted((r.job_id, r.fold, r.actual, r.predicted) for r in out.collect())
+    long = fits.fit_grid(folded, settings, 2, limit=1, named=False)
+    want = sorted((r.job_id, r.fold, r.actual, r.predicted) for r in long.collect())
+    assert len(got) == 2 * len(rows) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
