@@ -403,3 +403,18 @@ def test_grid_fits_do_not_copy_the_table(spark):
     long = fits.fit_grid(folded, settings, 2, limit=1, named=False)
     want = sorted((r.job_id, r.fold, r.actual, r.predicted) for r in long.collect())
     assert len(got) == 2 * len(rows) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_targets_see_models_of_earlier_dates(spark):
+    cells, rows = _random_cells(spark, 8, 5, share=0.9)
+    models = sorted({x[0] for x in rows})
+    dates = spark.createDataFrame([(m, float(i // 2)) for i, m in enumerate(models[:-1])], "model_id string, date double")  # the last has none
+    probes = [x[1] for x in rows if x[0] == models[5]][:2]
+    job = [("j", models[5], probes)]
+    want = fits.fit_targets(cells, spark.createDataFrame([(*job[0], models[:4])], "job_id string, target string, probes array<string>, context array<string>"))
+    want = {r.evaluation_id: r.predicted for r in want.collect()}
+    own = {x[1] for x in rows if x[0] == models[5]} - set(probes)
+    for limit in (fits.KERNEL_CELLS, 1):
+        got = fits.fit_targets(cells, spark.createDataFrame([(*job[0], 2.0)], "job_id string, target string, probes array<string>, before double"), limit=limit, dates=dates, own_cells=True)
+        got = {r.evaluation_id: r.predicted for r in got.collect()}
+        assert set(got) == own and all(abs(got[e] - want[e]) < 1e-9 for e in own)
