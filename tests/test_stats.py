@@ -418,3 +418,17 @@ def test_targets_see_models_of_earlier_dates(spark):
         got = fits.fit_targets(cells, spark.createDataFrame([(*job[0], 2.0)], "job_id string, target string, probes array<string>, before double"), limit=limit, dates=dates, own_cells=True)
         got = {r.evaluation_id: r.predicted for r in got.collect()}
         assert set(got) == own and all(abs(got[e] - want[e]) < 1e-9 for e in own)
+
+
+def test_a_refit_is_made_once_for_all_rounds_and_searches(spark, monkeypatch):
+    cells, rows = _random_cells(spark, 8, 5, share=0.7)
+    asked, fit = [], fits.fit_targets
+    monkeypatch.setattr(fits, "fit_targets", lambda c, jobs, *a, **k: (asked.extend(r.job_id for r in jobs.collect()), fit(c, jobs, *a, **k))[1])
+    made = search.Refits()
+    first = search.refit_greedy(cells, 2, made=made).collect()
+    n = len(asked)
+    assert search.refit_greedy(cells, 2, made=made).collect() == first
+    assert len(asked) == len(set(asked)) == n
+    asked.clear()
+    exact = search.refit_exact(cells, 2, batch=4)
+    assert len(asked) == len(set(asked)) and exact.first() == search.refit_exact(cells, 2, batch=100).first()
