@@ -432,3 +432,14 @@ def test_a_refit_is_made_once_for_all_rounds_and_searches(spark, monkeypatch):
     asked.clear()
     exact = search.refit_exact(cells, 2, batch=4)
     assert len(asked) == len(set(asked)) and exact.first() == search.refit_exact(cells, 2, batch=100).first()
+
+
+def test_new_model_fits_only_the_number_it_uses(spark, monkeypatch):
+    from lacuna.operators import confidence
+
+    cells, _ = _random_cells(spark, 8, 6, share=1.0)
+    cells, asked, all_errors = cells.withColumn("suite_id", F.lit("s")), [], confidence.new_entity_errors
+    monkeypatch.setattr(confidence, "new_entity_errors", lambda c, counts=confidence.COUNTS, *a: (asked.append(counts), all_errors(c, counts, *a))[1])
+    assert {r.k for r in confidence.errors_for(cells, 4).select("k").distinct().collect()} == {3} and asked == [(3,)]
+    asked.clear()
+    assert {r.k for r in confidence.errors_for(cells, 20).select("k").distinct().collect()} == {5} and asked == [(10,), (5,)]
