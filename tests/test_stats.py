@@ -1,6 +1,7 @@
 """Cells, order statistics, errors, rankings and kernels on hand-built values and against NumPy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,6 +435,34 @@ def test_a_refit_is_made_once_for_all_rounds_and_searches(spark, monkeypatch):
     assert len(asked) == len(set(asked)) and exact.first() == search.refit_exact(cells, 2, batch=100).first()
 
 
+def test_refits_beside_the_whole_table_are_those_made_alone(monkeypatch):
+    from lacuna.kernels import refits
+
+    rng = np.random.default_rng(5)
+    n, m = 1_200, 9
+    table = 50 + 12 * rng.normal(size=(n, 1)) + 6 * rng.normal(size=(n, 1)) * rng.normal(size=m) + 4 * rng.normal(size=(n, m))
+    seen = rng.random((n, m)) < 0.7
+    seen[:, 0] = True
+    seen[:, 8] = False
+    seen[3, 8] = True  # a column of one model
+    rows = [(f"m{i:04d}", f"e{j}", float(np.clip(table[i, j], 1, 99))) for i, j in zip(*np.nonzero(seen))]
+    cells = pd.DataFrame([*rows, ("m0004", "e0", 33.0)], columns=["model_id", "evaluation_id", "score"])  # and a cell written twice
+    own = cells.groupby("model_id")["evaluation_id"].agg(lambda x: sorted(set(x)))
+    jobs = [(t, own[t][:k], None, None) for t in own.index[:12] for k in (0, 1, 2)]
+    jobs += [("m0007", list(own["m0007"]), None, None), ("m0007", ["e8", "none"], None, None), ("new", ["e1"], None, None), ("m0009", ["e0"], list(own.index[:200]), None)]
+    want = [fits._Targets(cells, None).fit(*j, 1, True) for j in jobs]
+    alone, complete = [], als.complete
+    monkeypatch.setattr(als, "complete", lambda *a, **k: (alone.append(1), complete(*a, **k))[1])
+    got = list(fits._Targets(cells, None).fit_all(jobs, 1, True))
+    assert len(alone) <= len(jobs) // 3
+    for a, b in zip(got, want, strict=True):
+        assert np.array_equal(a[0], b[0]) and np.allclose(a[1], b[1], rtol=0, atol=1e-6, equal_nan=True)
+    alone.clear()
+    monkeypatch.setattr(refits, "MOST", 0.0)  # what differs too much is fitted alone
+    again = list(fits._Targets(cells, None).fit_all(jobs, 1, True))
+    assert len(alone) >= len(jobs) - 1 and all(np.array_equal(a[1], b[1], equal_nan=True) for a, b in zip(again[:-4], want[:-4]))
+
+
 def test_new_model_fits_only_the_number_it_uses(spark, monkeypatch):
     from lacuna.operators import confidence
 
