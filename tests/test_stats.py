@@ -463,6 +463,38 @@ def test_refits_beside_the_whole_table_are_those_made_alone(monkeypatch):
     assert len(alone) >= len(jobs) - 1 and all(np.array_equal(a[1], b[1], equal_nan=True) for a, b in zip(again[:-4], want[:-4]))
 
 
+def test_greedy_search_settles_by_full_refits_what_first_order_leaves_open(spark, monkeypatch):
+    from lacuna.operators import contenders
+
+    rng = np.random.default_rng(7)
+    n, m = 1_000, 6
+    table = 50 + 12 * rng.normal(size=(n, 1)) + 6 * rng.normal(size=(n, 1)) * rng.normal(size=m) + 4 * rng.normal(size=(n, m))
+    seen = rng.random((n, m)) < 0.6
+    seen[:, 0] = True
+    seen[:, 5] = False
+    seen[3, 5] = True  # a column of one model
+    cells = spark.createDataFrame([(f"m{i:04d}", f"e{j}", float(np.clip(table[i, j], 1, 99))) for i, j in zip(*np.nonzero(seen))], "model_id string, evaluation_id string, score double")
+    costs = spark.createDataFrame([("e0", 9.0), ("e1", 3.0), ("e2", 3.0), ("e3", 2.0), ("e5", 1.0)], "evaluation_id string, cost double")
+    kinds = spark.createDataFrame([("e1", "x"), ("e2", "x")], "evaluation_id string, identity string")
+    asked, made, init = [], [], contenders.Contenders.__init__
+    monkeypatch.setattr(contenders.Contenders, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    full = search.refit_sets
+    monkeypatch.setattr(search, "refit_sets", lambda *a, **k: (asked.append(1), full(*a, **k))[1])
+    for objective in contenders.MEDIANS:
+        got = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
+        assert not asked and made[-1].near and 0 < len(made[-1].full) < n  # of about 3,600
+        with monkeypatch.context() as alone:
+            alone.setattr(contenders, "table_of", lambda c: None)
+            want = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
+        assert len(got) == 2 and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and asked
+        assert [r["loss"] for r in got] == pytest.approx([r["loss"] for r in want], abs=2e-6)
+        asked.clear()
+    monkeypatch.setattr(contenders, "FLOOR", 1e-9)
+    monkeypatch.setattr(contenders, "CURVE", 1e-9)  # a bound that is too narrow is widened
+    again = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
+    assert again == got
+
+
 def test_new_model_fits_only_the_number_it_uses(spark, monkeypatch):
     from lacuna.operators import confidence
 
