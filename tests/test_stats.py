@@ -480,19 +480,34 @@ def test_greedy_search_settles_by_full_refits_what_first_order_leaves_open(spark
     monkeypatch.setattr(contenders.Contenders, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
     full = search.refit_sets
     monkeypatch.setattr(search, "refit_sets", lambda *a, **k: (asked.append(1), full(*a, **k))[1])
-    for objective in contenders.MEDIANS:
-        got = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
-        assert not asked and made[-1].near and 0 < len(made[-1].full) < n  # of about 3,600
-        with monkeypatch.context() as alone:
-            alone.setattr(contenders, "table_of", lambda c: None)
-            want = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
-        assert len(got) == 2 and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and asked
-        assert [r["loss"] for r in got] == pytest.approx([r["loss"] for r in want], abs=2e-6)
-        asked.clear()
+    got = search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect()
+    assert not asked and made[-1].near and 0 < len(made[-1].full) < n  # of about 3,600
     monkeypatch.setattr(contenders, "FLOOR", 1e-9)
     monkeypatch.setattr(contenders, "CURVE", 1e-9)  # a bound that is too narrow is widened
-    again = search.refit_greedy(cells, 2, objective, costs, 8.0, identities=kinds).collect()
-    assert again == got
+    assert search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect() == got and made[-1].slack > 1
+    monkeypatch.setattr(contenders, "table_of", lambda c: None)
+    want = search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect()
+    assert len(got) == 2 and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and asked
+    assert [r["loss"] for r in got] == pytest.approx([r["loss"] for r in want], abs=2e-6)
+
+
+def test_medians_are_between_their_bounds():
+    from lacuna.operators import contenders
+
+    rng, table = np.random.default_rng(3), type("T", (), {"c": np.arange(40) % 5})()
+    for parity in (True, False):
+        for lost in (0, 3, 40):
+            error, bound = rng.random(40), rng.random(40) * 0.1
+            error[:lost] = np.nan
+            true = np.where(table.c == 2, 0.0, error + bound * rng.uniform(-1, 1, 40))
+            low, high, n, below, hidden, missing, at, _, _ = contenders._bounded(table, error, bound, [2], parity)
+            kept, at = true[~np.isnan(true) & (parity | (table.c != 2))], np.frombuffer(at, dtype=int)
+            assert (n, hidden, missing) == (len(kept), 32, np.isnan(true).sum())
+            if not n:
+                assert low is None and not len(at)
+                continue
+            some = np.sort(true[at])
+            assert low <= np.median(kept) <= high and np.median(kept) == (some[(n - 1) // 2 - below] + some[n // 2 - below]) / 2
 
 
 def test_new_model_fits_only_the_number_it_uses(spark, monkeypatch):
