@@ -476,15 +476,14 @@ def test_greedy_search_settles_by_full_refits_what_first_order_leaves_open(spark
     cells = spark.createDataFrame([(f"m{i:04d}", f"e{j}", float(np.clip(table[i, j], 1, 99))) for i, j in zip(*np.nonzero(seen))], "model_id string, evaluation_id string, score double")
     costs = spark.createDataFrame([("e0", 9.0), ("e1", 3.0), ("e2", 3.0), ("e3", 2.0), ("e5", 1.0)], "evaluation_id string, cost double")
     kinds = spark.createDataFrame([("e1", "x"), ("e2", "x")], "evaluation_id string, identity string")
-    asked, made, init = [], [], contenders.Contenders.__init__
-    monkeypatch.setattr(contenders.Contenders, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    asked, made, slack, init = [], [], [1.0], contenders.Contenders.__init__
+    monkeypatch.setattr(contenders.Contenders, "__init__", lambda self, *a: (init(self, *a), made.append(self), setattr(self, "slack", slack[-1]))[0])
     full = search.refit_sets
     monkeypatch.setattr(search, "refit_sets", lambda *a, **k: (asked.append(1), full(*a, **k))[1])
     got = search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect()
     assert not asked and made[-1].near and 0 < len(made[-1].full) < n  # of about 3,600
-    monkeypatch.setattr(contenders, "FLOOR", 1e-9)
-    monkeypatch.setattr(contenders, "CURVE", 1e-9)  # a bound that is too narrow is widened
-    assert search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect() == got and made[-1].slack > 1
+    slack.append(1e-3)  # a bound that is too narrow is widened
+    assert search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect() == got and made[-1].slack > 1e-3
     monkeypatch.setattr(contenders, "table_of", lambda c: None)
     want = search.refit_greedy(cells, 2, "parity_medae", costs, 8.0, identities=kinds).collect()
     assert len(got) == 2 and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and asked
